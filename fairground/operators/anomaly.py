@@ -75,6 +75,23 @@ def flag_outliers(df: DataFrame, exact: bool = True) -> DataFrame:
     }).drop("_b")
 
 
+def iqr_outliers(df: DataFrame, width: float = 1.5, exact: bool = True) -> DataFrame:
+    """Priced rows beyond the quartile fences alone."""
+    quarts = quantiles(priced(df), "price", {"q1": 0.25, "q3": 0.75}, exact=exact)
+    iqr = F.col("q3") - F.col("q1")
+    fences = quarts.select(F.struct((F.col("q1") - width * iqr).alias("lo"), (F.col("q3") + width * iqr).alias("hi")))
+    rows = priced(df).withColumn("_b", fences.scalar())
+    return rows.filter((F.col("price") < F.col("_b.lo")) | (F.col("price") > F.col("_b.hi"))).drop("_b")
+
+
+def z_outliers(df: DataFrame, limit: float = 3.0) -> DataFrame:
+    """Priced rows more than ``limit`` population deviations from the mean."""
+    moments = priced(df).agg(F.struct(F.avg("price").alias("mu"), F.stddev_pop("price").alias("sd")).alias("m"))
+    rows = priced(df).withColumn("_m", moments.scalar())
+    z = F.abs(F.try_divide(F.col("price") - F.col("_m.mu"), F.col("_m.sd")))
+    return rows.filter(z > limit).drop("_m")
+
+
 def outlier_summary(df: DataFrame, exact: bool = True) -> DataFrame:
     flags = flag_outliers(df, exact)
     n = F.count_if("outlier")

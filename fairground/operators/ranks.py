@@ -9,37 +9,36 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-_SIDE = 16
-_BUCKETS = _SIDE * _SIDE
+_BUCKETS = 256
+
+
+_CUT_PROBS = ", ".join(f"{i / _BUCKETS!r}D" for i in range(1, _BUCKETS))
 
 
 def _cut_points(df: DataFrame, value: str) -> DataFrame:
-    """One row holding the 255 approximate quantiles of ``value``; also counts rows so the scan stays shareable."""
-    probs = F.array(*[F.lit(i / _BUCKETS) for i in range(1, _BUCKETS)])
-    return df.agg(F.percentile_approx(value, probs, F.lit(10_000)).alias("cuts"))
+    """One row holding the 255 approximate quantiles of ``value`` (a bounded sketch)."""
+    return df.agg(F.expr(f"percentile_approx(`{value}`, array({_CUT_PROBS}), 10000)").alias("cuts"))
 
 
 def _with_bucket(df: DataFrame, value: str, cuts: DataFrame) -> DataFrame:
-    """Add ``_b``, the bucket of ``value``: 15 coarse comparisons, then 15 inside the coarse bucket."""
+    """Add ``_b``, the bucket of ``value``: a four-way search in the cut points, one projection per level."""
+    df = df.withColumn("_cuts", cuts.scalar())
+    start, step = "0", _BUCKETS // 4
+    while step:
+        below = " + ".join(f"int(get(_cuts, {start} + {i * step - 1}) <= `{value}`)" for i in (1, 2, 3))
+        df = df.withColumn("_b", F.expr(f"{start} + coalesce({below}, 0) * {step}"))
+        start, step = "_b", step // 4
+    return df.drop("_cuts")
 
-    def below(index: Column) -> Column:
-        return F.coalesce((F.get("_cuts", index) <= F.col(value)).cast("int"), F.lit(0))
 
-    # One projection per step: each step is read many times by the next, so it must be computed once.
-    df = df.withColumn("_cuts", cuts.scalar())
-    df = df.withColumn("_c", sum((below(F.lit(_SIDE * i - 1)) for i in range(1, _SIDE)), F.lit(0)) * _SIDE)
-    df = df.withColumn("_b", F.col("_c") + sum((below(F.col("_c") + j) for j in range(_SIDE - 1)), F.lit(0)))
-    return df.drop("_cuts", "_c")
+def _quoted(prefix: str, keys: Sequence[str]) -> list[str]:
+    return [f"{prefix}`{k}`" for k in keys]
 
 
 def _same(left: str, right: str, keys: Sequence[str]) -> Column:
-    cond = None
-    for key in keys:
-        term = F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
-        cond = term if cond is None else cond & term
-    return cond
+    return F.expr(" AND ".join(f"{left}.`{k}` <=> {right}.`{k}`" for k in keys))
 
 
 def quantiles(
@@ -53,69 +52,60 @@ def quantiles(
 
     Null and NaN values are ignored. ``exact=False`` uses ``percentile_approx`` (bounded state, one shuffle).
     """
-    by = list(by)
-    names = list(probs)
-    v = F.col(value).cast("double")
-    rows = df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    by, names = list(by), list(probs)
+    rows = df.selectExpr(*_quoted("", by), f"double(`{value}`) AS _v").where("_v IS NOT NULL AND NOT isnan(_v)")
     if not exact:
-        sketch = F.percentile_approx("_v", F.array(*[F.lit(float(probs[n])) for n in names]), F.lit(10_000))
-        out = rows.groupBy(*by).agg(sketch.alias("_q"))
-        return out.select(*by, *[F.element_at("_q", i + 1).alias(n) for i, n in enumerate(names)])
+        listed = ", ".join(f"{float(probs[n])!r}D" for n in names)
+        out = rows.groupBy(*by).agg(F.expr(f"percentile_approx(_v, array({listed}), 10000)").alias("_q"))
+        return out.selectExpr(*_quoted("", by), *[f"get(_q, {i}) AS `{n}`" for i, n in enumerate(names)])
 
-    # Identical values collapse map-side, so a hot value or a hot group is spread by value before any ordering.
     keys = by or ["_all"]
     if not by:
-        rows = rows.withColumn("_all", F.lit(0))
-    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    counts = _with_bucket(counts, "_v", _cut_points(counts.filter(F.col("_n") > 0), "_v"))
-
-    per_bucket = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
-    up_to = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
-    per_bucket = per_bucket.select(
-        *keys,
-        "_b",
-        "_bn",
-        (F.sum("_bn").over(up_to) - F.col("_bn")).alias("_before"),
-        F.sum("_bn").over(W.partitionBy(*keys)).alias("_total"),
-    )
-
-    def position(p: float) -> Column:
-        return F.lit(float(p)) * (F.col("_total") - 1)
-
-    wanted = F.array(*[f(position(probs[n])).cast("long") for n in names for f in (F.floor, F.ceil)])
-    hit = F.exists(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_bn")))
-    located = per_bucket.filter(hit).alias("h")
-
-    inside = counts.alias("c").join(located, _same("c", "h", [*keys, "_b"]), "inner")
-    inside = inside.select(*[F.col(f"c.{k}") for k in keys], "c._b", "c._v", "c._n", "h._before", "h._total")
-    run = F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
-    inside = inside.withColumn("_end", F.col("_before") + run)
-
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_end") - F.col("_n")) & (rank < F.col("_end")), F.col("_v")))
-
+        rows = rows.selectExpr("0 AS _all", "_v")
+    cols = _quoted("", keys)
+    group = ", ".join(cols)
+    # Identical values collapse map-side, so a hot value or a hot group is spread by value before any ordering.
+    # Both readers of the counts below share one shuffle; the filter keeps their plans alike.
+    counts = rows.groupBy(*keys, "_v").agg(F.expr("count(1) AS _n"))
+    counts = _with_bucket(counts, "_v", _cut_points(counts.where("_n > 0"), "_v"))
+
+    # Which bucket of each group holds each wanted rank: at most 256 rows per group are ordered here.
+    sizes = counts.groupBy(*keys, "_b").agg(F.expr("sum(_n) AS _bn")).selectExpr(
+        *cols, "_b", "_bn",
+        f"sum(_bn) OVER (PARTITION BY {group} ORDER BY _b ROWS UNBOUNDED PRECEDING) - _bn AS _before",
+        f"sum(_bn) OVER (PARTITION BY {group}) AS _total",
+    )
+    ranks = {n: f"({float(p)!r}D * (_total - 1))" for n, p in probs.items()}
+    wanted = ", ".join(f"floor({r}), ceil({r})" for r in ranks.values())
+    located = sizes.where(f"exists(array({wanted}), r -> r >= _before AND r < _before + _bn)")
+
+    # Only the located buckets are sorted, each on its own.
+    inside = counts.alias("c").join(located.alias("h"), _same("c", "h", [*keys, "_b"])).selectExpr(
+        *_quoted("c.", keys), "c._b", "_v", "_n", "_before", "_total"
+    ).selectExpr(
+        *cols, "_v", "_n", "_total",
+        f"_before + sum(_n) OVER (PARTITION BY {group}, _b ORDER BY _v ROWS UNBOUNDED PRECEDING) AS _end",
+    )
     picks = []
-    for i, n in enumerate(names):
-        picks.append(value_at(F.floor(position(probs[n]))).alias(f"_lo{i}"))
-        picks.append(value_at(F.ceil(position(probs[n]))).alias(f"_hi{i}"))
-    found = inside.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
-    out = []
-    for i, n in enumerate(names):
-        pos = position(probs[n])
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(n))
-    return found.select(*by, *out)
+    for i, r in enumerate(ranks.values()):
+        for side, rank in (("lo", f"floor({r})"), ("hi", f"ceil({r})")):
+            picks.append(F.expr(f"max(CASE WHEN {rank} >= _end - _n AND {rank} < _end THEN _v END) AS _{side}{i}"))
+    found = inside.groupBy(*keys).agg(F.expr("max(_total) AS _total"), *picks)
+    return found.selectExpr(
+        *_quoted("", by),
+        *[f"_lo{i} + (_hi{i} - _lo{i}) * ({r} - floor({r})) AS `{n}`" for i, (n, r) in enumerate(ranks.items())],
+    )
 
 
 def row_numbers(df: DataFrame, order: str, by: Sequence[str] = (), name: str = "row_number") -> DataFrame:
     """1-based numbers by the unique numeric column ``order`` inside each ``by`` group, without one task per group."""
-    keys = list(by)
+    keys = [*by, "_b"]
     rows = _with_bucket(df, order, _cut_points(df, order))
-    sizes = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bn"))
-    before = F.coalesce(
-        F.sum("_bn").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+    group = f"PARTITION BY {', '.join(_quoted('', by))}" if by else ""
+    offsets = rows.groupBy(*keys).agg(F.expr("count(1) AS _bn")).selectExpr(
+        *_quoted("", keys),
+        f"coalesce(sum(_bn) OVER ({group} ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before",
     )
-    offsets = sizes.select(*keys, "_b", before.alias("_before")).alias("o")
-    joined = rows.alias("r").join(offsets, _same("r", "o", [*keys, "_b"]), "inner")
-    local = F.row_number().over(W.partitionBy(*[F.col(f"r.{k}") for k in keys], F.col("r._b")).orderBy(f"r.{order}"))
-    return joined.select(*[F.col(f"r.`{c}`") for c in df.columns], (F.col("o._before") + local).cast("long").alias(name))
+    joined = rows.alias("r").join(offsets.alias("o"), _same("r", "o", keys))
+    local = f"row_number() OVER (PARTITION BY {', '.join(_quoted('r.', keys))} ORDER BY r.`{order}`)"
+    return joined.selectExpr(*_quoted("r.", df.columns), f"o._before + {local} AS `{name}`")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("statistics", "dashboards", "anomalies")
+MODULES = ("statistics", "dashboards", "anomalies", "catalogue")
 
 
 def load_all() -> None:

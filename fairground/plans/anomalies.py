@@ -29,12 +29,12 @@ u AS (SELECT * FROM o WHERE iqr_outlier OR z_outlier OR mad_outlier)
 
 @query("d01_iqr_outliers", NORMAL_ACTIVITY + _BOUNDS + "SELECT uuid, price FROM o WHERE iqr_outlier")
 def d01(spark, sf):
-    return anomaly.flag_outliers(b.normal_activity(spark, sf)).filter("iqr_outlier").select("uuid", "price")
+    return anomaly.iqr_outliers(b.normal_activity(spark, sf)).select("uuid", "price")
 
 
 @query("d02_z_outliers", NORMAL_ACTIVITY + _BOUNDS + "SELECT uuid, price FROM o WHERE z_outlier")
 def d02(spark, sf):
-    return anomaly.flag_outliers(b.normal_activity(spark, sf)).filter("z_outlier").select("uuid", "price")
+    return anomaly.z_outliers(b.normal_activity(spark, sf)).select("uuid", "price")
 
 
 @query("d03_mad_outliers", NORMAL_ACTIVITY + _BOUNDS + "SELECT uuid, price FROM o WHERE mad_outlier")
@@ -230,7 +230,7 @@ def u02(spark, sf):
 
 @query("d12_anomaly_score", _ALL + """
 SELECT CAST(uuid AS VARCHAR) AS uuid,
-       coalesce(least(sum(CASE severity WHEN 'high' THEN 40 WHEN 'medium' THEN 20 WHEN 'low' THEN 10 END), 100), 0)
+       least(coalesce(sum(CASE severity WHEN 'high' THEN 40 WHEN 'medium' THEN 20 WHEN 'low' THEN 10 END), 0), 100)
          AS score
 FROM norm LEFT JOIN capped USING (uuid) GROUP BY uuid""")
 def d12(spark, sf):

@@ -141,10 +141,10 @@ def a07_by(spark, sf):
 
 @query("a08_category_stats", NORMAL_LISTINGS + """
 SELECT category, count(*) AS n, round(avg(price), 4) AS mean, round(stddev_samp(price), 4) AS std,
-       round(quantile_cont(price, 0.25), 4) AS q1, round(median(price), 4) AS median,
-       round(quantile_cont(price, 0.75), 4) AS q3 FROM priced GROUP BY category""")
+       round(quantile_cont(price, 0.25), 8) AS q1, round(median(price), 8) AS median,
+       round(quantile_cont(price, 0.75), 8) AS q3 FROM priced GROUP BY category""")
 def a08(spark, sf):
-    return rounded(stats.category_stats(normal_listings(spark, sf)), mean=4, std=4, q1=4, median=4, q3=4)
+    return rounded(stats.category_stats(normal_listings(spark, sf)), mean=4, std=4, q1=8, median=8, q3=8)
 
 
 @query("a09_temporal_counts", NORMAL_ACTIVITY + """
