@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("statistics", "dashboards", "anomalies", "catalogue")
+MODULES = ("statistics", "dashboards", "anomalies", "catalogue", "linking")
 
 
 def load_all() -> None:

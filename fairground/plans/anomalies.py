@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fairground.functions.labels import severity_rank
 from fairground.operators import anomaly
 from fairground.operators.relations import exact_duplicates
 from fairground.plans import bindings as b
 from fairground.plans.bindings import NORMAL_ACTIVITY, NORMAL_LISTINGS, NORMAL_SHIPMENTS, rounded, with_sql
 from fairground.plans.registry import query
+from fairground.sources.tables import read_table
 
 # Points in time inside the span of each table, so that past and future events both exist.
 ACTIVITY_AS_OF = "2024-01-15 12:00:00"
@@ -72,12 +74,17 @@ def d04_rows(spark, sf):
     return anomaly.expensive_rows(b.normal_activity(spark, sf)).select("uuid", "title", "type", "severity")
 
 
-@query("d05_round_prices", NORMAL_SHIPMENTS + """
+@query("d05_round_prices", NORMAL_SHIPMENTS.replace("l_extendedprice AS price", "l_quantity * 100 AS price") + """
 SELECT uuid, title, 'suspiciously_round_price' AS type, 'low' AS severity,
        'Price is a suspiciously round number (' || CAST(price AS BIGINT) || ' TL)' AS reason
 FROM norm WHERE price >= 1000 AND price % 1000 = 0""")
 def d05(spark, sf):
-    return anomaly.round_price_rows(b.normal_shipments(spark, sf))
+    df = read_table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("uuid"),
+        F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("title"),
+        (F.col("l_quantity") * 100).alias("price"),
+    )
+    return anomaly.round_price_rows(df)
 
 
 @query("d06_psychological_pricing", NORMAL_SHIPMENTS + """
@@ -240,7 +247,5 @@ def d12(spark, sf):
 @query("f35_severity_labels", NORMAL_ACTIVITY + _BOUNDS + """
 SELECT uuid, CASE sev WHEN 'high' THEN 3 ELSE 2 END AS severity_rank FROM u WHERE expensive""")
 def f35(spark, sf):
-    from fairground.functions.labels import severity_rank
-
     rows = anomaly.expensive_rows(b.normal_activity(spark, sf))
     return rows.select("uuid", severity_rank(F.col("severity")).alias("severity_rank"))

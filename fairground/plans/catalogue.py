@@ -53,9 +53,9 @@ def p03(spark, sf):
 
 
 @query("p04_by_category_and_venue", _LISTINGS + """
-SELECT uuid, title, price FROM listings WHERE category = '1-URGENT' AND venue = 'FRANCE' AND source = 'F'""")
+SELECT uuid, title, price FROM listings WHERE category = '1-URGENT' AND venue = 'NATION_7' AND source = 'F'""")
 def p04(spark, sf):
-    found = filters.lookup(b.listings(spark, sf), category="1-URGENT", venue="FRANCE", source="F")
+    found = filters.lookup(b.listings(spark, sf), category="1-URGENT", venue="NATION_7", source="F")
     return found.select("uuid", "title", "price")
 
 
@@ -418,13 +418,16 @@ def s06(spark, sf):
 
 
 @query("s07_child_upsert", """
-SELECT l_orderkey * 10 + l_linenumber AS uuid, l_orderkey AS event_uuid, l_quantity AS rating
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'""")
+SELECT l_orderkey * 10 + l_linenumber AS uuid, l_orderkey AS event_uuid, max(l_quantity) AS rating
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY ALL""")
 def s07(spark, sf):
     content = read_table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("uuid"), F.col("l_orderkey").alias("event_uuid"),
         F.col("l_quantity").alias("rating"), F.col("l_shipdate").alias("updated_at"),
     )
+    content = content.groupBy("uuid", "event_uuid").agg(
+        F.max("rating").alias("rating"), F.max("updated_at").alias("updated_at")
+    )
     parents = _stored(spark, sf).filter("source = 'F'")
     return sinks.upsert_children(content.limit(0), content, parents).select("uuid", "event_uuid", "rating")
 
