@@ -50,7 +50,7 @@ def split_venue(c: Column) -> Column:
     inside = F.get(F.filter(cities, lambda x: F.contains(c, x)), 0)
     corrected = tail.isNotNull() & ~tail_known & inside.isNotNull()
     without = F.replace(F.replace(c, F.concat(F.lit(", "), inside), F.lit("")), inside, F.lit(""))
-    venue = F.when(corrected & F.endswith(c, inside), F.trim(F.lit(","), F.trim(without))).otherwise(F.trim(head))
+    venue = F.when(corrected & F.endswith(c, inside), F.trim(F.trim(without), F.lit(","))).otherwise(F.trim(head))
     city = F.when(corrected, inside).otherwise(tail)
     return F.struct(venue.alias("venue"), city.alias("city"))
 
@@ -62,7 +62,7 @@ def city_in(c: Column, cities: tuple[str, ...] = KNOWN_CITIES[:6]) -> Column:
 
 def parse_rating(c: Column) -> Column:
     """'"4,7"' -> 4.7."""
-    return F.replace(F.trim(F.lit('"'), F.trim(c)), F.lit(","), F.lit(".")).try_cast("double")
+    return F.replace(F.trim(F.trim(c), F.lit('"')), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def parse_rating_count(c: Column) -> Column:

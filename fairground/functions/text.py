@@ -12,13 +12,13 @@ BOILERPLATE = ("no reviews available", "impossible to gauge", "no description")
 
 def clean_text(c: Column, empty_to_null: bool = False) -> Column:
     """Collapse whitespace runs and trim. Null stays null unless ``empty_to_null`` is False, when it becomes ''."""
-    text = F.trim(F.regexp_replace(c, r"\s+", " "))
+    text = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
     return F.nullif(text, F.lit("")) if empty_to_null else F.coalesce(text, F.lit(""))
 
 
 def normalize_spaces(c: Column) -> Column:
     """Collapse whitespace runs; null and '' pass through unchanged."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def blank(c: Column) -> Column:
