@@ -78,39 +78,60 @@ def expand_to_days(c: Column, as_of: Column, strict: bool = False) -> Column:
     )
 
 
+def _folded(c: Column) -> Column:
+    """Lower case with i, ı, I and İ made equal, as in a case-insensitive match of month names."""
+    return F.translate(F.lower(F.translate(c, "İI", "ii")), "ı", "i")
+
+
+def _folded_name(name: str) -> str:
+    return name.replace("İ", "i").replace("I", "i").lower().replace("ı", "i")
+
+
 def date_from_title(c: Column, as_of: Column) -> Column:
     """'… 5 Aralık …' -> 'YYYY Aralık 05'; '' when the title names no date.
 
-    Months are tried in table order, 'day month' before 'month day', ignoring case. The January..March rollover
-    applies even beside an explicit year.
+    Of several dates the one whose month comes first in the table wins ('day month' before 'month day'), ignoring
+    case. The January..March rollover applies even beside an explicit year.
     """
+    order = F.create_map(*[F.lit(x) for i, (n, _) in enumerate(NAMED_MONTHS) for x in (_folded_name(n), i)])
+
+    def candidates(pattern: str, form: int) -> Column:
+        tokens = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+        return F.transform(
+            tokens,
+            lambda t, i: F.struct(
+                order[_folded(F.regexp_extract(t, rf"(?iu)({_ANY})", 1))].alias("month"), F.lit(form).alias("form"),
+                i.alias("at"), F.regexp_extract(t, r"(\d{1,2})", 1).cast("int").alias("day"),
+            ),
+        )
+
+    both = F.concat(
+        candidates(rf"(?iu)(?:\d{{1,2}})\s+(?:{_ANY})", 0), candidates(rf"(?iu)(?:{_ANY})\s+(?:\d{{1,2}})", 1)
+    )
+    best = F.array_min(both)
+    month = best["month"] % 12 + 1
     year = F.coalesce(_found(c, _YEAR).try_cast("int"), F.year(as_of))
-    tries = []
-    for name, number in NAMED_MONTHS:
-        for pattern in (rf"(?iu)(\d{{1,2}})\s+{name}", rf"(?iu){name}\s+(\d{{1,2}})"):
-            day = _found(c, pattern).try_cast("int")
-            month = F.lit(number)
-            tries.append(F.when(day.isNotNull(), _label(roll_year(year, month, as_of), month, day)))
-    return F.coalesce(*tries, F.lit(""))
+    return F.when(best.isNotNull(), _label(roll_year(year, month, as_of), month, best["day"])).otherwise(F.lit(""))
 
 
 def parse_date(c: Column, default_year: int = 2026) -> Column:
     """ISO text, '2026 Mayıs 23' or '23 Mayıs 2026' to timestamp; null when neither or no such day."""
     low = F.lower(F.trim(c))
     iso = F.when(
-        low.rlike(r"^\d{4}-\d{2}-\d{2}([ t].*)?$"), F.replace(F.upper(low), F.lit("Z"), F.lit("+00:00")).try_cast("timestamp")
+        low.rlike(r"^\d{4}-\d{2}-\d{2}([ t].*)?$"),
+        F.replace(F.upper(low), F.lit("Z"), F.lit("+00:00")).try_cast("timestamp"),
     )
     numbers = F.regexp_extract_all(low, F.lit(r"(\d+)"), F.lit(1))
-    first, second = F.try_element_at(numbers, F.lit(1)).try_cast("int"), F.try_element_at(numbers, F.lit(2)).try_cast("int")
-    year_first = first > 1000
-    year = F.when(year_first, first).when(second > 1000, second).otherwise(F.lit(default_year))
-    day = F.when(year_first, second).otherwise(first)
+    first, second = F.get(numbers, 0).try_cast("int"), F.get(numbers, 1).try_cast("int")
+    year = F.when(first > 1000, first).when(second > 1000, second).otherwise(F.lit(default_year))
+    day = F.when(first > 1000, second).otherwise(first)
     zero = F.lit(0)
-    tries = [
-        F.when(F.contains(low, F.lit(name.lower())), F.try_make_timestamp(year, F.lit(i), day, zero, zero, zero))
-        for i, name in enumerate(MONTHS, 1)
-    ]
-    return F.coalesce(iso, F.when(second.isNotNull(), F.coalesce(*tries)))
+    # Every month named in the text is tried in calendar order; the first that gives a real day wins.
+    tries = F.transform(
+        F.array(*[F.lit(name.lower()) for name in MONTHS]),
+        lambda name, i: F.when(F.contains(low, name), F.try_make_timestamp(year, i + 1, day, zero, zero, zero)),
+    )
+    return F.coalesce(iso, F.when(second.isNotNull(), F.get(F.filter(tries, lambda t: t.isNotNull()), 0)))
 
 
 def catalogue_timestamp(c: Column, as_of: Column) -> Column:
@@ -134,14 +155,29 @@ def slash_date(c: Column) -> Column:
 
 
 def dated_text(c: Column, as_of: Column) -> Column:
-    """First date phrase of a page text: release label, then 'D[ - D] Month YYYY', then 'D Month' + current year."""
-    release, full, yearless = [], [], []
-    for name in MONTHS:
-        release.append(_found(c, rf"Vizyon Tarihi\s*([0-9]{{1,2}}\s+{name}\s+[0-9]{{4}})"))
-        full.append(_found(c, rf"(\d{{1,2}}(?:\s*-\s*\d{{1,2}})?\s+{name}\s+\d{{4}})"))
-        bare = _found(c, rf"(\d{{1,2}}\s+{name})(?!\s+\d{{4}})")
-        yearless.append(F.concat(bare, F.lit(" "), F.year(as_of).cast("string")))
-    return F.trim(F.coalesce(*release, *full, *yearless))
+    """First date phrase of a page text: release label, then 'D[ - D] Month YYYY', then 'D Month' + current year.
+
+    Within a form the month that comes first in the calendar wins, then the earlier place in the text.
+    """
+    any_month = "|".join(MONTHS)
+    order = F.create_map(*[F.lit(x) for i, n in enumerate(MONTHS) for x in (n, i)])
+
+    def best(pattern: str) -> Column:
+        found = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+        keyed = F.transform(
+            found,
+            lambda t, i: F.struct(
+                order[F.regexp_extract(t, f"({any_month})", 1)].alias("month"), i.alias("at"), t.alias("text")
+            ),
+        )
+        return F.array_min(keyed)["text"]
+
+    bare = best(rf"(\d{{1,2}}\s+(?:{any_month}))(?!\s+\d{{4}})")
+    return F.trim(F.coalesce(
+        best(rf"Vizyon Tarihi\s*([0-9]{{1,2}}\s+(?:{any_month})\s+[0-9]{{4}})"),
+        best(rf"(\d{{1,2}}(?:\s*-\s*\d{{1,2}})?\s+(?:{any_month})\s+\d{{4}})"),
+        F.concat(bare, F.lit(" "), F.year(as_of).cast("string")),
+    ))
 
 
 def fill_date(listed: Column, title: Column, as_of: Column) -> Column:

@@ -42,9 +42,9 @@ def decode_people(c: Column) -> Column:
 
 
 def decode_reply(c: Column, schema: str, required: Sequence[str]) -> Column:
-    """Parse a reply against ``schema``; null when it does not parse or lacks a required field."""
+    """Parse a reply against ``schema``; null when it does not parse, is empty, or lacks a required field."""
     reply = F.from_json(c, schema, {"mode": "PERMISSIVE"})
-    ok = F.lit(True)
+    ok = F.to_json(reply) != "{}"  # malformed text parses to a struct of nulls
     for name in required:
         ok = ok & reply[name].isNotNull()
     return F.when(ok, reply)

@@ -152,7 +152,8 @@ def f04(spark, sf):
 
 
 @query("f04_day_first_dates", f"""
-SELECT o_orderkey AS uuid, {_LABEL.format(y="year(o_orderdate)", d="day(o_orderdate)")} AS date FROM orders""")
+SELECT o_orderkey AS uuid, {_LABEL.format(y="CASE WHEN year(o_orderdate) >= 2000 THEN year(o_orderdate) ELSE 2024 END", d="day(o_orderdate)")}
+  AS date FROM orders""")
 def f04_day_first(spark, sf):
     shown = F.concat_ws(" ", F.dayofmonth("o_orderdate").cast("string"), _month(), F.year("o_orderdate").cast("string"))
     days = dates.expand_dates(shown, as_of(), strict=True)
@@ -190,8 +191,8 @@ def f07(spark, sf):
 
 
 @query("f08_parse_date", """
-SELECT o_orderkey AS uuid, strftime(CASE WHEN o_orderstatus = 'P'
-  THEN make_date(2026, month(o_orderdate), day(o_orderdate)) ELSE CAST(o_orderdate AS DATE) END, '%Y-%m-%d') AS day FROM orders""")
+SELECT o_orderkey AS uuid, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d')
+  WHEN strftime(o_orderdate, '%m-%d') <> '02-29' THEN strftime(o_orderdate, '2026-%m-%d') END AS day FROM orders""")
 def f08(spark, sf):
     day, year = F.dayofmonth("o_orderdate").cast("string"), F.year("o_orderdate").cast("string")
     status = F.col("o_orderstatus")
@@ -342,14 +343,14 @@ def _decoded(c: str) -> str:
 SELECT page_id, {_decoded("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
   len(regexp_extract_all(html, '<li><a href=')) AS n_links FROM pages""")
 def s04(spark, sf):
-    df = pages.article_pages(read_table(spark, sf, "pages"))
+    df = pages.article_pages(spread(read_table(spark, sf, "pages")))
     return df.select("page_id", "title", "lang", F.size("links").alias("n_links"))
 
 
 @query("f20_page_titles", f"""
 SELECT page_id, {_decoded("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title FROM pages""")
 def f20(spark, sf):
-    f = pages.extract_fields(read_table(spark, sf, "pages"), {"h2": ("h2 a", "own"), "t": ("head > title", "text")})
+    f = pages.extract_fields(spread(read_table(spark, sf, "pages")), {"h2": ("h2 a", "own"), "t": ("head > title", "text")})
     return f.select("page_id", pages.first("h2", "t").alias("title"))
 
 
@@ -357,20 +358,25 @@ def f20(spark, sf):
 SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || {_decoded('link')} AS link
 FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS link FROM pages)""")
 def f21(spark, sf):
-    links = pages.article_pages(read_table(spark, sf, "pages")).select("page_id", "url", F.explode("links").alias("link"))
+    links = pages.article_pages(spread(read_table(spark, sf, "pages"))).select("page_id", "url", F.explode("links").alias("link"))
     return links.select("page_id", places.absolute_url(F.col("link"), F.col("url")).alias("link"))
 
 
 @query("f22_entity_decoding", f"""
 SELECT page_id, {_decoded("regexp_extract(html, '<footer>(.*?)</footer>', 1, 's')")} AS footer FROM pages""")
 def f22(spark, sf):
-    return pages.article_pages(read_table(spark, sf, "pages")).select("page_id", "footer")
+    return pages.article_pages(spread(read_table(spark, sf, "pages"))).select("page_id", "footer")
 
 
 def _joined(parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def spread(df):
+    """Small test tables arrive in one task; parsing should still use every core."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def tour_pages(spark, sf):
     """One tour page per customer: a city block with a dated row per order."""
     day = F.format_string("%d %s", F.dayofmonth("o_orderdate"), _month())
@@ -389,7 +395,7 @@ SELECT o_custkey AS page_id, c_name AS title, o_orderpriority AS venue, c_mktseg
        {_LABEL.format(y="'2024'", d="day(o_orderdate)")} AS date, o_totalprice AS price
 FROM orders JOIN customer ON c_custkey = o_custkey""")
 def f24(spark, sf):
-    detail = pages.site_a_detail(tour_pages(spark, sf), as_of())
+    detail = pages.site_a_detail(spread(tour_pages(spark, sf)), as_of())
     return pages.site_a_events(detail, as_of()).select("page_id", "title", "venue", "city", "date", "price")
 
 
@@ -413,7 +419,7 @@ def event_pages(spark, sf):
 SELECT o_orderkey AS page_id, {_LABEL.format(y="'2024'", d="d")} AS date FROM orders,
 LATERAL (SELECT unnest(range(day(o_orderdate), day(o_orderdate) + 1 + o_custkey % 3)) AS d)""")
 def f25(spark, sf):
-    detail = pages.site_a_detail(event_pages(spark, sf), as_of())
+    detail = pages.site_a_detail(spread(event_pages(spark, sf)), as_of())
     return pages.site_a_events(detail, as_of()).select("page_id", "date")
 
 
@@ -421,26 +427,26 @@ def f25(spark, sf):
 SELECT o_orderkey AS page_id, 'Kind ' || o_orderpriority AS category, 'Genre ' || o_orderstatus AS genre,
        month(o_orderdate) || '0 dakika' AS duration FROM orders""")
 def f30(spark, sf):
-    return pages.site_a_detail(event_pages(spark, sf), as_of()).select("page_id", "category", "genre", "duration")
+    return pages.site_a_detail(spread(event_pages(spark, sf)), as_of()).select("page_id", "category", "genre", "duration")
 
 
 @query("f32_sold_out_price", """
 SELECT o_orderkey AS page_id, o_orderstatus = 'P' AS sold_out, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price FROM orders""")
 def f32(spark, sf):
-    return pages.site_a_detail(event_pages(spark, sf), as_of()).select("page_id", "sold_out", "price")
+    return pages.site_a_detail(spread(event_pages(spark, sf)), as_of()).select("page_id", "sold_out", "price")
 
 
 @query("f27_descriptions", """
 SELECT o_orderkey AS page_id, 'Kind ' || o_orderpriority || ' Yönetmen: Person ' || o_custkey || ', Helper' AS description FROM orders""")
 def f27(spark, sf):
-    return pages.site_a_detail(event_pages(spark, sf), as_of()).select("page_id", "description")
+    return pages.site_a_detail(spread(event_pages(spark, sf)), as_of()).select("page_id", "description")
 
 
 @query("f28_credits", """
 SELECT o_orderkey AS page_id, 'Person ' || o_custkey AS name, 'DIRECTED' AS role FROM orders
 UNION ALL SELECT o_orderkey, 'Helper', 'DIRECTED' FROM orders""")
 def f28(spark, sf):
-    return pages.credit_rows(pages.site_a_detail(event_pages(spark, sf), as_of()))
+    return pages.credit_rows(pages.site_a_detail(spread(event_pages(spark, sf)), as_of()))
 
 
 def comment_pages(spark, sf):
@@ -459,11 +465,11 @@ SELECT conv_id AS page_id, 'user_review' AS content_type, role || ' ' || turn AS
        trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, turn + 0.5 AS rating FROM conversations
 WHERE length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 10 AND NOT contains(text, 'SEYİRCİ')""")
 def f26(spark, sf):
-    return pages.review_rows(pages.site_a_detail(comment_pages(spark, sf), as_of()))
+    return pages.review_rows(pages.site_a_detail(spread(comment_pages(spark, sf)), as_of()))
 
 
 @query("f29_name_patterns", """
-SELECT c_custkey AS page_id, CASE WHEN c_nationkey < 12 THEN 'Deniz Ak' ELSE 'Ece Su' END AS name, 'PERFORMED_BY' AS role FROM customer""")
+SELECT c_custkey AS page_id, CASE WHEN c_nationkey < 12 THEN 'Deniz Ak Tek Kişilik' ELSE 'Ece Su' END AS name, 'PERFORMED_BY' AS role FROM customer""")
 def f29(spark, sf):
     words = F.when(F.col("c_nationkey") < 12, "Deniz Ak Tek Kişilik Stand Up").otherwise("Sahne Alan: Ece Su")
     html = _joined(['<body><div class="yds_cinema_movie_thread_info"><p>bu akşam ', words, "</p></div></body>"])

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,14 +43,23 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
     )
 
 
+def _shared_folder(spark: SparkSession) -> str | None:
+    """The cluster's shared folder for checkpoints; None only in a local session that names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return folder
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder path for one run's own files."""
+    base = _shared_folder(spark) or tempfile.mkdtemp(prefix="fairground-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return  # the cluster's shared folder; the context already uses it
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder before running iterative operators")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix=f"fairground-{os.getpid()}-"))
+    if _shared_folder(spark) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fairground-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

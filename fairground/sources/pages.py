@@ -1,6 +1,6 @@
 """Field extraction from stored web pages.
 
-A small tag-by-tag matcher runs inside ``mapInPandas`` and only collects the texts and attributes the rules name.
+A small tag-by-tag matcher runs inside ``mapInArrow`` and only collects the texts and attributes the rules name.
 Everything after that (fallbacks, prices, dates, fan-out to rows) is native column expressions over the result.
 """
 
@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator, Mapping
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fairground.functions import dates, places, prices, text
@@ -73,9 +73,9 @@ def _matches(path: list[dict], steps: list, at: int) -> bool:
 class _Collector(HTMLParser):
     """Walk the tags once; per rule keep (pos, end, value) of every match, in document order."""
 
-    def __init__(self, rules: list[tuple[str, list, str]]):
+    def __init__(self, rules: dict[str | None, list[tuple[str, list, str]]]):
         super().__init__(convert_charrefs=True)
-        self.rules, self.found = rules, {name: [] for name, _, _ in rules}
+        self.rules, self.found = rules, {name: [] for rules_of in rules.values() for name, _, _ in rules_of}
         self.stack = [{"tag": "", "children": [], "open": []}]
         self.pos = 0
 
@@ -92,7 +92,7 @@ class _Collector(HTMLParser):
         if tag in BLOCK:
             self.handle_data("\n")
         path = [*self.stack[1:], node]
-        for name, steps, what in self.rules:
+        for name, steps, what in self._candidates(node):
             if _matches(path, steps, len(steps) - 1):
                 hit = {"pos": self.pos, "end": self.pos, "value": attrs.get(what[1:]) if what[0] == "@" else ""}
                 self.found[name].append(hit)
@@ -101,6 +101,15 @@ class _Collector(HTMLParser):
         if tag in VOID:
             self._close()
 
+    def _candidates(self, node) -> list:
+        rules = self.rules
+        out = [*rules.get(node["tag"], ()), *rules.get(None, ())]
+        for name in node["classes"]:
+            out += rules.get("." + name, ())
+        if "id" in node["attrs"]:
+            out += rules.get("#" + node["attrs"]["id"], ())
+        return out
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.stack[-1]["tag"] == tag:
@@ -128,41 +137,64 @@ class _Collector(HTMLParser):
         self.close()
         while len(self.stack) > 1:
             self._close()
+        for hits in self.found.values():
+            for hit in hits:
+                hit["value"] = " ".join(hit["value"].split()) if hit["value"] is not None else None
         return self.found
 
 
-def extract_fields(pages: DataFrame, rules: Mapping[str, tuple[str, str]], key: str = "page_id") -> DataFrame:
-    """(key, url, one array<struct<pos, end, value>> per rule) for every page.
+def _collect(rules: dict, html: str | None) -> dict[str, list[dict]]:
+    collector = _Collector(rules)
+    collector.feed(html or "")
+    return collector.finish()
+
+
+def _by_last_step(rules: Mapping[str, tuple[str, str]]) -> dict[str | None, list[tuple[str, list, str]]]:
+    """Compiled rules under the tag, class or id their last step asks for (None: neither), so that an element is
+    tried against few of them."""
+    out: dict[str | None, list] = {}
+    for name, (selector, what) in rules.items():
+        steps = _steps(selector)
+        asks = {kind: value for kind, value, _, _ in reversed(steps[-1][1])}
+        at = "#" + asks["id"] if "id" in asks else "." + asks["cls"] if "cls" in asks else asks.get("tag")
+        out.setdefault(at, []).append((name, steps, what))
+    return out
+
+
+def extract_fields(
+    pages: DataFrame, rules: Mapping[str, tuple[str, str]], key: str = "page_id", partitions: int | None = None
+) -> DataFrame:
+    """(key, url, one array<struct<pos, end, value>> per rule) for every page; whitespace in values is collapsed.
 
     A rule is (selector, what): ``text`` is all text below the element, ``own`` only its direct text, ``@name`` an
     attribute. Selectors know tags, classes, ids, attributes, descendants, ``>`` and ``~``. ``pos`` and ``end`` are
-    the element's place in the page: element b lies inside a when a.pos < b.pos <= a.end.
+    the element's place in the page: element b lies inside a when a.pos < b.pos <= a.end. ``partitions`` spreads
+    pages that arrive in fewer tasks than there are cores; a large page table needs none.
     """
-    compiled = [(name, _steps(selector), what) for name, (selector, what) in rules.items()]
+    compiled = _by_last_step(rules)
     kind = dict(pages.dtypes)[key]
     columns = ", ".join(f"{name} array<struct<pos: int, end: int, value: string>>" for name in rules)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = pa.list_(pa.struct([("pos", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
         for batch in batches:
-            found = []
-            for html in batch["html"]:
-                collector = _Collector(compiled)
-                collector.feed(html or "")
-                found.append(collector.finish())
-            out = {key: batch[key], "url": batch["url"]}
-            out.update({name: [f[name] for f in found] for name in rules})
-            yield pd.DataFrame(out)
+            found = [_collect(compiled, html) for html in batch.column("html").to_pylist()]
+            arrays = [batch.column(key), batch.column("url")]
+            arrays += [pa.array([f[name] for f in found], hits) for name in rules]
+            yield pa.RecordBatch.from_arrays(arrays, [key, "url", *rules])
 
-    return pages.select(key, "url", "html").mapInPandas(run, f"{key} {kind}, url string, {columns}")
+    pages = pages.select(key, "url", "html")
+    pages = pages.repartition(partitions) if partitions else pages
+    return pages.mapInArrow(run, f"{key} {kind}, url string, {columns}")
 
 
 # Native access to the result -----------------------------------------------------------------------------------------
 
 
 def values(field: str | Column) -> Column:
-    """Cleaned, non-empty values of a rule, in page order."""
+    """Non-empty values of a rule, in page order."""
     c = F.col(field) if isinstance(field, str) else field
-    return F.filter(F.transform(c, lambda h: text.normalize_spaces(h["value"])), lambda v: v.isNotNull() & (v != ""))
+    return F.filter(c["value"], lambda v: v != "")
 
 
 def first(*fields: str, longer_than: int = 0) -> Column:
@@ -381,7 +413,7 @@ def _credits() -> Column:
 
     def line(p: Column) -> Column:
         strong = first_inside("credit_role", p)
-        whole = text.normalize_spaces(p["value"])
+        whole = p["value"]
         in_strong = _role(_turkish_upper(strong), CREDIT_ROLES)
         in_line = _role(_turkish_upper(whole), CREDIT_ROLES)
         # 'Role: name, name' has the role in bold; 'Role: <b>name</b>' has the name in bold.
@@ -424,7 +456,7 @@ def site_a_detail(pages: DataFrame, as_of: Column, key: str = "page_id") -> Data
         def build(row: Column) -> Column:
             raw = first_inside("row_date", row)
             return F.struct(
-                text.normalize_spaces(block["value"]).alias("city"),
+                block["value"].alias("city"),
                 F.coalesce(first_inside("row_venue", row), first_inside("row_venue_text", row)).alias("venue"),
                 F.get(dates.expand_dates(raw, as_of), 0).alias("date"),
                 prices.parse_price(first_inside("row_price", row), "tr").alias("price"),
