@@ -76,7 +76,8 @@ class _Collector(HTMLParser):
     def __init__(self, rules: dict[str | None, list[tuple[str, list, str]]]):
         super().__init__(convert_charrefs=True)
         self.rules, self.found = rules, {name: [] for rules_of in rules.values() for name, _, _ in rules_of}
-        self.stack = [{"tag": "", "children": [], "open": []}]
+        self.stack = [{"tag": "", "children": []}]
+        self.open = []  # (depth, hit, what) of the elements now open, innermost last
         self.pos = 0
 
     def handle_starttag(self, tag, attrs):
@@ -84,19 +85,20 @@ class _Collector(HTMLParser):
             self._close()
         self.pos += 1
         attrs = {k: v or "" for k, v in attrs}
-        parent = self.stack[-1]
-        siblings = parent["children"]
-        node = {"tag": tag, "classes": attrs.get("class", "").split(), "attrs": attrs,
-                "siblings": siblings, "index": len(siblings), "children": [], "open": []}
+        siblings = self.stack[-1]["children"]
+        node = {"tag": tag, "classes": attrs["class"].split() if "class" in attrs else (), "attrs": attrs,
+                "siblings": siblings, "index": len(siblings), "children": []}
         siblings.append(node)
-        if tag in BLOCK:
+        if tag in BLOCK and self.open:
             self.handle_data("\n")
-        path = [*self.stack[1:], node]
-        for name, steps, what in self._candidates(node):
-            if _matches(path, steps, len(steps) - 1):
-                hit = {"pos": self.pos, "end": self.pos, "value": attrs.get(what[1:]) if what[0] == "@" else ""}
-                self.found[name].append(hit)
-                node["open"].append((hit, what))
+        candidates = self._candidates(node)
+        if candidates:
+            path = [*self.stack[1:], node]
+            for name, steps, what in candidates:
+                if _matches(path, steps, len(steps) - 1):
+                    hit = {"pos": self.pos, "end": self.pos, "value": attrs.get(what[1:]) if what[0] == "@" else ""}
+                    self.found[name].append(hit)
+                    self.open.append((len(self.stack), hit, what))
         self.stack.append(node)
         if tag in VOID:
             self._close()
@@ -122,16 +124,16 @@ class _Collector(HTMLParser):
             self._close()
 
     def handle_data(self, data):
-        if self.stack[-1]["tag"] in ("script", "style"):
-            return
-        for depth, node in enumerate(self.stack):
-            for hit, what in node["open"]:
-                if what == "text" or (what == "own" and depth == len(self.stack) - 1):
+        if self.open and self.stack[-1]["tag"] not in ("script", "style"):
+            top = len(self.stack) - 1
+            for depth, hit, what in self.open:
+                if what == "text" or (what == "own" and depth == top):
                     hit["value"] += data
 
     def _close(self):
-        for hit, _ in self.stack.pop()["open"]:
-            hit["end"] = self.pos
+        self.stack.pop()
+        while self.open and self.open[-1][0] == len(self.stack):
+            self.open.pop()[1]["end"] = self.pos
 
     def finish(self):
         self.close()
