@@ -50,16 +50,17 @@ class SearchFilters:
 
 
 def search_filter(df: DataFrame, filters: SearchFilters, relax: bool = True) -> DataFrame:
-    """Rows matching every constraint; with ``relax``, all rows when nothing matches."""
+    """Rows matching every constraint; with ``relax``, all rows when nothing matches.
+
+    Relaxing runs a probe job that stops at the first match, so that the scan proper gets the plain predicate.
+    """
     predicate = filters.predicate()
     if predicate is None:
         return df
     matches = df.filter(predicate)
     if not relax:
         return matches
-    # The probe stops at the first match; the scan below still gets the predicate per row.
-    none_match = matches.limit(1).agg((F.count(F.lit(1)) == 0).alias("none")).scalar()
-    return df.withColumn("_none", none_match).filter(F.coalesce(predicate, F.lit(False)) | F.col("_none")).drop("_none")
+    return df if matches.isEmpty() else matches
 
 
 def price_worklist(df: DataFrame, source: str) -> DataFrame:

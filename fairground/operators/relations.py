@@ -52,11 +52,15 @@ def restrict_to(df: DataFrame, ids: DataFrame, key: str = "uuid") -> DataFrame:
 
 
 def new_items(items: DataFrame, stored: DataFrame, keys: Sequence[str] = ("title", "venue", "date")) -> DataFrame:
-    """Items whose trimmed key is not stored yet; a null key part equals ''."""
-    known = stored.select(*[_key(k).alias(f"_{k}") for k in keys]).distinct()
-    return items.withColumns({f"_{k}": _key(k) for k in keys}).join(known, [f"_{k}" for k in keys], "left_anti").drop(
-        *[f"_{k}" for k in keys]
-    )
+    """Items whose trimmed key is not stored yet; a null key part equals ''.
+
+    The stored keys are first cut down to those among the items: with few items that side is broadcast and the large
+    stored table is only scanned.
+    """
+    names = [f"_{k}" for k in keys]
+    keyed = items.withColumns({f"_{k}": _key(k) for k in keys})
+    known = stored.select(*[_key(k).alias(f"_{k}") for k in keys]).join(keyed.select(*names).distinct(), names, "left_semi")
+    return keyed.join(known, names, "left_anti").drop(*names)
 
 
 def _key(name: str):

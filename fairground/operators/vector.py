@@ -93,9 +93,13 @@ def vector_top_k(
         parts.append(vectors.mapInPandas(run, schema))
     if not parts:
         return vectors.sparkSession.createDataFrame([], schema + ", rank int")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    found = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best))
-    return found.filter(F.col("rank") <= k)
+    # k rows per task and query, then k per slice and query: the last step ranks at most 64 k rows per query however
+    # many tasks scanned the vectors.
+    order = (F.desc("score"), F.asc("id"))
+    found = reduce(DataFrame.unionByName, parts).withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(64)))
+    for keys in (("query_id", "_slice"), ("query_id",)):
+        found = found.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
+    return found.drop("_slice")
 
 
 def approximate_top_k(vectors: DataFrame, query: list[float], k: int, bucket: float = 0.5, tables: int = 8) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fairground.functions.labels import severity_rank
-from fairground.operators import anomaly
+from fairground.operators import anomaly, report
 from fairground.operators.relations import exact_duplicates
 from fairground.plans import bindings as b
 from fairground.plans.bindings import NORMAL_ACTIVITY, NORMAL_LISTINGS, NORMAL_SHIPMENTS, rounded, with_sql
@@ -244,6 +244,29 @@ def d12(spark, sf):
     return anomaly.anomaly_score(*_all_rows(spark, sf))
 
 
+@query("a15_full_report", _ALL + """
+, m AS (SELECT avg(price) AS mu FROM priced),
+s AS (SELECT avg(power(price - mu, 3)) / power(avg(power(price - mu, 2)), 1.5) AS skewness,
+             avg(power(price - mu, 4)) / power(avg(power(price - mu, 2)), 2) - 3 AS kurtosis FROM priced, m)
+SELECT (SELECT count(*) FROM norm) AS total_events, round_even(avg(price), 2) AS mean_price,
+       round_even(median(price), 2) AS median_price, round_even(stddev_samp(price), 2) AS std_dev,
+       round_even(min(price), 2) AS min_price, round_even(max(price), 2) AS max_price,
+       (SELECT count(DISTINCT category) FROM norm) AS total_categories,
+       (SELECT count(DISTINCT venue) FROM norm) AS total_venues,
+       (SELECT CASE WHEN abs(skewness) < 0.5 THEN 'approximately symmetric' WHEN skewness > 0
+               THEN 'right-skewed (positively skewed)' ELSE 'left-skewed (negatively skewed)' END FROM s) AS shape,
+       (SELECT round_even(skewness, 3) FROM s) AS skewness, (SELECT round_even(kurtosis, 3) FROM s) AS kurtosis,
+       round_even(quantile_cont(price, 0.25), 2) AS q1, round_even(quantile_cont(price, 0.75), 2) AS q3,
+       round_even(quantile_cont(price, 0.75) - quantile_cont(price, 0.25), 2) AS iqr,
+       (SELECT count(*) FROM capped) AS total_anomalies,
+       round_even((SELECT count(*) FROM capped) * 100.0 / (SELECT count(*) FROM norm), 2) AS anomaly_rate,
+       (SELECT count(*) FROM u) AS price_outliers FROM priced""")
+def a15(spark, sf):
+    # The normality verdict has no SQL; h03_ks_normal covers it.
+    row = report.full_report(b.normal_activity(spark, sf), F.lit(ACTIVITY_AS_OF).cast("timestamp"))
+    return row.drop("is_normal", "conclusion")
+
+
 @query("f35_severity_labels", NORMAL_ACTIVITY + _BOUNDS + """
 SELECT uuid, CASE sev WHEN 'high' THEN 3 ELSE 2 END AS severity_rank FROM u WHERE expensive""")
 def f35(spark, sf):

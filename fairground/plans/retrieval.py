@@ -131,9 +131,10 @@ def v03(spark, sf):
     return found.select("query_id", "rank", "title", "venue", "score", "dates", "id", "price")
 
 
-@query("v03_hybrid_search_postfilter")
+@query("v03_hybrid_search_postfilter", with_sql(b.ARTICLES, b.REVIEWS, _TOPICS, _top(100), _EN.replace("FROM sim", "FROM top").replace("SELECT *", "SELECT query_id, id, score"), _SEARCH) + """
+SELECT query_id, rank, title, venue, round(score, 6) AS score, id FROM fin""")
 def v03_post(spark, sf):
-    return _search(spark, sf, prefilter=False)
+    return rounded(_search(spark, sf, prefilter=False), score=6).select("query_id", "rank", "title", "venue", "score", "id")
 
 
 @query("v04_rerank", with_sql(b.ARTICLES, b.REVIEWS, _TOPICS, _EN, _SEARCH) + """

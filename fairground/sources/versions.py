@@ -29,9 +29,13 @@ def read_log(spark: SparkSession, path: str, schema: str, before: int | None = N
     return df if before is None else df.filter(F.col("batch") < before)
 
 
-def current(spark: SparkSession, path: str, schema: str, key: str, before: int | None = None) -> DataFrame:
-    """The last version of each key. ``max_by`` keeps one row per key map-side."""
+def current(
+    spark: SparkSession, path: str, schema: str, key: str, before: int | None = None, only: DataFrame | None = None
+) -> DataFrame:
+    """The last version of each key (of the keys in ``only``). ``max_by`` keeps one row per key map-side."""
     log = read_log(spark, path, schema, before)
+    if only is not None:
+        log = log.join(only.select(key), key, "left_semi")
     fields = [c for c in log.columns if c != "batch"]
     order = F.struct("batch", "updated_at") if "updated_at" in fields else F.col("batch")
     return log.groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("r")).select("r.*")

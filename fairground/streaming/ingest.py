@@ -105,9 +105,8 @@ def store_batch(batch: DataFrame, batch_id: int, out: str, as_of: Column | None
     try:
         good = normalize.accepted(batch)
         is_update = F.coalesce(F.col("is_update_job"), F.lit(False))
-        stored = versions.current(spark, f"{out}/events", EVENTS, "uuid", batch_id)
-
-        fresh = new_in_batch(good.filter(~is_update), stored)
+        # Any version of a row carries its key, so the log is scanned for three columns and not resolved.
+        fresh = new_in_batch(good.filter(~is_update), versions.read_log(spark, f"{out}/events", EVENTS, batch_id))
         keyed = fresh.withColumn("uuid", F.coalesce("uuid", F.sha2(F.concat_ws("|", *KEYS), 256))).persist()
         repriced = good.filter(is_update).groupBy("uuid").agg(
             F.max_by(F.struct("price", "category_prices", "scraped_at"), "scraped_at").alias("u")
@@ -116,7 +115,7 @@ def store_batch(batch: DataFrame, batch_id: int, out: str, as_of: Column | None
             prices.ticket_prices(F.col("u.category_prices")).alias("category_prices"),
             F.coalesce("u.scraped_at", now).alias("updated_at"),
         )
-        touched = stored.join(repriced.select("uuid"), "uuid", "left_semi")
+        touched = versions.current(spark, f"{out}/events", EVENTS, "uuid", batch_id, only=repriced)
         patched = sinks.patch(touched, repriced, ["price", "category_prices", "updated_at"])
         versions.write_batch(
             _fill(event_rows(keyed, now), EVENTS).unionByName(_fill(patched, EVENTS)), f"{out}/events", batch_id

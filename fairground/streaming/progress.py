@@ -33,12 +33,11 @@ def reprice_stream(found: DataFrame, out: str, checkpoint: str, stamp: Column) -
     """Landed price results (uuid, price, category_prices) applied to the stored events, one version per batch."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        stored = versions.current(batch.sparkSession, f"{out}/events", EVENTS, "uuid")
         latest = batch.groupBy("uuid").agg(F.max_by(F.struct("price", "category_prices"), "scraped_at").alias("u")).select(
             "uuid", prices.valid_price(F.col("u.price")).alias("price"),
             prices.ticket_prices(F.col("u.category_prices")).alias("category_prices"), stamp.alias("updated_at"),
         )
-        touched = stored.join(latest.select("uuid"), "uuid", "left_semi")
+        touched = versions.current(batch.sparkSession, f"{out}/events", EVENTS, "uuid", only=latest)
         patched = sinks.patch(touched, latest, ["price", "category_prices", "updated_at"])
         # Price batches are numbered above the ingest's, so they are the later version of a row.
         versions.write_batch(patched, f"{out}/events", 1_000_000_000 + batch_id)
