@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,12 +24,12 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def one_row(*frames: DataFrame) -> DataFrame:
-    """Place one-row frames side by side as scalar subqueries."""
-    out = frames[0]
-    for frame in frames[1:]:
-        packed = frame.select(F.struct(*frame.columns).alias("s")).scalar()
-        out = out.withColumn("_s", packed).select(*out.columns, "_s.*")
-    return out
+    """Place one-row frames side by side: their union has each column set in one row only, so one aggregate folds it.
+
+    The branches run in parallel in one job. A frame without its row leaves its columns null.
+    """
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return together.agg(*[F.first(c, ignorenulls=True).alias(c) for c in together.columns])
 
 
 def beside_quantiles(stats: DataFrame, quants: DataFrame, by: Sequence[str]) -> DataFrame:
