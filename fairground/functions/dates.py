@@ -64,7 +64,7 @@ def _days(c: Column, as_of: Column, strict: bool) -> Column:
 def expand_dates(c: Column, as_of: Column, strict: bool = False) -> Column:
     """Every day named by a range text as 'YYYY Month DD'; the input itself when none is found.
 
-    ``strict`` keeps the reference grammar, where 'D1 - D2 Month' yields D2 only. Months are case-exact.
+    ``strict`` keeps a narrower grammar, where 'D1 - D2 Month' yields D2 only. Months are case-exact.
     """
     labels = F.transform(_days(c, as_of, strict), lambda s: _label(s["y"], s["m"], s["d"]))
     return F.when(F.coalesce(F.size(labels), F.lit(0)) > 0, labels).otherwise(F.array(c))
