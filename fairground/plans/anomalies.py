@@ -237,8 +237,8 @@ def u02(spark, sf):
 
 @query("d12_anomaly_score", _ALL + """
 SELECT CAST(uuid AS VARCHAR) AS uuid,
-       least(coalesce(sum(CASE severity WHEN 'high' THEN 40 WHEN 'medium' THEN 20 WHEN 'low' THEN 10 END), 0), 100)
-         AS score
+       CAST(least(coalesce(sum(CASE severity WHEN 'high' THEN 40 WHEN 'medium' THEN 20 WHEN 'low' THEN 10 END), 0), 100)
+            AS BIGINT) AS score
 FROM norm LEFT JOIN capped USING (uuid) GROUP BY uuid""")
 def d12(spark, sf):
     return anomaly.anomaly_score(*_all_rows(spark, sf))

@@ -84,7 +84,8 @@ def f12(spark, sf):
 
 
 @query("f02_parse_price", """
-SELECT o_orderkey AS uuid, CASE o_orderstatus WHEN 'P' THEN 0.0 WHEN 'F' THEN o_custkey + 0.5 ELSE o_custkey + 0.0 END AS price
+SELECT o_orderkey AS uuid,
+       CAST(CASE o_orderstatus WHEN 'P' THEN 0.0 WHEN 'F' THEN o_custkey + 0.5 ELSE o_custkey + 0.0 END AS DOUBLE) AS price
 FROM orders""")
 def f02(spark, sf):
     key = F.col("o_custkey").cast("string")
@@ -104,7 +105,7 @@ def f03(spark, sf):
 
 
 @query("f34_price_in_text", """
-SELECT o_orderkey AS uuid, CASE WHEN o_orderstatus = 'F' THEN o_custkey + 0.25 END AS price FROM orders""")
+SELECT o_orderkey AS uuid, CAST(CASE WHEN o_orderstatus = 'F' THEN o_custkey + 0.25 END AS DOUBLE) AS price FROM orders""")
 def f34(spark, sf):
     key = F.col("o_custkey").cast("string")
     shown = F.concat(F.lit("2 seats, "), key, F.when(F.col("o_orderstatus") == "F", ",25 TL each").otherwise(" TL each"))
@@ -294,7 +295,7 @@ def f16_people(spark, sf):
 
 
 @query("f39_decode_reply", """
-SELECT doc_id, CASE WHEN lang = 'en' THEN n_chars + 0.0 END AS score, CASE WHEN lang = 'en' THEN source END AS vibe FROM documents""")
+SELECT doc_id, CASE WHEN lang = 'en' THEN CAST(n_chars AS DOUBLE) END AS score, CASE WHEN lang = 'en' THEN source END AS vibe FROM documents""")
 def f39(spark, sf):
     good = F.to_json(F.struct(F.col("n_chars").cast("double").alias("score"), F.col("source").alias("vibe")))
     reply = F.when(F.col("lang") == "en", good).when(F.col("lang") == "fr", '{"vibe": "x"}').otherwise("no json")
@@ -462,7 +463,7 @@ def comment_pages(spark, sf):
 
 @query("f26_reviews", """
 SELECT conv_id AS page_id, 'user_review' AS content_type, role || ' ' || turn AS author,
-       trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, turn + 0.5 AS rating FROM conversations
+       trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, CAST(turn + 0.5 AS DOUBLE) AS rating FROM conversations
 WHERE length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 10 AND NOT contains(text, 'SEYİRCİ')""")
 def f26(spark, sf):
     return pages.review_rows(pages.site_a_detail(spread(comment_pages(spark, sf)), as_of()))
