@@ -190,10 +190,10 @@ def d10(spark, sf):
 
 @query("d11_high_variance_venues", NORMAL_ACTIVITY + """
 , v AS (SELECT venue, avg(price) AS m, stddev_samp(price) AS s, count(*) AS n FROM priced GROUP BY venue)
-SELECT venue, round(m, 4) AS mean_price, round(s, 4) AS std_dev, n, round(s / m * 100, 4) AS cv FROM v
+SELECT venue, round(m, 8) AS mean_price, round(s, 4) AS std_dev, n, round(s / m * 100, 4) AS cv FROM v
 WHERE s / m > 1 AND n >= 5 ORDER BY s DESC, venue LIMIT 10""")
 def d11(spark, sf):
-    return rounded(anomaly.high_variance_venues(b.normal_activity(spark, sf)), mean_price=4, std_dev=4, cv=4)
+    return rounded(anomaly.high_variance_venues(b.normal_activity(spark, sf)), mean_price=8, std_dev=4, cv=4)
 
 
 _ALL = NORMAL_ACTIVITY + _BOUNDS + _TEMPORAL + """

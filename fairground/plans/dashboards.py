@@ -18,10 +18,10 @@ _ARTICLE_REVIEWS = with_sql(b.ARTICLES, b.REVIEWS)
 
 
 @query("a11_headline", with_sql(b.LISTINGS) + """
-SELECT count(*) AS total_events, round(avg(price) FILTER (price > 0), 4) AS mean_price,
+SELECT count(*) AS total_events, round(avg(price) FILTER (price > 0), 8) AS mean_price,
        count(DISTINCT venue) AS total_venues, round(median(price) FILTER (price > 0), 4) AS median_price FROM listings""")
 def a11(spark, sf):
-    return rounded(rollups.headline(b.listings(spark, sf)), mean_price=4, median_price=4)
+    return rounded(rollups.headline(b.listings(spark, sf)), mean_price=8, median_price=4)
 
 
 @query("a12_category_counts", with_sql(b.LISTINGS) + """
@@ -72,18 +72,18 @@ def a17_latest(spark, sf):
 
 @query("a18_weekly", with_sql(b.LISTINGS) + """
 SELECT strftime(date, '%Y-W%W') AS week, count(*) AS n,
-       round(coalesce(avg(price) FILTER (price > 0), 0), 4) AS avg_price
+       round(coalesce(avg(price) FILTER (price > 0), 0), 8) AS avg_price
 FROM listings GROUP BY week ORDER BY week DESC LIMIT 16""")
 def a18(spark, sf):
-    return rounded(rollups.weekly(b.listings(spark, sf)), avg_price=4)
+    return rounded(rollups.weekly(b.listings(spark, sf)), avg_price=8)
 
 
 @query("a19_day_of_week", with_sql(b.LISTINGS) + """
 SELECT ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][i + 1] AS day, count(uuid) AS n,
-       round(coalesce(avg(price) FILTER (price > 0), 0), 4) AS avg_price
+       round(coalesce(avg(price) FILTER (price > 0), 0), 8) AS avg_price
 FROM range(7) r(i) LEFT JOIN listings ON isodow(date) - 1 = i GROUP BY i""")
 def a19(spark, sf):
-    return rounded(rollups.day_of_week(b.listings(spark, sf)), avg_price=4)
+    return rounded(rollups.day_of_week(b.listings(spark, sf)), avg_price=8)
 
 
 _BAND = "CASE WHEN price <= 300 THEN 0 WHEN price <= 800 THEN 1 WHEN price <= 2000 THEN 2 ELSE 3 END"
@@ -91,10 +91,10 @@ _BAND = "CASE WHEN price <= 300 THEN 0 WHEN price <= 800 THEN 1 WHEN price <= 20
 
 @query("a20_price_bands", NORMAL_LISTINGS + f"""
 SELECT ['Budget', 'Mid-Range', 'Premium', 'Luxury'][i + 1] AS band, count(uuid) AS n,
-       round(coalesce(avg(price), 0), 4) AS avg_price
+       round(coalesce(avg(price), 0), 8) AS avg_price
 FROM range(4) r(i) LEFT JOIN priced ON {_BAND} = i GROUP BY i""")
 def a20(spark, sf):
-    return rounded(rollups.price_bands(b.normal_listings(spark, sf)), avg_price=4)
+    return rounded(rollups.price_bands(b.normal_listings(spark, sf)), avg_price=8)
 
 
 @query("a21_top_category_prices", NORMAL_ACTIVITY + """
@@ -129,9 +129,9 @@ def a35(spark, sf):
 
 @query("a36_top_category_means", NORMAL_LISTINGS + """
 , t AS (SELECT category FROM norm GROUP BY category ORDER BY count(*) DESC, category LIMIT 8)
-SELECT category, round(avg(price), 4) AS mean_price FROM priced SEMI JOIN t USING (category) GROUP BY category""")
+SELECT category, round(avg(price), 8) AS mean_price FROM priced SEMI JOIN t USING (category) GROUP BY category""")
 def a36(spark, sf):
-    return rounded(rollups.top_category_means(b.normal_listings(spark, sf)), mean_price=4)
+    return rounded(rollups.top_category_means(b.normal_listings(spark, sf)), mean_price=8)
 
 
 @query("a37_numeric_box_plot", """
