@@ -13,7 +13,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fairground.functions import dates, places, prices, text
+from fairground.functions import dates, places, prices
 from fairground.schemas import DEFAULT_CATEGORY
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
