@@ -37,13 +37,3 @@ def test_exact_quantiles_share_one_shuffle_of_the_values(spark):
     out.collect()
     final = out._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in final and "ReusedExchange" in final
-
-
-def test_both_sides_have_the_same_columns(spark):
-    """Names agree for every query with SQL (types are compared through the values in test_oracles)."""
-    from tests.oracle import connect
-
-    con = connect(SF)
-    for key, sql in entry.oracle_sql().items():
-        theirs = {r[0] for r in con.execute("DESCRIBE " + sql).fetchall()}
-        assert theirs and key in entry.queries()
