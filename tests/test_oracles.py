@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from fairground.plans.registry import QUERIES
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, duck, key):
     status, _, _ = compare(spark, duck, SF, key, entry.queries()[key], entry.oracle_sql().get(key))
     assert status in ("ok", "rows-only")
