@@ -5,7 +5,9 @@ exactly. The whole part is taken as it is. The fraction is rounded by pairs: wor
 probability to another's until one of the two is 0 or 1, at random and without bias, so that the expected copies stay
 right and the number of words stays exactly what it was. Each task rounds one small bucket of a source and leaves at
 most one document undecided; a reduction tree rounds those of ``FAN_IN`` buckets at a time until one is left per
-source, which is decided by a draw. A source's words thus differ from its target by less than one document.
+source, which is decided by a draw. Documents with more than 1 / ``LARGE`` of their source's words (by arithmetic fewer
+than ``LARGE`` of a source) are rounded before all others, whose rate then makes up for what those took, so that a
+source's words differ from its target by less than one of its smaller documents.
 
 Nothing is collected: buckets hold about ``BUCKET`` rows whatever a source's size, and a source with a third of all
 rows is many buckets. Draws are seeded by source and bucket and rows are ordered by key and size, so reruns agree.
@@ -16,7 +18,7 @@ and need no rounding; repeated rows are rounded one by one; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,7 @@ WEIGHTS = (1, 2, 3)
 MOST = 3  # copies of a document
 BUCKET = 4096
 FAN_IN = 256
+LARGE = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -99,13 +102,11 @@ def _pivot(sizes: np.ndarray, probs: np.ndarray, draws: np.ndarray) -> tuple[np.
 
 
 def _seeded(*parts: object) -> np.random.Generator:
-    import hashlib
-
     digest = hashlib.sha256("\x1f".join(map(repr, parts)).encode()).digest()
     return np.random.default_rng(np.frombuffer(digest, dtype=np.uint32))
 
 
-def _round_leaf(seed: int, carry: tuple[str, ...]):
+def _round_leaf(seed: int, carry: tuple[str, ...], final: bool = False):
     def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "size", *carry], kind="stable", na_position="last")
         rng = _seeded(seed, pdf["src"].iloc[0], int(pdf["node"].iloc[0]), 0)
@@ -114,6 +115,8 @@ def _round_leaf(seed: int, carry: tuple[str, ...]):
         sizes = pdf["size"].to_numpy(dtype=float)
         probs = np.where(sizes > 0, pdf["p"].to_numpy(dtype=float), 0.0)
         p, held = _pivot(sizes, probs, rng.random(len(pdf)))
+        if final and held >= 0:
+            p[held], held = float(rng.random() < p[held]), -1
         pdf["p"] = p
         pdf["open"] = np.arange(len(pdf)) == held
         return pdf
@@ -147,17 +150,33 @@ def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
     n_rows = totals.agg(F.sum("n")).first()[0] or 0
     leaves = max(1, -(-n_rows // BUCKET))
     targets = source_targets(totals.select("source", "source_size"), weights, most)
+    # null and any text as keys of plain equality
+    src = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
+    targets = cut_lineage(targets.withColumn("src", src))
+    rated = sized.withColumn("src", src).join(targets.drop("source"), "src")
+    is_large = F.col("size") * LARGE > F.col("source_size")
+    whole = F.floor(F.least("rate", F.lit(float(most)))).cast("int")
+
+    def rounded(rows: DataFrame, leaf) -> DataFrame:
+        rows = rows.withColumn("whole", whole).withColumn("p", F.col("rate") - F.col("whole"))
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+        columns = ["key", "source", "size", "source_size", "target", "whole", "p", "src", "node", *carry]
+        schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", open boolean"
+        return cut_lineage(rows.select(*columns).groupBy("src", "node").applyInPandas(leaf, schema))
+
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(F.least(rate, F.lit(float(most)))).cast("int")
-    rated = sized.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rated = rated.withColumn("whole", whole).withColumn("p", rate - F.col("whole"))
-    rated = rated.withColumn("src", F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))))
-    rated = rated.withColumn("node", F.pmod(F.xxhash64("key", "size"), F.lit(leaves)))
-    kinds = {f.name: f.dataType.simpleString() for f in rated.schema}
-    columns = ["key", "source", "size", "source_size", "target", "whole", "p", "src", "node", *carry]
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-    first = rated.select(*columns).groupBy("src", "node").applyInPandas(_round_leaf(seed, carry), schema + ", open boolean")
-    first = cut_lineage(first)
+    large = rated.where(is_large).withColumn("rate", rate).withColumn("node", F.lit(-1).cast("long"))
+    large = rounded(large, _round_leaf(seed, carry, final=True))
+    spent = large.groupBy("src").agg(
+        F.sum("size").alias("large_size"), F.sum((F.col("whole") + F.col("p")) * F.col("size")).alias("large_taken")
+    )
+    left = targets.join(spent, "src", "left").select(
+        "src",
+        (F.col("target") - F.coalesce("large_taken", F.lit(0.0))).alias("words"),
+        (F.col("source_size") - F.coalesce("large_size", F.lit(0))).alias("of"),
+    ).select("src", F.when(F.col("of") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.col("words") / F.col("of")))).otherwise(0.0).alias("rate"))
+    small = rated.where(~is_large).join(left, "src").withColumn("node", F.pmod(F.xxhash64("key", "size"), F.lit(leaves)))
+    first = rounded(small, _round_leaf(seed, carry))
     undecided = first.where("open").select("src", F.col("node").alias("leaf"), "size", "p", F.lit(True).alias("open"))
     decided, level, nodes = None, 0, leaves
     while True:
@@ -172,7 +191,7 @@ def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
         if nodes == 1:
             break
         undecided = done
-    out = first.join(
+    out = first.unionByName(large).join(
         decided.withColumnRenamed("src", "d_src"),
         F.col("open") & (F.col("src") == F.col("d_src")) & (F.col("node") == F.col("leaf")),
         "left",
