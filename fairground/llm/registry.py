@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("decontamination", "near_dedup", "host_quality", "language", "sharding", "mixing", "warc")
+MODULES = ("decontamination", "line_dedup", "near_dedup", "host_quality", "language", "sharding", "mixing", "warc")
 
 
 def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
