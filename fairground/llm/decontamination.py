@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fairground.llm.registry import query
+from fairground.llm.rows import keyed, same_row, without
 from fairground.session import cut_lineage
 
 N = 10
@@ -114,8 +115,8 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without any hit, with the columns of ``docs``."""
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    bad = find_hits(rows, benchmark_windows(items), "text").select("k", "t").distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("k")) & F.xxhash64(text).eqNullSafe(F.col("t")), "left_anti")
+    bad = find_hits(rows, benchmark_windows(items), "text").select(F.col("k").alias("v_k"), F.col("t").alias("v_t")).distinct()
+    return without(docs, bad, key, text)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -125,13 +126,18 @@ def remove_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     """
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
     at = F.explode(F.sequence("at", F.col("at") + F.col("len") - 1)).alias("at")
-    hit = find_hits(rows, benchmark_windows(items), "text").select("k", "t", at).groupBy("k", "t").agg(F.collect_set("at").alias("hit"))
-    joined = docs.join(hit, F.col(key).eqNullSafe(F.col("k")) & F.xxhash64(text).eqNullSafe(F.col("t")), "left")
-    # word i with what follows it; element 0 is what stands before the first word
-    pieces = F.regexp_extract_all(F.col(text), F.lit(f"^[^a-zA-Z0-9\\x80-\\x{{10FFFF}}]*|{WORD_ANY_CASE}[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*"), F.lit(0))
-    kept = F.array_join(F.filter(pieces, lambda p, i: ~F.coalesce(F.array_contains("hit", i - 1), F.lit(False))), "")
-    cut = F.when(F.col("hit").isNull(), F.col(text)).otherwise(kept)
-    return joined.withColumn(text, cut).select(*docs.columns)
+    hit = find_hits(rows, benchmark_windows(items), "text").select("k", "t", at).groupBy(
+        F.col("k").alias("v_k"), F.col("t").alias("v_t")
+    ).agg(F.collect_set("at").alias("hit"))
+    joined = keyed(docs, key, text).join(hit, same_row(), "left")
+    body = F.col("row")[text]
+    # what stands before the first word, then each word with what follows it
+    gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+    pieces = F.regexp_extract_all(body, F.lit(WORD_ANY_CASE + gap), F.lit(0))
+    kept = F.filter(pieces, lambda p, i: ~F.array_contains("hit", i))
+    kept = F.concat(F.regexp_extract(body, f"^{gap}", 0), F.array_join(kept, ""))
+    cut = F.when(F.col("hit").isNull(), body).otherwise(kept)
+    return joined.withColumn("row", F.col("row").withField(f"`{text}`", cut)).select("row.*")
 
 
 WORDS_SQL = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

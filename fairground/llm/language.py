@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fairground.llm import tokens
 from fairground.llm.registry import query
+from fairground.llm.rows import without
 from fairground.session import cut_lineage
 
 BUCKETS = 1 << 15
@@ -147,7 +148,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
     rows = docs.select(
         F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"),
         # beyond the known languages a declaration is only "other"
-        F.when(declared.isNull(), "-").when(F.lower(declared).isin(names), F.lower(declared)).otherwise("?").alias("declared"),
+        F.when(declared.isNull(), "-").when(F.lower(declared).isin(*names) if names else F.lit(False), F.lower(declared)).otherwise("?").alias("declared"),
         (none if host is None else host.cast("string")).alias("host"),
         (none if suffix is None else suffix.cast("string")).alias("suffix"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
@@ -168,7 +169,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
     trusted = np.ones((size, size + 1)) / 2  # true class x declared value (each class's name, "?" for und, and "-")
     values = [*names, "?", "-"]
     for r in sums.groupBy("declared").agg(*added).collect():  # at most one row per class and two
-        trusted[:, values.index(r["declared"])] += [r[f"c{c}"] or 0.0 for c in range(size)]
+        trusted[:, values.index(r["declared"] if r["declared"] in values else "?")] += [r[f"c{c}"] or 0.0 for c in range(size)]
     trusted = np.log(trusted / trusted.sum(axis=1, keepdims=True))
 
     def smoothed(by: list[str], above: list[Column]) -> Column:
@@ -216,8 +217,8 @@ def identify_pages(pages: DataFrame, texts: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that language identification does not reject, with the columns of ``docs``."""
-    bad = identify_documents(docs).where("NOT kept").select(F.col(key).alias("k"), F.col("text_hash").alias("t")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("k")) & F.xxhash64(text).eqNullSafe(F.col("t")), "left_anti")
+    bad = identify_documents(docs).where("NOT kept").select(F.col(key).alias("v_k"), F.col("text_hash").alias("v_t")).distinct()
+    return without(docs, bad, key, text)
 
 
 @query("op7_language")

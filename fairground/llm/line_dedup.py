@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fairground.llm.registry import query
+from fairground.llm.rows import keyed, same_row
 
 WINDOW = 2  # lines
 
@@ -59,22 +60,19 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     first = candidates.groupBy("h", "body").agg(F.min(place).alias("first"))
     first = first.select(F.col("h").alias("f_h"), F.col("body").alias("f_body"), "first")
     later = candidates.join(first, F.expr("h = f_h AND body = f_body AND NOT (struct(k, t, c) <=> first)"))
-    cuts = later.groupBy("k", "t").agg(F.collect_set("c").alias("_cut")).withColumnsRenamed({"k": "_k", "t": "_t"})
-    joined = docs.withColumn("_h", F.xxhash64(text)).join(cuts, F.expr(f"`{key}` <=> _k AND _h <=> _t"), "left")
-    split = F.transform(F.array(F.struct(chunk_column(F.col(text)).alias("chunks"))), lambda x: F.struct(
-        F.filter(x["chunks"], lambda c, i: ~F.array_contains("_cut", i)).alias("kept"), x["chunks"].alias("chunks")))
-    split = F.when(F.col("_cut").isNotNull(), F.get(split, F.lit(0)))
-    n_lines = F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long")
-    n_left = F.aggregate("_split.kept", F.lit(0), lambda a, c: a + c["n"])
-    out = joined.withColumn("_split", split).withColumn("_lines", n_lines).withColumn(
-        "_n_cut", F.when(F.col("_split").isNull(), 0).otherwise(F.col("_lines") - n_left).cast("long")
-    )
-    body = F.when(F.col("_split").isNull(), F.col(text)).otherwise(F.array_join(F.transform("_split.kept", lambda c: c["body"]), "\n"))
+    cuts = later.groupBy(F.col("k").alias("v_k"), F.col("t").alias("v_t")).agg(F.collect_set("c").alias("cut"))
+    joined = keyed(docs, key, text).join(cuts, same_row(), "left").withColumn("body", F.col("row")[text])
+    split = F.transform(F.array(chunk_column(F.col("body"))), lambda x: F.filter(x, lambda c, i: ~F.array_contains("cut", i)))
+    joined = joined.withColumn("left", F.when(F.col("cut").isNotNull(), F.get(split, F.lit(0))))
+    n_lines = F.when(F.col("body").isNull(), 0).otherwise(F.size(F.split("body", "\n", -1)))
+    n_left = F.aggregate("left", F.lit(0), lambda a, c: a + c["n"])
+    n_cut = F.when(F.col("left").isNull(), 0).otherwise(n_lines - n_left)
+    body = F.when(F.col("left").isNull(), F.col("body")).otherwise(F.array_join(F.transform("left", lambda c: c["body"]), "\n"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_cut_lines")]
-    return out.withColumn("_body", body).select(
-        *[F.col("_body").alias(c) if c == text else F.col(c) for c in names], F.col("_lines").alias("n_lines"), F.col("_n_cut").alias("n_cut_lines")
-    )
+    return joined.select(
+        *[body.alias(c) if c == text else F.col("row")[c].alias(c) for c in names],
+        n_lines.cast("long").alias("n_lines"), n_cut.cast("long").alias("n_cut_lines"),
+    )
 
 
 @query("op2_line_dedup", r"""

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fairground.llm.registry import query
+from fairground.llm.rows import keyed, named, same_row
 from fairground.session import cut_lineage
 
 WEIGHTS = (1, 2, 3)
@@ -210,12 +211,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     repeat both share the mean of their copies, to the nearest whole number.
     """
     key, text = options.get("key", "doc_id"), options.get("text", "text")
-    hashed = docs.withColumn("_h", F.xxhash64(text))
-    verdict = copies(hashed, carry=("_h",), **options).groupBy(F.col(key).alias("_k"), F.col("_h").alias("_h2")).agg(
-        F.round(F.avg("n_copies")).cast("int").alias("_n")
+    source = options.get("source", "source")
+    hashed = docs.select(named(key).alias("k"), named(source).alias("s"), named(text).alias("text"), F.xxhash64(named(text)).alias("t"))
+    options |= {"key": "k", "source": "s", "text": "text"}
+    verdict = copies(hashed, carry=("t",), **options).groupBy(F.col("k").alias("v_k"), F.col("t").alias("v_t")).agg(
+        F.round(F.avg("n_copies")).cast("int").alias("n")
     )
-    joined = hashed.join(verdict, F.col(key).eqNullSafe(F.col("_k")) & F.col("_h").eqNullSafe(F.col("_h2"))).where("_n > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    joined = keyed(docs, key, text).join(verdict.where("n > 0"), same_row())
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 @query("op9_mixing")

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fairground.llm import tokens
 from fairground.llm.components import components
 from fairground.llm.registry import query
+from fairground.llm.rows import keyed
 from fairground.session import cut_lineage
 
 SAMPLES, ROWS = 96, 4  # 24 bands
@@ -200,8 +201,9 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component (that with the smallest id), once, with the columns of ``docs``; null ids stay."""
     gone = near_components(docs, key, text, n, percent).where("NOT kept").select(F.col(key).alias("gone")).distinct()
-    left = docs.where(F.col(key).isNotNull()).join(gone, F.col(key) == F.col("gone"), "left_anti").dropDuplicates([key])
-    return left.unionByName(docs.where(F.col(key).isNull()))
+    rows = keyed(docs, key, text)
+    left = rows.where("k IS NOT NULL").join(gone, F.col("k") == F.col("gone"), "left_anti").dropDuplicates(["k"])
+    return left.select("row.*").unionByName(rows.where("k IS NULL").select("row.*"))
 
 
 WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairground.llm.registry import query
+from fairground.llm.rows import keyed, named, same_row
 from fairground.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone", "iban")
@@ -261,20 +262,22 @@ def spelled(spans: str):
 
 def mask(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; rows meet their spans by key and text hash."""
-    hashed = docs.withColumn("_h", F.xxhash64(text)).withColumn("_key", F.struct(F.col(key).alias("k"), F.col("_h").alias("h")))
-    spans = find_personal_data(hashed, "_key", text).select("_key", "spans").dropDuplicates(["_key"]).withColumnRenamed("_key", "_k2")
-    joined = hashed.join(spans, F.col("_key").eqNullSafe(F.col("_k2")), "left")
+    rows = docs.select(F.struct(named(key).alias("k"), F.xxhash64(named(text)).alias("t")).alias("key"), named(text).alias("text"))
+    spans = find_personal_data(rows, "key", "text").dropDuplicates(["key"]).select("key.k", "key.t", "spans")
+    spans = spans.withColumnsRenamed({"k": "v_k", "t": "v_t"}).where("size(spans) > 0")
+    joined = keyed(docs, key, text).join(spans, same_row(), "left")
     # spans in order of position; one that begins inside an earlier one is dropped
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    body = F.col(text)
+    body = F.col("row")[text]
     step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(
         F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), name(s["kind"]), F.lit("]")).alias("out"),
         s["end"].alias("at"),
     ))
     masked = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    return joined.withColumn(text, F.when(F.size("spans") > 0, masked).otherwise(body)).select(*docs.columns)
+    cut = F.when(F.col("spans").isNotNull(), masked).otherwise(body)
+    return joined.withColumn("row", F.col("row").withField(f"`{text}`", cut)).select("row.*")
 
 
 @query("op6_pii")
