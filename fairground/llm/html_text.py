@@ -193,6 +193,18 @@ def _covered(at: np.ndarray, n: int, run: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def _long_stretches(mask: np.ndarray) -> np.ndarray:
+    """The mask without stretches shorter than a run, unless it is all set: a repeated run that ends a few words into
+    a block took nothing of its own there."""
+    if mask.all():
+        return mask
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    out = np.zeros_like(mask)
+    for lo, hi in edges.reshape(-1, 2):
+        out[lo:hi] = hi - lo >= RUN
+    return out
+
+
 def unique_text(pages: list[tuple[np.ndarray, list[str]]]) -> list[str]:
     """The main text of each of a host's pages (zones, block texts)."""
     texts = ["\n".join(t) for _, t in pages]
@@ -221,8 +233,8 @@ def unique_text(pages: list[tuple[np.ndarray, list[str]]]) -> list[str]:
                 if hi > lo and often[lo:hi].all():
                     continue
             elif frequent[lo:hi].any():
-                left = [body_word for body_word, gone in zip(body.split(" "), frequent[lo:hi]) if not gone]
-                body = " ".join(left)
+                gone = _long_stretches(frequent[lo:hi])
+                body = " ".join(w for w, g in zip(body.split(" "), gone) if not g)
             if body:
                 keep.append(body)
         out.append("\n\n".join(keep))
