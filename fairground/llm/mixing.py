@@ -6,8 +6,8 @@ probability to another's until one of the two is 0 or 1, at random and without b
 right and the number of words stays exactly what it was. Each task rounds one small bucket of a source and leaves at
 most one document undecided; a reduction tree rounds those of ``FAN_IN`` buckets at a time until one is left per
 source, which is decided by a draw. Documents with more than 1 / ``LARGE`` of their source's words (by arithmetic fewer
-than ``LARGE`` of a source) are rounded before all others, whose rate then makes up for what those took, so that a
-source's words differ from its target by less than one of its smaller documents.
+than ``LARGE`` of a source) are rounded before all others, each paired with the pool of all smaller ones, whose rate then
+makes up for what it took, so that a source's words differ from its target by less than one of its smaller documents.
 
 Nothing is collected: buckets hold about ``BUCKET`` rows whatever a source's size, and a source with a third of all
 rows is many buckets. Draws are seeded by source and bucket and rows are ordered by key and size, so reruns agree.
@@ -107,7 +107,7 @@ def _seeded(*parts: object) -> np.random.Generator:
     return np.random.default_rng(np.frombuffer(digest, dtype=np.uint32))
 
 
-def _round_leaf(seed: int, carry: tuple[str, ...], final: bool = False):
+def _round_leaf(seed: int, carry: tuple[str, ...]):
     def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "size", *carry], kind="stable", na_position="last")
         rng = _seeded(seed, pdf["src"].iloc[0], int(pdf["node"].iloc[0]), 0)
@@ -116,8 +116,6 @@ def _round_leaf(seed: int, carry: tuple[str, ...], final: bool = False):
         sizes = pdf["size"].to_numpy(dtype=float)
         probs = np.where(sizes > 0, pdf["p"].to_numpy(dtype=float), 0.0)
         p, held = _pivot(sizes, probs, rng.random(len(pdf)))
-        if final and held >= 0:
-            p[held], held = float(rng.random() < p[held]), -1
         pdf["p"] = p
         pdf["open"] = np.arange(len(pdf)) == held
         return pdf
@@ -125,6 +123,26 @@ def _round_leaf(seed: int, carry: tuple[str, ...], final: bool = False):
     return leaf
 
 
+def _round_large(seed: int, most: int, carry: tuple[str, ...]):
+    """Each document, the largest first, is paired with the pool of all smaller ones of its source: its fraction is
+    rounded at random and the pool's rate takes up the difference, so its expected value stays what it was."""
+
+    def large(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "key", *carry], ascending=[False] + [True] * (1 + len(carry)), kind="stable")
+        rng = _seeded(seed, pdf["src"].iloc[0], -1)
+        words, size, whole = float(pdf["target"].iloc[0]), int(pdf["source_size"].iloc[0]), []
+        for own, draw in zip(pdf["size"].tolist(), rng.random(len(pdf)).tolist()):
+            rate = min(max(words / size, 0.0), float(most)) if size else 0.0
+            whole.append(int(rate) + (draw < rate % 1.0))
+            words, size = words - whole[-1] * own, size - own
+        pdf["whole"] = np.array(whole, dtype=np.int32)
+        pdf["p"] = 0.0
+        pdf["open"] = False
+        return pdf
+
+    return large
+
+
 def _round_node(level: int, seed: int, final: bool):
     def node(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "leaf"], ascending=[False, True], kind="stable")
@@ -167,7 +185,7 @@ def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
 
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     large = rated.where(is_large).withColumn("rate", rate).withColumn("node", F.lit(-1).cast("long"))
-    large = rounded(large, _round_leaf(seed, carry, final=True))
+    large = rounded(large, _round_large(seed, most, carry))
     spent = large.groupBy("src").agg(
         F.sum("size").alias("large_size"), F.sum((F.col("whole") + F.col("p")) * F.col("size")).alias("large_taken")
     )
