@@ -1,52 +1,60 @@
 """Anomaly and data-quality detectors over an analysis frame.
 
-Each detector yields rows (uuid, title, type, severity, reason); counts and shares are aggregates of those rows or
-of the frame. ``cap`` limits how many rows of a kind are *recorded* (the reported list); None records them all.
-Counts never depend on the cap.
+Each detector yields rows (uuid, title, type, severity, reason); counts, shares and scores are aggregates of all of
+those rows or of the frame. Only ``reported_rows`` shortens: it gives the first few rows of each kind for a list.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fairground.functions import labels, text
 from fairground.operators.normalize import priced
 from fairground.operators.ranks import quantiles
 from fairground.operators.stats import one_row, share
 
-# Categories where a free event is ordinary, and the reported-list caps.
+# Categories where a free event is ordinary, and the reasons' wording.
 FREE_CATEGORIES = ("seminar", "workshop", "conference")
-CAPS = {"free": 20, "temporal": 20, "description": 50}
 
 
-def _rows(df: DataFrame, kind: str, severity: Column | str, reason: Column | str) -> DataFrame:
-    sev = F.lit(severity) if isinstance(severity, str) else severity
-    why = F.lit(reason) if isinstance(reason, str) else reason
-    return df.select("uuid", "title", F.lit(kind).alias("type"), sev.alias("severity"), why.alias("reason"))
+def _one(df: DataFrame) -> dict[str, Column]:
+    """A frame of one row (a handful of numbers) as literals."""
+    row = df.first()
+    kinds = dict(df.dtypes)
+    return {c: F.lit(row[c]).cast(kinds[c]) for c in df.columns}
 
 
-def _record(df: DataFrame, cap: int | None, order: str = "uuid") -> DataFrame:
-    """The reported list: the first ``cap`` rows by key."""
-    return df if cap is None else df.orderBy(order).limit(cap)
+def price_bounds(df: DataFrame, exact: bool = True) -> dict[str, Column]:
+    """What the three outlier rules need, computed once: quartile fences, moments, median and MAD as literals.
 
-
-def price_bounds(df: DataFrame, exact: bool = True) -> DataFrame:
-    """One row with everything the three outlier rules need: quartile fences, moments, median and MAD."""
+    Runs its jobs when called. Plans that use the bounds many times stay small, and filters on them reach the scan.
+    """
     rows = priced(df)
-    quarts = quantiles(rows, "price", {"q1": 0.25, "median": 0.5, "q3": 0.75}, exact=exact)
-    moments = rows.agg(
+    b = _one(quantiles(rows, "price", {"q1": 0.25, "median": 0.5, "q3": 0.75}, exact=exact))
+    b |= _one(rows.agg(
         F.avg("price").alias("mean"), F.stddev_pop("price").alias("std_pop"), F.stddev_samp("price").alias("std_samp")
+    ))
+    b |= _one(quantiles(rows.select(F.abs(F.col("price") - b["median"]).alias("d")), "d", {"mad": 0.5}, exact=exact))
+    iqr = b["q3"] - b["q1"]
+    return b | {"lower": b["q1"] - 1.5 * iqr, "upper": b["q3"] + 1.5 * iqr, "far": b["q3"] + 3 * iqr}
+
+
+def _outlier_flags(b: dict[str, Column]) -> dict[str, Column]:
+    p = F.col("price")
+    modified = F.when(b["mad"] == 0, p != b["median"]).otherwise(
+        F.abs(F.try_divide(0.6745 * (p - b["median"]), b["mad"])) > 3.5
     )
-    deviations = rows.select("price").withColumn("_m", quarts.select("median").scalar())
-    mad = quantiles(deviations.select(F.abs(F.col("price") - F.col("_m")).alias("d")), "d", {"mad": 0.5}, exact=exact)
-    iqr = F.col("q3") - F.col("q1")
-    return one_row(moments, quarts, mad).withColumns({
-        "lower": F.col("q1") - 1.5 * iqr,
-        "upper": F.col("q3") + 1.5 * iqr,
-        "far": F.col("q3") + 3 * iqr,
-    })
+    return {
+        "iqr_outlier": (p < b["lower"]) | (p > b["upper"]),
+        "z_outlier": F.coalesce(F.abs(F.try_divide(p - b["mean"], b["std_pop"])) > 3, F.lit(False)),
+        "mad_outlier": F.coalesce(modified, F.lit(False)),
+    }
+
+
+def _outlier_severity(b: dict[str, Column]) -> Column:
+    return F.when(F.col("price") > b["far"], "high").otherwise("medium")
 
 
 def flag_outliers(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -54,25 +62,17 @@ def flag_outliers(df: DataFrame, exact: bool = True) -> DataFrame:
 
     With MAD = 0 every price off the median is an outlier of the third rule.
     """
-    bounds = price_bounds(df, exact)
-    rows = priced(df).withColumn("_b", bounds.select(F.struct("*").alias("b")).scalar())
-    p, b = F.col("price"), lambda c: F.col(f"_b.{c}")
-    modified = F.when(b("mad") == 0, p != b("median")).otherwise(
-        F.abs(F.try_divide(0.6745 * (p - b("median")), b("mad"))) > 3.5
-    )
-    rows = rows.withColumns({
-        "iqr_outlier": (p < b("lower")) | (p > b("upper")),
-        "z_outlier": F.coalesce(F.abs(F.try_divide(p - b("mean"), b("std_pop"))) > 3, F.lit(False)),
-        "mad_outlier": F.coalesce(modified, F.lit(False)),
-    })
+    b = price_bounds(df, exact)
+    p = F.col("price")
+    rows = priced(df).withColumns(_outlier_flags(b))
     return rows.withColumns({
         "outlier": F.col("iqr_outlier") | F.col("z_outlier") | F.col("mad_outlier"),
-        "z_score": F.try_divide(p - b("mean"), b("std_samp")),
-        "expensive": p > b("upper"),
-        "cheap": p < b("lower"),
-        "outlier_severity": F.when(p > b("far"), "high").otherwise("medium"),
-        "q3": b("q3"),
-    }).drop("_b")
+        "z_score": F.try_divide(p - b["mean"], b["std_samp"]),
+        "expensive": p > b["upper"],
+        "cheap": p < b["lower"],
+        "outlier_severity": _outlier_severity(b),
+        "q3": b["q3"],
+    })
 
 
 def iqr_outliers(df: DataFrame, width: float = 1.5, exact: bool = True) -> DataFrame:
@@ -117,19 +117,59 @@ def extreme_outliers(df: DataFrame, k: int = 10, exact: bool = True) -> DataFram
     )
 
 
+# A detector: (type, condition, severity, reason). All detectors can thus run in one pass over the frame.
+Detector = tuple[str, Column, Column, Column]
+
+
+def _expensive(b: dict[str, Column]) -> Detector:
+    flags = list(_outlier_flags(b).values())
+    found = F.col("price").isNotNull() & (F.col("price") > b["upper"]) & (flags[0] | flags[1] | flags[2])
+    reason = F.format_string("Price %.2f TL significantly higher than typical (Q3: %.2f TL)", F.col("price"), b["q3"])
+    return "price_outlier_expensive", found, _outlier_severity(b), reason
+
+
+def _round_price() -> Detector:
+    p = F.col("price")
+    reason = F.format_string("Price is a suspiciously round number (%.0f TL)", "price")
+    return "suspiciously_round_price", (p >= 1000) & (p % 1000 == 0), F.lit("low"), reason
+
+
+def _free_in_paid() -> Detector:
+    found = (F.col("price") == 0) & ~F.col("category").isin(*FREE_CATEGORIES)
+    reason = F.format_string("Free event in typically paid category (%s)", "category")
+    return "free_event_in_paid_category", found, F.lit("low"), reason
+
+
+def _temporal(as_of: Column) -> list[Detector]:
+    ts = F.col("date")
+    day, clock = F.date_format(ts, "yyyy-MM-dd"), F.date_format(ts, "HH:mm")
+    return [
+        ("past_event", _past(ts, as_of), F.lit("medium"), F.format_string("Event date is in the past (%s)", day)),
+        ("far_future_event", _far_future(ts, as_of), F.lit("low"),
+         F.format_string("Event is more than 1 year in the future (%s)", day)),
+        ("unusual_time", _odd_hour(ts), F.lit("low"), F.format_string("Event scheduled at unusual hour (%s)", clock)),
+    ]
+
+
+def _no_description() -> Detector:
+    return "missing_description", F.col("description_length") == 0, F.lit("medium"), F.lit("Event has no description")
+
+
+def detect(df: DataFrame, *detectors: Detector) -> DataFrame:
+    """The rows of all ``detectors`` in one pass: (uuid, title, type, severity, reason)."""
+    found = [
+        F.when(keep, F.struct(F.lit(kind).alias("type"), severity.alias("severity"), reason.alias("reason")))
+        for kind, keep, severity, reason in detectors
+    ]
+    return df.select("uuid", "title", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+
+
 def expensive_rows(df: DataFrame, exact: bool = True) -> DataFrame:
-    found = flag_outliers(df, exact).filter(F.col("outlier") & F.col("expensive"))
-    reason = F.format_string("Price %.2f TL significantly higher than typical (Q3: %.2f TL)", "price", "q3")
-    return _rows(found, "price_outlier_expensive", F.col("outlier_severity"), reason)
+    return detect(df, _expensive(price_bounds(df, exact)))
 
 
 def round_price_rows(df: DataFrame) -> DataFrame:
-    p = F.col("price")
-    found = df.filter((p >= 1000) & (p % 1000 == 0))
-    return _rows(
-        found, "suspiciously_round_price", "low",
-        F.format_string("Price is a suspiciously round number (%.0f TL)", "price"),
-    )
+    return detect(df, _round_price())
 
 
 def is_psychological(price: Column) -> Column:
@@ -142,13 +182,8 @@ def psychological_pricing(df: DataFrame) -> DataFrame:
     return priced(df).agg(n.alias("n"), share(n, F.count(F.lit(1))).alias("percentage"))
 
 
-def _free_in_paid(df: DataFrame) -> DataFrame:
-    return df.filter((F.col("price") == 0) & ~F.col("category").isin(*FREE_CATEGORIES))
-
-
-def free_in_paid_rows(df: DataFrame, cap: int | None = CAPS["free"]) -> DataFrame:
-    reason = F.format_string("Free event in typically paid category (%s)", "category")
-    return _rows(_record(_free_in_paid(df), cap), "free_event_in_paid_category", "low", reason)
+def free_in_paid_rows(df: DataFrame) -> DataFrame:
+    return detect(df, _free_in_paid())
 
 
 def _past(ts: Column, as_of: Column) -> Column:
@@ -163,17 +198,9 @@ def _odd_hour(ts: Column) -> Column:
     return F.hour(ts).between(3, 6)
 
 
-def temporal_rows(df: DataFrame, as_of: Column, cap: int | None = CAPS["temporal"]) -> DataFrame:
+def temporal_rows(df: DataFrame, as_of: Column) -> DataFrame:
     """Past, far-future (more than 365 days ahead) and odd-hour (03..06) events."""
-    ts = F.col("date")
-    day, clock = F.date_format(ts, "yyyy-MM-dd"), F.date_format(ts, "HH:mm")
-    kinds = [
-        ("past_event", "medium", _past(ts, as_of), F.format_string("Event date is in the past (%s)", day)),
-        ("far_future_event", "low", _far_future(ts, as_of),
-         F.format_string("Event is more than 1 year in the future (%s)", day)),
-        ("unusual_time", "low", _odd_hour(ts), F.format_string("Event scheduled at unusual hour (%s)", clock)),
-    ]
-    return union_rows(*[_rows(_record(df.filter(keep), cap), kind, sev, why) for kind, sev, keep, why in kinds])
+    return detect(df, *_temporal(as_of))
 
 
 def temporal_summary(df: DataFrame, as_of: Column) -> DataFrame:
@@ -218,9 +245,8 @@ def completeness(df: DataFrame) -> DataFrame:
     return df.agg((100 - share(gaps, F.count(F.lit(1)) * 4)).alias("completeness"))
 
 
-def missing_description_rows(df: DataFrame, cap: int | None = CAPS["description"]) -> DataFrame:
-    found = _record(df.filter(F.col("description_length") == 0), cap)
-    return _rows(found, "missing_description", "medium", "Event has no description")
+def missing_description_rows(df: DataFrame) -> DataFrame:
+    return detect(df, _no_description())
 
 
 def single_event_venues(df: DataFrame) -> DataFrame:
@@ -253,25 +279,20 @@ def duplicate_rows(pairs: DataFrame) -> DataFrame:
     )
 
 
-def anomaly_rows(
-    df: DataFrame,
-    as_of: Column,
-    caps: dict[str, int | None] = CAPS,
-    pairs: DataFrame | None = None,
-    exact: bool = True,
-) -> DataFrame:
-    """All detectors' rows. Pass ``pairs`` to include fuzzy duplicates."""
-    parts = [
-        expensive_rows(df, exact),
-        round_price_rows(df),
-        free_in_paid_rows(df, caps["free"]),
-        temporal_rows(df, as_of, caps["temporal"]),
-        missing_description_rows(df, caps["description"]),
-    ]
-    rows = union_rows(*parts).withColumn("uuid", F.col("uuid").cast("string"))
+def anomaly_rows(df: DataFrame, as_of: Column, pairs: DataFrame | None = None, exact: bool = True) -> DataFrame:
+    """All detectors' rows, all of them, in one pass over ``df``. Pass ``pairs`` to include fuzzy duplicates."""
+    bounds = price_bounds(df, exact)
+    rows = detect(df, _expensive(bounds), _round_price(), _free_in_paid(), *_temporal(as_of), _no_description())
+    rows = rows.withColumn("uuid", F.col("uuid").cast("string"))
     return rows if pairs is None else union_rows(rows, duplicate_rows(pairs))
 
 
+def reported_rows(rows: DataFrame, n: int = 20) -> DataFrame:
+    """For a list: the first ``n`` rows of each type by key. Nothing is counted or scored from these."""
+    first = F.row_number().over(Window.partitionBy("type").orderBy("uuid", "title"))
+    return rows.withColumn("_nth", first).where(F.col("_nth") <= n).drop("_nth")
+
+
 def anomaly_counts(rows: DataFrame) -> DataFrame:
     """Totals by type and severity."""
     return rows.groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n"))

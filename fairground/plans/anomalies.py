@@ -100,7 +100,7 @@ SELECT uuid, title, 'free_event_in_paid_category' AS type, 'low' AS severity,
        'Free event in typically paid category (' || category || ')' AS reason
 FROM norm WHERE price = 0 AND category NOT IN ('seminar', 'workshop', 'conference')""")
 def d07(spark, sf):
-    return anomaly.free_in_paid_rows(b.normal_listings(spark, sf), cap=None)
+    return anomaly.free_in_paid_rows(b.normal_listings(spark, sf))
 
 
 _TEMPORAL = f"""
@@ -120,7 +120,7 @@ _TEMPORAL = f"""
 @query("d08_temporal_rows", NORMAL_ACTIVITY + _TEMPORAL + "SELECT * FROM t")
 def d08(spark, sf):
     as_of = F.lit(ACTIVITY_AS_OF).cast("timestamp")
-    return anomaly.temporal_rows(b.normal_activity(spark, sf), as_of, cap=None)
+    return anomaly.temporal_rows(b.normal_activity(spark, sf), as_of)
 
 
 @query("d08_temporal_summary", NORMAL_LISTINGS + f"""
@@ -147,7 +147,7 @@ def q01(spark, sf):
 
 @query("q01_missing_description_rows", NORMAL_LISTINGS + """
 SELECT uuid, title, 'missing_description' AS type, 'medium' AS severity, 'Event has no description' AS reason
-FROM norm WHERE description_length = 0 ORDER BY uuid LIMIT 50""")
+FROM norm WHERE description_length = 0""")
 def q01_rows(spark, sf):
     return anomaly.missing_description_rows(b.normal_listings(spark, sf))
 
@@ -197,12 +197,13 @@ def d11(spark, sf):
 
 
 _ALL = NORMAL_ACTIVITY + _BOUNDS + _TEMPORAL + """
-, capped AS (
-  SELECT uuid, type, severity FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY uuid) AS i FROM t) WHERE i <= 20
+, found AS (
+  SELECT uuid, type, severity FROM t
   UNION ALL SELECT uuid, 'price_outlier_expensive', sev FROM u WHERE expensive
   UNION ALL SELECT uuid, 'suspiciously_round_price', 'low' FROM norm WHERE price >= 1000 AND price % 1000 = 0
-  UNION ALL (SELECT uuid, 'free_event_in_paid_category', 'low' FROM norm WHERE price = 0 ORDER BY uuid LIMIT 20)
-  UNION ALL (SELECT uuid, 'missing_description', 'medium' FROM norm WHERE description_length = 0 ORDER BY uuid LIMIT 50))
+  UNION ALL SELECT uuid, 'free_event_in_paid_category', 'low' FROM norm
+  WHERE price = 0 AND category NOT IN ('seminar', 'workshop', 'conference')
+  UNION ALL SELECT uuid, 'missing_description', 'medium' FROM norm WHERE description_length = 0)
 """
 
 
@@ -211,26 +212,33 @@ def _all_rows(spark, sf):
     return df, anomaly.anomaly_rows(df, F.lit(ACTIVITY_AS_OF).cast("timestamp"))
 
 
-@query("d09_anomaly_counts", _ALL + "SELECT type, severity, count(*) AS n FROM capped GROUP BY type, severity")
+@query("d09_anomaly_counts", _ALL + "SELECT type, severity, count(*) AS n FROM found GROUP BY type, severity")
 def d09(spark, sf):
     return anomaly.anomaly_counts(_all_rows(spark, sf)[1])
 
 
 @query("d09_anomaly_rate", _ALL + """
 SELECT (SELECT count(*) FROM norm) AS total_events, count(*) AS total_anomalies,
-       round(count(*) * 100.0 / (SELECT count(*) FROM norm), 4) AS anomaly_rate FROM capped""")
+       round(count(*) * 100.0 / (SELECT count(*) FROM norm), 4) AS anomaly_rate FROM found""")
 def d09_rate(spark, sf):
     return rounded(anomaly.anomaly_rate(*_all_rows(spark, sf)), anomaly_rate=4)
 
 
 @query("d09_top_anomalies", _ALL + """
-SELECT CAST(uuid AS VARCHAR) AS uuid, type, severity FROM capped
+SELECT CAST(uuid AS VARCHAR) AS uuid, type, severity FROM found
 ORDER BY CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, CAST(uuid AS VARCHAR), type LIMIT 50""")
 def d09_top(spark, sf):
     return anomaly.top_anomalies(_all_rows(spark, sf)[1]).select("uuid", "type", "severity")
 
 
-@query("u02_all_detectors", _ALL + "SELECT CAST(uuid AS VARCHAR) AS uuid, type, severity FROM capped")
+@query("d09_reported_rows", _ALL + """
+SELECT CAST(uuid AS VARCHAR) AS uuid, type, severity FROM (
+  SELECT *, row_number() OVER (PARTITION BY type ORDER BY CAST(uuid AS VARCHAR)) AS i FROM found) WHERE i <= 20""")
+def d09_reported(spark, sf):
+    return anomaly.reported_rows(_all_rows(spark, sf)[1]).select("uuid", "type", "severity")
+
+
+@query("u02_all_detectors", _ALL + "SELECT CAST(uuid AS VARCHAR) AS uuid, type, severity FROM found")
 def u02(spark, sf):
     return _all_rows(spark, sf)[1].select("uuid", "type", "severity")
 
@@ -239,7 +247,7 @@ def u02(spark, sf):
 SELECT CAST(uuid AS VARCHAR) AS uuid,
        CAST(least(coalesce(sum(CASE severity WHEN 'high' THEN 40 WHEN 'medium' THEN 20 WHEN 'low' THEN 10 END), 0), 100)
             AS BIGINT) AS score
-FROM norm LEFT JOIN capped USING (uuid) GROUP BY uuid""")
+FROM norm LEFT JOIN found USING (uuid) GROUP BY uuid""")
 def d12(spark, sf):
     return anomaly.anomaly_score(*_all_rows(spark, sf))
 
@@ -258,8 +266,8 @@ SELECT (SELECT count(*) FROM norm) AS total_events, round_even(avg(price), 2) AS
        (SELECT round_even(skewness, 3) FROM s) AS skewness, (SELECT round_even(kurtosis, 3) FROM s) AS kurtosis,
        round_even(quantile_cont(price, 0.25), 2) AS q1, round_even(quantile_cont(price, 0.75), 2) AS q3,
        round_even(quantile_cont(price, 0.75) - quantile_cont(price, 0.25), 2) AS iqr,
-       (SELECT count(*) FROM capped) AS total_anomalies,
-       round_even((SELECT count(*) FROM capped) * 100.0 / (SELECT count(*) FROM norm), 2) AS anomaly_rate,
+       (SELECT count(*) FROM found) AS total_anomalies,
+       round_even((SELECT count(*) FROM found) * 100.0 / (SELECT count(*) FROM norm), 2) AS anomaly_rate,
        (SELECT count(*) FROM u) AS price_outliers FROM priced""")
 def a15(spark, sf):
     # The normality verdict has no SQL; h03_ks_normal covers it.

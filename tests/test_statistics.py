@@ -181,8 +181,8 @@ def test_detectors(spark):
     assert anomaly.psychological_pricing(df).first().n == 4
     assert anomaly.completeness(df).first().completeness == pytest.approx(100 - 2 / 24 * 100)
     assert anomaly.temporal_summary(df, as_of).first().n_past == 4
-    capped = anomaly.temporal_rows(df, as_of, cap=2)
-    assert capped.filter("type = 'past_event'").count() == 2
+    listed = anomaly.reported_rows(rows, 2)
+    assert listed.filter("type = 'past_event'").count() == 2
 
 
 def test_integrity(spark):
