@@ -33,6 +33,7 @@ MOST = 3  # copies of a document
 BUCKET = 4096
 FAN_IN = 256
 LARGE = 1000
+SMALL = 1_000_000  # sources whose rates may be broadcast
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -172,7 +173,9 @@ def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
     # null and any text as keys of plain equality
     src = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
     targets = cut_lineage(targets.withColumn("src", src))
-    rated = sized.withColumn("src", src).join(targets.drop("source"), "src")
+    # one small row per source, counted: rows of a hot source needn't meet in one task
+    near = F.broadcast if targets.count() <= SMALL else (lambda df: df)
+    rated = sized.withColumn("src", src).join(near(targets.drop("source")), "src")
     is_large = F.col("size") * LARGE > F.col("source_size")
     whole = F.floor(F.least("rate", F.lit(float(most)))).cast("int")
 
@@ -194,7 +197,7 @@ def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
         (F.col("target") - F.coalesce("large_taken", F.lit(0.0))).alias("words"),
         (F.col("source_size") - F.coalesce("large_size", F.lit(0))).alias("of"),
     ).select("src", F.when(F.col("of") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.col("words") / F.col("of")))).otherwise(0.0).alias("rate"))
-    small = rated.where(~is_large).join(left, "src").withColumn("node", F.pmod(F.xxhash64("key", "size"), F.lit(leaves)))
+    small = rated.where(~is_large).join(near(left), "src").withColumn("node", F.pmod(F.xxhash64("key", "size"), F.lit(leaves)))
     first = rounded(small, _round_leaf(seed, carry))
     undecided = first.where("open").select("src", F.col("node").alias("leaf"), "size", "p", F.lit(True).alias("open"))
     decided, level, nodes = None, 0, leaves
