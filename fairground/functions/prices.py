@@ -54,9 +54,11 @@ def ticket_prices(c: Column) -> Column:
     """Ticket JSON to array<struct<name, price>>: ``{"prices": [{name, price}]}``, Turkish price text."""
     schema = "struct<prices: array<struct<name: string, price: string>>>"
     items = F.from_json(c, schema)["prices"]
-    priced = F.transform(
-        items, lambda p: F.struct(p["name"].alias("name"), parse_price(p["price"], "tr").alias("price"))
-    )
+    # a JSON number arrives as its digits: one or two decimals after a point are no thousands group
+    def amount(v: Column) -> Column:
+        return F.when(v.rlike(r"^\d+\.\d{1,2}$"), v.try_cast("double")).otherwise(parse_price(v, "tr"))
+
+    priced = F.transform(items, lambda p: F.struct(p["name"].alias("name"), amount(p["price"]).alias("price")))
     return F.filter(priced, lambda p: p["price"].isNotNull())
 
 

@@ -11,6 +11,7 @@ from fairground.plans import bindings as b
 from fairground.plans.bindings import rounded, with_sql
 from fairground.plans.registry import query
 from fairground.sources import sinks
+from fairground.session import scratch_folder
 from fairground.sources.tables import first_rows, read_table
 
 _LISTINGS = with_sql(b.LISTINGS)
@@ -413,13 +414,16 @@ SELECT o_orderkey AS uuid, CASE o_orderstatus WHEN 'P' THEN NULL WHEN 'F' THEN o
          AS price, o_orderpriority AS category FROM orders""")
 def s06(spark, sf):
     df = _stored(spark, sf)
-    updates = df.filter("source <> 'O'").select("uuid", F.when(F.col("source") == "F", F.col("price") + 1).alias("price"))
-    return sinks.patch(df, updates, ["price"]).select("uuid", "price", "category")
+    updates = df.filter("source <> 'O'").select("uuid", F.when(F.col("source") == "F", F.col("price") + 1).alias("price"), "updated_at")
+    older = updates.withColumns({"price": F.lit(0.0), "updated_at": F.lit("1990-01-01").cast("timestamp")})
+    return sinks.patch(df, updates.unionByName(older), ["price"]).select("uuid", "price", "category")
 
 
 @query("s07_child_upsert", """
-SELECT l_orderkey * 10 + l_linenumber AS uuid, l_orderkey AS event_uuid, max(l_quantity) AS rating
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY ALL""")
+SELECT l_orderkey * 10 + l_linenumber AS uuid, l_orderkey AS event_uuid,
+       CASE WHEN o_orderstatus = 'F' THEN max(l_quantity) ELSE -1 END AS rating
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+WHERE o_orderstatus = 'F' OR l_linenumber = 1 GROUP BY 1, 2, o_orderstatus""")
 def s07(spark, sf):
     content = read_table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("uuid"), F.col("l_orderkey").alias("event_uuid"),
@@ -429,7 +433,9 @@ def s07(spark, sf):
         F.max("rating").alias("rating"), F.max("updated_at").alias("updated_at")
     )
     parents = _stored(spark, sf).filter("source = 'F'")
-    return sinks.upsert_children(content.limit(0), content, parents).select("uuid", "event_uuid", "rating")
+    # stored: an old rating of every first line; lines of unfinished orders have no parent and keep it
+    stored = content.where("uuid % 10 = 1").withColumns({"rating": F.lit(-1.0), "updated_at": F.lit("1990-01-01").cast("timestamp_ntz")})
+    return sinks.upsert_children(stored, content, parents).select("uuid", "event_uuid", "rating")
 
 
 @query("s08_summary_edges", _ARTICLE_REVIEWS + """
@@ -437,7 +443,9 @@ SELECT event_uuid FROM reviews WHERE event_uuid IN (SELECT uuid FROM articles WH
 def s08(spark, sf):
     summaries = b.reviews(spark, sf)
     events = b.articles(spark, sf).filter("category = 'en'")
-    return sinks.upsert_summaries(summaries.limit(0), summaries, events)[1]
+    # two thirds are stored already, two thirds arrive
+    stored, new = (summaries.where(F.pmod(F.xxhash64("event_uuid"), F.lit(3)) != k) for k in (0, 1))
+    return sinks.upsert_summaries(stored, new, events)[1]
 
 
 @query("s09_overlay", """
@@ -483,7 +491,9 @@ JOIN orders ON o_orderkey = event_uuid WHERE role IN ('WROTE', 'DIRECTED', 'ACTE
 'CONDUCTED', 'CREW')""")
 def s13(spark, sf):
     edges = b.crew(spark, sf)
-    return sinks.upsert_edges(edges.limit(0), edges, b.people(spark, sf), _stored(spark, sf))
+    people, events = b.people(spark, sf), _stored(spark, sf)
+    stored = sinks.upsert_edges(edges.limit(0), edges.where("event_uuid % 2 = 0"), people, events)
+    return sinks.upsert_edges(stored, edges, people, events)
 
 
 @query("s13_rejected_edges", with_sql(b.CREW) + """
@@ -492,3 +502,49 @@ SELECT role, count(*) AS n FROM crew WHERE role NOT IN ('WROTE', 'DIRECTED', 'AC
 def s13_rejected(spark, sf):
     bad = sinks.check_roles(b.crew(spark, sf)).filter(F.col("reject_reason").isNotNull())
     return relations.counts_by(bad, "role")
+
+
+@query("s14_same_as", """
+SELECT least(o_orderkey, o_custkey) AS uuid_a, greatest(o_orderkey, o_custkey) AS uuid_b,
+       coalesce(max(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END), 0.5) AS score,
+       CASE WHEN count(*) FILTER (o_orderstatus <> 'P') > 0 THEN '2026-01-01' ELSE '2025-01-01' END AS day
+FROM orders GROUP BY 1, 2""")
+def s14(spark, sf):
+    """Stored pairs (customer, order) get the scores of the links that arrive in the other direction."""
+    orders = read_table(spark, sf, "orders")
+    pairs = orders.select(F.col("o_custkey").alias("uuid_a"), F.col("o_orderkey").alias("uuid_b"), F.lit(0.5).alias("score"), "o_orderstatus")
+    none = pairs.select("uuid_a", "uuid_b", "score", F.lit(None).cast("timestamp").alias("updated_at")).limit(0)
+    stored = sinks.upsert_same_as(none, pairs.where("o_orderstatus <> 'O'"), F.lit("2025-01-01").cast("timestamp"))
+    links = orders.where("o_orderstatus <> 'P'").select(
+        F.col("o_orderkey").alias("uuid_a"), F.col("o_custkey").alias("uuid_b"), F.col("o_totalprice").alias("score")
+    )
+    out = sinks.upsert_same_as(stored, links, F.lit("2026-01-01").cast("timestamp"))
+    return out.select("uuid_a", "uuid_b", "score", F.date_format("updated_at", "yyyy-MM-dd").alias("day"))
+
+
+@query("s15_report", """
+SELECT count(*) AS dataset_size, round(avg(o_totalprice), 2) AS mean, count(*) FILTER (o_orderstatus = 'P') AS anomalies FROM orders""")
+def s15(spark, sf):
+    """The report document, written and read back."""
+    folder = scratch_folder(spark, "report")
+    orders = read_table(spark, sf, "orders")
+    size = orders.agg(F.count("*").alias("n")).scalar()
+    sinks.write_report(
+        folder, F.lit("2026-01-01"), size, orders.agg(F.round(F.avg("o_totalprice"), 2).alias("mean")),
+        orders.agg(F.count_if(F.col("o_orderstatus") == "P").alias("anomalies")),
+    )
+    schema = "metadata struct<dataset_size: bigint>, statistical_analysis struct<mean: double>, anomaly_detection struct<anomalies: bigint>"
+    return spark.read.schema(schema).json(folder).select("metadata.dataset_size", "statistical_analysis.mean", "anomaly_detection.anomalies")
+
+
+@query("s16_embeddings", """
+SELECT vec_id AS event_uuid, CASE WHEN label < 5 THEN embedding[1]::DOUBLE END AS first,
+       CASE WHEN label < 5 THEN '2026-01-01' END AS day FROM embeddings""")
+def s16(spark, sf):
+    """Summaries whose new vectors arrive twice, the older one with zeros."""
+    vectors = read_table(spark, sf, "embeddings").withColumnRenamed("vec_id", "event_uuid")
+    stored = vectors.select("event_uuid", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("timestamp").alias("updated_at"))
+    fresh = vectors.where("label < 5").select("event_uuid", "embedding")
+    zeros = fresh.select("event_uuid", F.transform("embedding", lambda x: F.lit(-9.0).cast("float")).alias("embedding"))
+    out = sinks.set_embeddings(stored, fresh.unionByName(zeros), F.lit("2026-01-01").cast("timestamp"))
+    return out.select("event_uuid", F.get("embedding", F.lit(0)).cast("double").alias("first"), F.date_format("updated_at", "yyyy-MM-dd").alias("day"))

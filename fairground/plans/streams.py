@@ -6,15 +6,20 @@ from pyspark.sql import functions as F
 
 from fairground.operators import normalize
 from fairground.plans.registry import query
+from fairground.schemas import EVENTS
 from fairground.session import scratch_folder
+from fairground.sources import versions
 from fairground.sources.tables import read_table
 from fairground.streaming import ingest, progress
 
+def as_of():
+    return F.lit("2026-01-01").cast("timestamp")
+
 
 def items(df):
     """Line items as landed crawl items: part, supplier and month make the key, so most keys repeat."""
     return df.select(
-        F.format_string("%d-%d", "l_orderkey", "l_linenumber").alias("uuid"),
+        F.format_string("%d-%d-%d-%d", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("uuid"),
         F.when(F.col("l_returnflag") != "A", F.format_string("Part %d", F.col("l_partkey"))).alias("title"),
         F.when(F.col("l_linestatus") == "O", F.format_string(" supplier %d ", F.col("l_suppkey"))).alias("venue"),
         F.date_format("l_shipdate", "yyyy-MM").alias("date"),
@@ -75,3 +80,75 @@ def x05_stream(spark, sf):
     out = scratch_folder(spark, "progress")
     progress.progress_stream(stream, f"{out}/table", f"{out}/checkpoint", width="1 hour", by=("event_type",)).awaitTermination()
     return spark.read.parquet(f"{out}/table").withColumn("window_start", F.col("window_start").cast("long"))
+
+
+# Stored items, and re-pricing jobs for every first line: half the list price, a year later.
+
+_STORED = """
+WITH f AS (
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS uuid, l_linenumber, l_quantity, l_extendedprice, l_linestatus,
+         'Part ' || l_partkey AS title, CASE WHEN l_linestatus = 'O' THEN 'supplier ' || l_suppkey ELSE '' END AS venue,
+         strftime(l_shipdate, '%Y-%m') AS date, l_shipdate,
+         CASE WHEN l_extendedprice * 2 <= 100000 THEN l_extendedprice * 2 END AS price
+  FROM lineitem WHERE l_returnflag <> 'A'),
+s AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY title, venue, date ORDER BY l_shipdate, uuid) = 1)
+"""
+
+
+def _landed(spark, sf):
+    """(items, update jobs) with all columns of a landed item."""
+    lines = read_table(spark, sf, "lineitem")
+    jobs = items(lines.where("l_linenumber = 1")).withColumns({
+        "price": (F.col("price").cast("double") / 4).cast("string"), "is_update_job": F.lit(True),
+        "scraped_at": F.col("scraped_at") + F.expr("interval 1 year"),
+    })
+    return [normalize.validate_items(ingest.fill(x, ingest.ITEM), "crawl") for x in (items(lines), jobs)]
+
+
+def _stored(spark, out):
+    rows = versions.current(spark, f"{out}/events", EVENTS, "uuid")
+    return rows.select("uuid", "title", "venue", F.col("date_raw").alias("date"), "price")
+
+
+@query("x01_ingest", _STORED + """
+SELECT uuid, title, venue, date, CASE WHEN l_linenumber = 1 THEN l_extendedprice / 2 ELSE price END AS price FROM s""")
+def x01(spark, sf):
+    """Two batches; the second brings new events, and updates both of them and of the first batch's."""
+    landed, jobs = _landed(spark, sf)
+    out = scratch_folder(spark, "ingest")
+    ingest.store_batch(landed.where("venue IS NULL"), 0, out, as_of())
+    ingest.store_batch(landed.where("venue IS NOT NULL").unionByName(jobs), 1, out, as_of())
+    return _stored(spark, out)
+
+
+@query("x04_replay", _STORED + "SELECT uuid, title, venue, date, price FROM s")
+def x04(spark, sf):
+    """A batch is replayed, the log is folded, and all items arrive once more: nothing is stored twice."""
+    landed, _ = _landed(spark, sf)
+    out = scratch_folder(spark, "replay")
+    for batch in (0, 1, 1):
+        ingest.store_batch(landed.where("venue IS NULL") if batch == 0 else landed, batch, f"{out}/log", as_of())
+    versions.compact(spark, f"{out}/log/events", f"{out}/folded/events", EVENTS, "uuid")
+    ingest.store_batch(landed, 2, f"{out}/folded", as_of())
+    log = versions.read_log(spark, f"{out}/folded/events", EVENTS)
+    return log.select("uuid", "title", "venue", F.col("date_raw").alias("date"), "price")
+
+
+@query("x07_reprice", _STORED + """
+SELECT uuid, title, venue, date, CASE WHEN l_linenumber = 1 AND l_quantity > 25 THEN l_extendedprice / 2
+       WHEN l_linenumber = 1 THEN l_extendedprice ELSE price END AS price FROM s""")
+def x07(spark, sf):
+    """Prices found for first lines, replayed once, and later updates of some of them by the ingest, which must win."""
+    landed, jobs = _landed(spark, sf)
+    out = scratch_folder(spark, "reprice")
+    ingest.store_batch(landed, 0, out, as_of())
+    found = items(read_table(spark, sf, "lineitem").where("l_linenumber = 1")).select(
+        "uuid", (F.col("price").cast("double") / 2).cast("string").alias("price"),
+        F.lit(None).cast("string").alias("category_prices"), "scraped_at",
+    )
+    for _ in range(2):
+        progress.reprice_batch(found, 0, out, F.lit("1999-06-01").cast("timestamp"))
+    large = items(read_table(spark, sf, "lineitem").where("l_quantity > 25")).select("uuid")
+    later = jobs.join(large, "uuid", "left_semi").withColumn("scraped_at", F.lit("2001-01-01").cast("timestamp"))
+    ingest.store_batch(later.select(*jobs.columns), 1, out, as_of())
+    return _stored(spark, out)

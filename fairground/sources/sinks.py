@@ -25,10 +25,16 @@ def upsert(target: DataFrame, updates: DataFrame, key: str = "uuid", order: str
     return kept.unionByName(latest, allowMissingColumns=True)
 
 
-def patch(target: DataFrame, updates: DataFrame, columns: Sequence[str], key: str = "uuid") -> DataFrame:
-    """Set ``columns`` of existing keys to the update's values, null included; unknown keys are ignored."""
-    incoming = updates.select(key, F.struct(*columns).alias("_new"))
-    joined = target.join(incoming, key, "left")
+def _reduced(updates: DataFrame, key: str, columns: Sequence[str], order: str) -> DataFrame:
+    """(key, _new): one update per key, the last by ``order`` where the updates have it, then by value."""
+    by = [*([order] if order in updates.columns else []), *columns]
+    return updates.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*by)).alias("_new"))
+
+
+def patch(target: DataFrame, updates: DataFrame, columns: Sequence[str], key: str = "uuid",
+          order: str = "updated_at") -> DataFrame:
+    """Set ``columns`` of existing keys to the last update's values, null included; unknown keys are ignored."""
+    joined = target.join(_reduced(updates, key, columns, order), key, "left")
 
     def pick(c: str) -> Column:
         if c not in columns:
@@ -38,11 +44,12 @@ def patch(target: DataFrame, updates: DataFrame, columns: Sequence[str], key: st
     return joined.select(*[pick(c) for c in target.columns])
 
 
-def overlay(target: DataFrame, updates: DataFrame, key: str = "category") -> DataFrame:
-    """Merge properties by key: the update's columns win where set, other columns keep the old value; new keys are
+def overlay(target: DataFrame, updates: DataFrame, key: str = "category", order: str = "updated_at") -> DataFrame:
+    """Merge properties by key: the last update's columns win where set, other columns keep the old value; new keys are
     added."""
     fields = [c for c in updates.columns if c != key]
-    joined = target.join(updates.select(key, *[F.col(c).alias(f"_{c}") for c in fields]), key, "full")
+    last = _reduced(updates, key, fields, order)
+    joined = target.join(last.select(key, *[F.col(f"_new.{c}").alias(f"_{c}") for c in fields]), key, "full")
     old = set(target.columns)
     merged = [F.coalesce(f"_{c}", c).alias(c) if c in old else F.col(f"_{c}").alias(c) for c in fields]
     return joined.select(key, *[c for c in target.columns if c != key and c not in fields], *merged)
@@ -94,7 +101,15 @@ def upsert_edges(edges: DataFrame, new: DataFrame, people: DataFrame, events: Da
     good = good.join(people.select(F.col("uuid").alias("person_uuid")), "person_uuid", "left_semi")
     good = good.join(events.select(F.col("uuid").alias("event_uuid")), "event_uuid", "left_semi")
     keys = ["person_uuid", "event_uuid", "role"]
-    return edges.select(*keys).unionByName(good.select(*keys)).dropDuplicates(keys)
+    return _added(edges.select(*keys), good.select(*keys), keys)
+
+
+def _added(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``stored`` (each key once) and the keys of ``new`` it lacks. Only the new side is grouped; the stored side is
+    read past it, and Spark may broadcast the new side by its measured size."""
+    new = new.dropDuplicates(keys)
+    known = stored.join(new, keys, "left_semi")
+    return stored.unionByName(new.join(known, keys, "left_anti"))
 
 
 def upsert_same_as(edges: DataFrame, links: DataFrame, stamp: Column) -> DataFrame:
@@ -103,9 +118,10 @@ def upsert_same_as(edges: DataFrame, links: DataFrame, stamp: Column) -> DataFra
         F.least("uuid_a", "uuid_b").alias("uuid_a"), F.greatest("uuid_a", "uuid_b").alias("uuid_b"), "score",
         stamp.alias("updated_at"),
     )
-    both = edges.select("uuid_a", "uuid_b", "score", "updated_at").unionByName(new)
-    last = both.groupBy("uuid_a", "uuid_b").agg(F.max_by(F.struct("score", "updated_at"), "updated_at").alias("_v"))
-    return last.select("uuid_a", "uuid_b", "_v.score", "_v.updated_at")
+    # one new score per pair, the highest; stored pairs are only read past the new ones
+    new = new.groupBy("uuid_a", "uuid_b").agg(F.max("score").alias("score"), F.max("updated_at").alias("updated_at"))
+    kept = edges.select("uuid_a", "uuid_b", "score", "updated_at").join(new, ["uuid_a", "uuid_b"], "left_anti")
+    return kept.unionByName(new)
 
 
 def replace_members(members: DataFrame, chosen: DataFrame) -> DataFrame:

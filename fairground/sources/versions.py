@@ -1,47 +1,47 @@
 """A table kept as a log of batches: ``path/batch=<id>/``. Readers take the last version of each key.
 
-A batch folder is overwritten as a whole, so replaying a batch after a failure leaves exactly one copy of it. The
-cost of a batch grows with the batch, not with the table; ``compact`` folds the log from time to time.
+A batch folder is overwritten as a whole, so replaying a batch after a failure leaves exactly one copy of it. The last
+version of a key is the one with the latest ``updated_at``, whoever wrote it; the batch number only breaks ties. A batch
+reads the key columns of the whole log to find its keys, so its cost grows with the log: ``compact`` folds it from time
+to time, between two batches, into the batch ``FOLDED``, which no writer's number equals.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+FOLDED = -1
+
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return system.exists(folder) and any(s.getPath().getName().startswith("batch=") for s in system.listStatus(folder))
-
-
-def read_log(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """Every row of every batch (only batches below ``before`` when given), with its ``batch``."""
+def read_log(spark: SparkSession, path: str, schema: str, skip: int | None = None) -> DataFrame:
+    """Every row of every batch (but for batch ``skip``, which its writer replaces), with its ``batch``."""
     full = f"{schema.strip()}, batch bigint"
-    if not _exists(spark, path):
+    try:
+        df = spark.read.schema(full).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], full)
-    df = spark.read.schema(full).parquet(path)
-    return df if before is None else df.filter(F.col("batch") < before)
+    return df if skip is None else df.filter(F.col("batch") != skip)
 
 
 def current(
-    spark: SparkSession, path: str, schema: str, key: str, before: int | None = None, only: DataFrame | None = None
+    spark: SparkSession, path: str, schema: str, key: str, skip: int | None = None, only: DataFrame | None = None
 ) -> DataFrame:
     """The last version of each key (of the keys in ``only``). ``max_by`` keeps one row per key map-side."""
-    log = read_log(spark, path, schema, before)
+    log = read_log(spark, path, schema, skip)
     if only is not None:
         log = log.join(only.select(key), key, "left_semi")
     fields = [c for c in log.columns if c != "batch"]
-    order = F.struct("batch", "updated_at") if "updated_at" in fields else F.col("batch")
+    order = F.struct("updated_at", "batch") if "updated_at" in fields else F.col("batch")
     return log.groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("r")).select("r.*")
 
 
 def compact(spark: SparkSession, path: str, target: str, schema: str, key: str) -> None:
     """Write the current table as the single batch of a new log folder; readers switch to it when it is complete."""
-    last = read_log(spark, path, schema).agg(F.max("batch")).first()[0]
-    write_batch(current(spark, path, schema, key), target, -1 if last is None else last)
+    write_batch(current(spark, path, schema, key), target, FOLDED)

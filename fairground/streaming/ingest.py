@@ -89,7 +89,7 @@ def credit_edges(items: DataFrame) -> DataFrame:
     return named.withColumn("person_uuid", F.sha2("name", 256)).distinct()
 
 
-def _fill(df: DataFrame, schema: str) -> DataFrame:
+def fill(df: DataFrame, schema: str) -> DataFrame:
     """Columns of ``schema`` in order, absent ones null."""
     wanted = df.sparkSession.createDataFrame([], schema).schema
     return df.select(*[
@@ -98,7 +98,11 @@ def _fill(df: DataFrame, schema: str) -> DataFrame:
 
 
 def store_batch(batch: DataFrame, batch_id: int, out: str, as_of: Column | None = None) -> None:
-    """Write one validated batch. Only batches before this one count as stored, so a replay writes the same rows."""
+    """Write one validated batch. The batch's own earlier copy doesn't count as stored, so a replay writes the same rows.
+
+    A batch may hold an event and its price update; the update then applies to the event as it is stored. Without
+    ``as_of``, items should carry ``scraped_at`` (``ingest_stream`` sees to it): the clock is another one in a replay.
+    """
     spark = batch.sparkSession
     now = as_of if as_of is not None else F.current_timestamp()
     batch = batch.persist()
@@ -116,21 +120,20 @@ def store_batch(batch: DataFrame, batch_id: int, out: str, as_of: Column | None
             F.coalesce("u.scraped_at", now).alias("updated_at"),
         )
         touched = versions.current(spark, f"{out}/events", EVENTS, "uuid", batch_id, only=repriced)
-        patched = sinks.patch(touched, repriced, ["price", "category_prices", "updated_at"])
-        versions.write_batch(
-            _fill(event_rows(keyed, now), EVENTS).unionByName(_fill(patched, EVENTS)), f"{out}/events", batch_id
-        )
-        versions.write_batch(_fill(content_rows(keyed, now), CONTENT), f"{out}/content", batch_id)
+        rows = fill(event_rows(keyed, now), EVENTS).unionByName(fill(touched, EVENTS))
+        patched = sinks.patch(rows, repriced, ["price", "category_prices", "updated_at"])
+        versions.write_batch(patched, f"{out}/events", batch_id)
+        versions.write_batch(fill(content_rows(keyed, now), CONTENT), f"{out}/content", batch_id)
 
         edges = sinks.check_roles(credit_edges(keyed)).persist()
         ok = edges.filter(F.col("reject_reason").isNull())
         people = ok.select(F.col("person_uuid").alias("uuid"), "name").distinct()
-        versions.write_batch(_fill(people, PERSON), f"{out}/people", batch_id)
-        versions.write_batch(_fill(ok, PERSON_EVENT), f"{out}/person_event", batch_id)
+        versions.write_batch(fill(people, PERSON), f"{out}/people", batch_id)
+        versions.write_batch(fill(ok, PERSON_EVENT), f"{out}/person_event", batch_id)
         turned_down = edges.filter(F.col("reject_reason").isNotNull()).select(
             F.col("event_uuid").alias("uuid"), F.col("name").alias("title"), F.col("role").alias("source"), "reject_reason"
         )
-        dropped = _fill(normalize.rejected(batch), REJECTED).unionByName(_fill(turned_down, REJECTED))
+        dropped = fill(normalize.rejected(batch), REJECTED).unionByName(fill(turned_down, REJECTED))
         versions.write_batch(dropped, f"{out}/rejected", batch_id)
         edges.unpersist()
         keyed.unpersist()
@@ -154,7 +157,9 @@ def ingest_stream(
     nothing. ``stateful`` adds the in-stream de-duplication (bounded by ``watermark`` when given) in front of it.
     Accepted and dropped items are counted in the query's progress under 'ingest'.
     """
-    checked = normalize.validate_items(items, default_source)
+    # a stream's clock is that of the batch's first run, so a replay stamps the same time
+    stamped = items.withColumn("scraped_at", F.coalesce("scraped_at", F.current_timestamp()))
+    checked = normalize.validate_items(stamped, default_source)
     if stateful:
         good = checked.filter(F.col("reject_reason").isNull())
         checked = session_dedup(good, watermark).unionByName(checked.filter(F.col("reject_reason").isNotNull()))

@@ -29,17 +29,23 @@ def progress_stream(df: DataFrame, out: str, checkpoint: str, **options) -> Stre
     )
 
 
+# Price batches have numbers of their own, apart from the ingest's. Which version is the last depends on time alone.
+PRICE_BATCHES = 1_000_000_000
+
+
+def reprice_batch(batch: DataFrame, batch_id: int, out: str, stamp: Column) -> None:
+    """Price results (uuid, price, category_prices) applied to the stored events as one new version each. The batch's
+    own earlier copy is not read, so a replay writes the same rows."""
+    latest = batch.groupBy("uuid").agg(F.max_by(F.struct("price", "category_prices"), "scraped_at").alias("u")).select(
+        "uuid", prices.valid_price(F.col("u.price")).alias("price"),
+        prices.ticket_prices(F.col("u.category_prices")).alias("category_prices"), stamp.alias("updated_at"),
+    )
+    number = PRICE_BATCHES + batch_id
+    touched = versions.current(batch.sparkSession, f"{out}/events", EVENTS, "uuid", number, only=latest)
+    versions.write_batch(sinks.patch(touched, latest, ["price", "category_prices", "updated_at"]), f"{out}/events", number)
+
+
 def reprice_stream(found: DataFrame, out: str, checkpoint: str, stamp: Column) -> StreamingQuery:
-    """Landed price results (uuid, price, category_prices) applied to the stored events, one version per batch."""
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.groupBy("uuid").agg(F.max_by(F.struct("price", "category_prices"), "scraped_at").alias("u")).select(
-            "uuid", prices.valid_price(F.col("u.price")).alias("price"),
-            prices.ticket_prices(F.col("u.category_prices")).alias("category_prices"), stamp.alias("updated_at"),
-        )
-        touched = versions.current(batch.sparkSession, f"{out}/events", EVENTS, "uuid", only=latest)
-        patched = sinks.patch(touched, latest, ["price", "category_prices", "updated_at"])
-        # Price batches are numbered above the ingest's, so they are the later version of a row.
-        versions.write_batch(patched, f"{out}/events", 1_000_000_000 + batch_id)
-
-    return found.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply).trigger(availableNow=True).start()
+    """Landed price results applied batch by batch."""
+    writer = found.writeStream.option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(lambda batch, i: reprice_batch(batch, i, out, stamp)).trigger(availableNow=True).start()
