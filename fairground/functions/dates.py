@@ -49,16 +49,22 @@ def _days(c: Column, as_of: Column, strict: bool) -> Column:
     pattern = rf"(?<!\S)(?:{'|'.join(forms)})(?!\S)"
     tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def expand(token: Column) -> Column:
-        month = month_number(F.regexp_extract(token, f"({_ANY})", 1))
+    # Each step is a transform of its own: a token's month and numbers are looked up once, not once per use or day.
+    def read(token: Column) -> Column:
         numbers = F.transform(F.regexp_extract_all(token, F.lit(r"(\d+)"), F.lit(1)), lambda n: n.cast("int"))
-        first, last = F.get(numbers, 0), F.coalesce(F.get(numbers, 1), F.get(numbers, 0))
+        return F.struct(month_number(F.regexp_extract(token, f"({_ANY})", 1)).alias("m"), numbers.alias("n"))
+
+    def bound(t: Column) -> Column:
+        year = F.coalesce(given, roll_year(F.year(as_of), t["m"], as_of))
+        first = F.get(t["n"], 0)
+        return F.struct(year.alias("y"), t["m"].alias("m"), first.alias("a"), F.coalesce(F.get(t["n"], 1), first).alias("b"))
+
+    def expand(t: Column) -> Column:
         # sequence() counts down when reversed; such a range names no day.
-        days = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        year = F.coalesce(given, roll_year(F.year(as_of), month, as_of))
-        return F.transform(days, lambda d: F.struct(year.alias("y"), month.alias("m"), d.alias("d")))
+        days = F.when(t["a"] <= t["b"], F.sequence(t["a"], t["b"])).otherwise(F.array().cast("array<int>"))
+        return F.transform(days, lambda d: F.struct(t["y"].alias("y"), t["m"].alias("m"), d.alias("d")))
 
-    return F.flatten(F.transform(tokens, expand))
+    return F.flatten(F.transform(F.transform(F.transform(tokens, read), bound), expand))
 
 
 def expand_dates(c: Column, as_of: Column, strict: bool = False) -> Column:
@@ -66,8 +72,10 @@ def expand_dates(c: Column, as_of: Column, strict: bool = False) -> Column:
 
     ``strict`` keeps a narrower grammar, where 'D1 - D2 Month' yields D2 only. Months are case-exact.
     """
-    labels = F.transform(_days(c, as_of, strict), lambda s: _label(s["y"], s["m"], s["d"]))
-    return F.when(F.coalesce(F.size(labels), F.lit(0)) > 0, labels).otherwise(F.array(c))
+    days = F.coalesce(_days(c, as_of, strict), F.array().cast("array<struct<y: int, m: int, d: int>>"))
+    named = F.transform(F.array(days), lambda x: F.when(
+        F.size(x) > 0, F.transform(x, lambda s: _label(s["y"], s["m"], s["d"]))).otherwise(F.array(c)))
+    return F.get(named, 0)
 
 
 def expand_to_days(c: Column, as_of: Column, strict: bool = False) -> Column:

@@ -14,7 +14,7 @@ def seq_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio of the lower-cased texts, 0 when either is empty. Order of arguments matters."""
 
     def one(a: str | None, b: str | None) -> float:
-        return SequenceMatcher(None, a.lower(), b.lower()).ratio() if a and b else 0.0
+        return SequenceMatcher(None, a.lower(), b.lower(), autojunk=False).ratio() if a and b else 0.0
 
     return pd.Series([one(a, b) for a, b in zip(left, right)])
 

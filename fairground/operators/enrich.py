@@ -39,14 +39,15 @@ def people_text(named: DataFrame) -> DataFrame:
     return roles.groupBy("event_uuid").agg(F.array_join(lines, "\n").alias("people"))
 
 
-def context_text(df: DataFrame) -> Column:
-    """Prompt context: every field with its default, description cut to 1000 characters, people, reviews."""
+def context_text(df: DataFrame, size: int | None = None) -> Column:
+    """Prompt context: every field with its default, description (cut to ``size`` characters when given), people,
+    reviews."""
 
     def field(label: str, name: str, default: str) -> Column:
         return F.concat(F.lit(f"{label}: "), text.or_default(F.col(name).cast("string"), default))
 
     described = F.when(text.blank(F.col("description")), F.lit("No description")).otherwise(
-        F.concat(F.substring("description", 1, 1000), F.lit("..."))
+        F.col("description") if size is None else text.truncate(F.col("description"), size)
     )
     fields = [
         field("Title", "title", "Unknown"),
@@ -63,7 +64,7 @@ def context_text(df: DataFrame) -> Column:
     return F.concat_ws("\n", *fields)
 
 
-def add_context(events: DataFrame, reviews: DataFrame, people: DataFrame) -> DataFrame:
+def add_context(events: DataFrame, reviews: DataFrame, people: DataFrame, size: int | None = None) -> DataFrame:
     """Events with their ``context`` text; absent optional columns count as missing."""
     for name in ("genre", "duration", "city"):
         if name not in events.columns:
@@ -71,7 +72,7 @@ def add_context(events: DataFrame, reviews: DataFrame, people: DataFrame) -> Dat
     joined = events.join(reviews.withColumnRenamed("event_uuid", "uuid"), "uuid", "left").join(
         people.withColumnRenamed("event_uuid", "uuid"), "uuid", "left"
     )
-    return joined.withColumn("context", context_text(joined))
+    return joined.withColumn("context", context_text(joined, size))
 
 
 def run_inference(df: DataFrame, infer: Infer, columns: str, partitions: int | None = None) -> DataFrame:

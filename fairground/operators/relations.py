@@ -119,10 +119,15 @@ def counts_by(df: DataFrame, key: str) -> DataFrame:
 
 
 def exact_duplicates(df: DataFrame, keys: Sequence[str] = ("title", "venue", "date")) -> DataFrame:
-    """Keys held by more than one row. Long texts are grouped by digest, so only 32 bytes per row are shuffled."""
+    """(digest, n, keys): each combination of ``keys`` held by more than one row, and how many hold it.
+
+    Rows are counted by digest, so only 32 bytes of each are shuffled; the keys themselves follow for the few that
+    repeat.
+    """
     digest = F.sha2(F.to_json(F.struct(*[F.col(k) for k in keys])), 256).alias("digest")
-    groups = df.select(digest).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    return groups.filter(F.col("n") > 1)
+    groups = df.select(digest).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    named = df.select(digest, *keys).join(groups, "digest")
+    return named.groupBy("digest", "n").agg(*[F.first(k).alias(k) for k in keys])
 
 
 def latest_per(df: DataFrame, by: str, order: str, n: int, tie: str) -> DataFrame:

@@ -328,10 +328,9 @@ def a27(spark, sf):
 
 
 @query("a28_exact_duplicates", """
-SELECT n, count(*) AS sets FROM (SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1) GROUP BY n""")
+SELECT text, lang, count(*) AS n FROM documents GROUP BY text, lang HAVING count(*) > 1""")
 def a28(spark, sf):
-    groups = relations.exact_duplicates(read_table(spark, sf, "documents"), ("text",))
-    return groups.groupBy("n").agg(F.count(F.lit(1)).alias("sets"))
+    return relations.exact_duplicates(read_table(spark, sf, "documents"), ("text", "lang")).select("text", "lang", "n")
 
 
 @query("a31_people_by_role", with_sql(b.CREW) + """

@@ -315,20 +315,28 @@ def f36(spark, sf):
     return answered.select("name", *enrich.venue_defaults())
 
 
-@query("f13_context_text", with_sql(b.ARTICLES) + """
+@query("f13_context_text", with_sql(b.ARTICLES, b.CREW) + """
+, pl AS (SELECT event_uuid, role, string_agg(s_name, ', ' ORDER BY s_name) AS names
+         FROM (SELECT DISTINCT event_uuid, role, s_name FROM crew JOIN supplier ON s_suppkey = person_uuid) GROUP BY ALL),
+p AS (SELECT event_uuid, string_agg(role || ': ' || names, chr(10) ORDER BY role || ': ' || names) AS people FROM pl GROUP BY 1)
 , rev AS (SELECT conv_id, turn, CASE WHEN length(text) > 500 THEN text[1:500] || '...' ELSE text END AS t FROM conversations
           QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 5),
 r AS (SELECT conv_id, string_agg('- ' || t, chr(10) ORDER BY turn) AS reviews FROM rev GROUP BY conv_id)
 SELECT uuid, 'Title: ' || title || chr(10) || 'Category: ' || category || chr(10) || 'Genre: Unknown' || chr(10)
-  || 'Duration: Unknown' || chr(10) || 'Description: ' || description[1:1000] || '...' || chr(10) || 'Venue: ' || venue
-  || chr(10) || 'City: Unknown city' || chr(10) || 'Price: ' || CAST(price AS VARCHAR) || chr(10) || chr(10)
+  || 'Duration: Unknown' || chr(10) || 'Description: ' || description || chr(10) || 'Venue: ' || venue
+  || chr(10) || 'City: Unknown city' || chr(10) || 'Price: ' || CAST(price AS VARCHAR) || chr(10)
+  || coalesce('KEY PEOPLE (Verified):' || chr(10) || people, '') || chr(10)
   || coalesce('TOP USER REVIEWS:' || chr(10) || reviews, 'No reviews available.') AS context
-FROM articles LEFT JOIN r ON conv_id = uuid""")
+FROM articles LEFT JOIN r ON conv_id = uuid LEFT JOIN p ON p.event_uuid = uuid""")
 def f13(spark, sf):
+    return enrich.add_context(b.articles(spark, sf), *_texts(spark, sf)).select("uuid", "context")
+
+
+def _texts(spark, sf):
+    """(reviews, people) of events: conversations, and the named crew."""
     content = read_table(spark, sf, "conversations").withColumnRenamed("conv_id", "event_uuid")
-    nobody = b.crew(spark, sf).limit(0).select("event_uuid", F.lit("").alias("people"))
-    joined = enrich.add_context(b.articles(spark, sf), enrich.review_text(content, "turn"), nobody)
-    return joined.select("uuid", "context")
+    named = b.crew(spark, sf).join(b.people(spark, sf).withColumnRenamed("uuid", "person_uuid"), "person_uuid")
+    return enrich.review_text(content, "turn"), enrich.people_text(named)
 
 
 # Pages -----------------------------------------------------------------------------------------------------------------
@@ -344,14 +352,14 @@ def _decoded(c: str) -> str:
 SELECT page_id, {_decoded("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
   len(regexp_extract_all(html, '<li><a href=')) AS n_links FROM pages""")
 def s04(spark, sf):
-    df = pages.article_pages(spread(read_table(spark, sf, "pages")))
+    df = pages.article_pages(read_table(spark, sf, "pages"))
     return df.select("page_id", "title", "lang", F.size("links").alias("n_links"))
 
 
 @query("f20_page_titles", f"""
 SELECT page_id, {_decoded("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title FROM pages""")
 def f20(spark, sf):
-    f = pages.extract_fields(spread(read_table(spark, sf, "pages")), {"h2": ("h2 a", "own"), "t": ("head > title", "text")})
+    f = pages.extract_fields(read_table(spark, sf, "pages"), {"h2": ("h2 a", "own"), "t": ("head > title", "text")})
     return f.select("page_id", pages.first("h2", "t").alias("title"))
 
 
@@ -359,25 +367,20 @@ def f20(spark, sf):
 SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || {_decoded('link')} AS link
 FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS link FROM pages)""")
 def f21(spark, sf):
-    links = pages.article_pages(spread(read_table(spark, sf, "pages"))).select("page_id", "url", F.explode("links").alias("link"))
+    links = pages.article_pages(read_table(spark, sf, "pages")).select("page_id", "url", F.explode("links").alias("link"))
     return links.select("page_id", places.absolute_url(F.col("link"), F.col("url")).alias("link"))
 
 
 @query("f22_entity_decoding", f"""
 SELECT page_id, {_decoded("regexp_extract(html, '<footer>(.*?)</footer>', 1, 's')")} AS footer FROM pages""")
 def f22(spark, sf):
-    return pages.article_pages(spread(read_table(spark, sf, "pages"))).select("page_id", "footer")
+    return pages.article_pages(read_table(spark, sf, "pages")).select("page_id", "footer")
 
 
 def _joined(parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def spread(df):
-    """Small test tables arrive in one task; parsing should still use every core."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def tour_pages(spark, sf):
     """One tour page per customer: a city block with a dated row per order."""
     day = F.format_string("%d %s", F.dayofmonth("o_orderdate"), _month())
@@ -396,7 +399,7 @@ SELECT o_custkey AS page_id, c_name AS title, o_orderpriority AS venue, c_mktseg
        {_LABEL.format(y="'2024'", d="day(o_orderdate)")} AS date, o_totalprice AS price
 FROM orders JOIN customer ON c_custkey = o_custkey""")
 def f24(spark, sf):
-    detail = pages.site_a_detail(spread(tour_pages(spark, sf)), as_of())
+    detail = pages.site_a_detail(tour_pages(spark, sf), as_of(), fields=pages.EVENT_FIELDS)
     return pages.site_a_events(detail, as_of()).select("page_id", "title", "venue", "city", "date", "price")
 
 
@@ -420,7 +423,7 @@ def event_pages(spark, sf):
 SELECT o_orderkey AS page_id, {_LABEL.format(y="'2024'", d="d")} AS date FROM orders,
 LATERAL (SELECT unnest(range(day(o_orderdate), day(o_orderdate) + 1 + o_custkey % 3)) AS d)""")
 def f25(spark, sf):
-    detail = pages.site_a_detail(spread(event_pages(spark, sf)), as_of())
+    detail = pages.site_a_detail(event_pages(spark, sf), as_of(), fields=pages.EVENT_FIELDS)
     return pages.site_a_events(detail, as_of()).select("page_id", "date")
 
 
@@ -428,26 +431,26 @@ def f25(spark, sf):
 SELECT o_orderkey AS page_id, 'Kind ' || o_orderpriority AS category, 'Genre ' || o_orderstatus AS genre,
        month(o_orderdate) || '0 dakika' AS duration FROM orders""")
 def f30(spark, sf):
-    return pages.site_a_detail(spread(event_pages(spark, sf)), as_of()).select("page_id", "category", "genre", "duration")
+    return pages.site_a_detail(event_pages(spark, sf), as_of(), fields=("category", "genre", "duration",)).drop("url")
 
 
 @query("f32_sold_out_price", """
 SELECT o_orderkey AS page_id, o_orderstatus = 'P' AS sold_out, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price FROM orders""")
 def f32(spark, sf):
-    return pages.site_a_detail(spread(event_pages(spark, sf)), as_of()).select("page_id", "sold_out", "price")
+    return pages.site_a_detail(event_pages(spark, sf), as_of(), fields=("sold_out", "price",)).drop("url")
 
 
 @query("f27_descriptions", """
 SELECT o_orderkey AS page_id, 'Kind ' || o_orderpriority || ' Yönetmen: Person ' || o_custkey || ', Helper' AS description FROM orders""")
 def f27(spark, sf):
-    return pages.site_a_detail(spread(event_pages(spark, sf)), as_of()).select("page_id", "description")
+    return pages.site_a_detail(event_pages(spark, sf), as_of(), fields=("description",)).drop("url")
 
 
 @query("f28_credits", """
 SELECT o_orderkey AS page_id, 'Person ' || o_custkey AS name, 'DIRECTED' AS role FROM orders
 UNION ALL SELECT o_orderkey, 'Helper', 'DIRECTED' FROM orders""")
 def f28(spark, sf):
-    return pages.credit_rows(pages.site_a_detail(spread(event_pages(spark, sf)), as_of()))
+    return pages.credit_rows(pages.site_a_detail(event_pages(spark, sf), as_of(), fields=("credits",)))
 
 
 def comment_pages(spark, sf):
@@ -466,7 +469,7 @@ SELECT conv_id AS page_id, 'user_review' AS content_type, role || ' ' || turn AS
        trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, CAST(turn + 0.5 AS DOUBLE) AS rating FROM conversations
 WHERE length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 10 AND NOT contains(text, 'SEYİRCİ')""")
 def f26(spark, sf):
-    return pages.review_rows(pages.site_a_detail(spread(comment_pages(spark, sf)), as_of()))
+    return pages.review_rows(pages.site_a_detail(comment_pages(spark, sf), as_of(), fields=("reviews",)))
 
 
 @query("f29_name_patterns", """
@@ -477,7 +480,7 @@ def f29(spark, sf):
     rows = read_table(spark, sf, "customer").select(
         F.col("c_custkey").alias("page_id"), F.lit("https://site.example/s").alias("url"), html.alias("html")
     )
-    return pages.credit_rows(pages.site_a_detail(rows, as_of()))
+    return pages.credit_rows(pages.site_a_detail(rows, as_of(), fields=("credits",)))
 
 
 # Enrichment with a deterministic stand-in for the caller's model -------------------------------------------------------
@@ -492,8 +495,9 @@ def stand_in_model(batches):
         yield batch.assign(reply=reply.where(lang != "es", "oops").where(lang != "fr"))[["uuid", "reply"]]
 
 
-@query("v06_enrichment", with_sql(b.ARTICLES, b.REVIEWS) + """
-, s AS (SELECT uuid, category, event_uuid IS NOT NULL AS done, length(trim(description)) > 10 AS ready
+@query("v06_enrichment", with_sql(b.ARTICLES, b.REVIEWS, b.CREW) + """
+, s AS (SELECT uuid, category, event_uuid IS NOT NULL AS done, (uuid % 4 <> 0 AND length(trim(description)) > 10) OR uuid IN (SELECT conv_id FROM conversations)
+         OR uuid IN (SELECT event_uuid FROM crew) AS ready
         FROM articles LEFT JOIN reviews ON event_uuid = uuid)
 SELECT uuid, CASE WHEN done THEN 'skipped' WHEN NOT ready THEN 'skipped_low_quality'
   WHEN category IN ('es', 'fr') THEN 'failed' ELSE 'success' END AS state,
@@ -503,14 +507,16 @@ def v06(spark, sf):
 
 
 def _enriched(spark, sf):
-    events, nothing = b.articles(spark, sf), b.crew(spark, sf).limit(0)
-    chosen = enrich.select_for_enrichment(events, b.reviews(spark, sf), nothing, nothing)
-    texts = nothing.select("event_uuid", F.lit("").alias("reviews")), nothing.select("event_uuid", F.lit("").alias("people"))
-    return enrich.enrich(enrich.add_context(chosen, *texts), stand_in_model)
+    content = read_table(spark, sf, "conversations").withColumnRenamed("conv_id", "event_uuid")
+    # short descriptions only, so that reviews and people decide for many events
+    events = b.articles(spark, sf).withColumn("description", F.when(F.col("uuid") % 4 != 0, F.col("description")))
+    chosen = enrich.select_for_enrichment(events, b.reviews(spark, sf), content, b.crew(spark, sf))
+    return enrich.enrich(enrich.add_context(chosen, *_texts(spark, sf)), stand_in_model)
 
 
-@query("a32_outcomes", with_sql(b.ARTICLES, b.REVIEWS) + """
-SELECT CASE WHEN event_uuid IS NOT NULL THEN 'skipped' WHEN length(trim(description)) <= 10 THEN 'skipped_low_quality'
+@query("a32_outcomes", with_sql(b.ARTICLES, b.REVIEWS, b.CREW) + """
+SELECT CASE WHEN event_uuid IS NOT NULL THEN 'skipped' WHEN NOT ((uuid % 4 <> 0 AND length(trim(description)) > 10) OR uuid IN (SELECT conv_id FROM conversations)
+         OR uuid IN (SELECT event_uuid FROM crew)) THEN 'skipped_low_quality'
   WHEN category IN ('es', 'fr') THEN 'failed' ELSE 'success' END AS state, count(*) AS n
 FROM articles LEFT JOIN reviews ON event_uuid = uuid GROUP BY state""")
 def a32(spark, sf):

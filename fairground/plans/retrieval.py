@@ -218,14 +218,20 @@ def v05(spark, sf):
     return won.select("category", "event_uuid", "rank")
 
 
-@query("t08_fallback_candidates", with_sql(b.ARTICLES, b.REVIEWS) + """
-SELECT id FROM (SELECT uuid AS id FROM articles SEMI JOIN reviews ON event_uuid = uuid ORDER BY uuid LIMIT 200)
-JOIN reviews ON event_uuid = id WHERE quality_score IS NULL OR quality_score = 0 OR quality_score >= 3""")
+@query("t08_fallback_candidates", with_sql(b.ARTICLES, b.REVIEWS, _TOPICS, _top(50)) + """
+, ok AS (SELECT event_uuid AS id, quality_score FROM reviews JOIN articles ON uuid = event_uuid
+         WHERE quality_score IS NULL OR quality_score = 0 OR quality_score >= 3),
+nt AS (SELECT query_id, id FROM top JOIN ok USING (id) WHERE query_id < 5),
+best AS (SELECT id FROM ok ORDER BY quality_score DESC NULLS LAST, id LIMIT 200)
+SELECT query_id, id FROM nt
+UNION ALL SELECT query_id, id FROM (SELECT DISTINCT label AS query_id FROM embeddings) q, best
+WHERE query_id NOT IN (SELECT query_id FROM nt)""")
 def t08(spark, sf):
-    # No vectors at all: every criterion falls back.
-    one = topic_queries(spark, sf).orderBy("query_id").limit(1)
-    nothing = vectors(spark, sf).filter(F.col("embedding").isNull())
-    return curation.candidates(one, nothing, b.articles(spark, sf), b.reviews(spark, sf)).select("id")
+    """All topics; those from 5 on have no usable vector, so they fall back."""
+    topics = topic_queries(spark, sf)
+    topics = topics.withColumn("embedding", F.when(F.col("query_id") < 5, F.col("embedding")).otherwise(F.transform("embedding", lambda x: x * 0)))
+    out = curation.candidates(topics, vectors(spark, sf), b.articles(spark, sf), b.reviews(spark, sf))
+    return out.select("query_id", "id")
 
 
 @query("w04_last_turns", """

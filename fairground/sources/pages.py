@@ -7,7 +7,7 @@ Everything after that (fallbacks, prices, dates, fan-out to rows) is native colu
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -413,19 +413,29 @@ def _credits() -> Column:
     def person(name: Column, role: Column) -> Column:
         return F.struct(name.alias("name"), role.alias("role"))
 
-    def line(p: Column) -> Column:
-        strong = first_inside("credit_role", p)
-        whole = p["value"]
-        in_strong = _role(_turkish_upper(strong), CREDIT_ROLES)
-        in_line = _role(_turkish_upper(whole), CREDIT_ROLES)
+    # each step is a transform of its own, so that what it yields is evaluated once
+    texts = F.transform("credit_line", lambda p: F.struct(first_inside("credit_role", p).alias("strong"), p["value"].alias("whole")))
+    upper = F.transform(texts, lambda t: F.struct(
+        t["strong"].alias("strong"), t["whole"].alias("whole"),
+        _turkish_upper(t["strong"]).alias("s"), _turkish_upper(t["whole"]).alias("w"),
+    ))
+    roles = F.transform(upper, lambda t: F.struct(
+        t["strong"].alias("strong"), t["whole"].alias("whole"), _role(t["s"], CREDIT_ROLES).alias("in_strong"),
+        _role(t["w"], CREDIT_ROLES).alias("in_line"),
+    ))
+
+    def line(t: Column) -> Column:
         # 'Role: name, name' has the role in bold; 'Role: <b>name</b>' has the name in bold.
-        rest = F.regexp_replace(F.replace(whole, strong, F.lit("")), r"^[\s\"':]+|[\s\"']+$", "")
-        named = F.when(in_strong.isNotNull(), rest).when(in_line.isNotNull(), strong)
-        names = F.when(F.length(named) > 2, F.filter(F.transform(F.split(named, ","), lambda n: F.trim(n)), lambda n: n != ""))
-        return F.transform(names, lambda n: person(n, F.coalesce(in_strong, in_line)))
+        rest = F.regexp_replace(F.replace(t["whole"], t["strong"], F.lit("")), r"^[\s\"':]+|[\s\"']+$", "")
+        named = F.when(t["in_strong"].isNotNull(), rest).when(t["in_line"].isNotNull(), t["strong"])
+        return F.struct(named.alias("named"), F.coalesce(t["in_strong"], t["in_line"]).alias("role"))
+
+    def people(t: Column) -> Column:
+        names = F.filter(F.transform(F.split(t["named"], ","), lambda n: F.trim(n)), lambda n: n != "")
+        return F.when(F.length(t["named"]) > 2, F.transform(names, lambda n: person(n, t["role"])))
 
     none = F.array().cast("array<struct<name: string, role: string>>")
-    lines = F.flatten(F.filter(F.transform("credit_line", line), lambda a: a.isNotNull()))
+    lines = F.flatten(F.filter(F.transform(F.transform(roles, line), people), lambda a: a.isNotNull()))
     grid = F.transform(values("cast"), lambda n: person(n, F.lit("ACTED_IN")))
 
     def member(c: Column) -> Column:
@@ -437,12 +447,36 @@ def _credits() -> Column:
     body = F.concat_ws(" ", first("info"), first("movie_body"))
     tries = [F.nullif(F.regexp_extract(body, p, 1), F.lit("")) for p in NAME_PATTERNS]
     guessed = F.filter(F.array(*tries), lambda n: n.isNotNull())
-    return F.when(F.size(listed) > 0, listed).otherwise(F.transform(guessed, lambda n: person(n, F.lit("PERFORMED_BY"))))
+    fallback = F.transform(guessed, lambda n: person(n, F.lit("PERFORMED_BY")))
+    return F.get(F.transform(F.array(listed), lambda x: F.when(F.size(x) > 0, x).otherwise(fallback)), 0)
+
+
+_INFO = ("info", "description_1", "description_2", "description_3", "description_4", "description_5", "description_6")
+_TITLE = ("title_h2", "title_h3", "title_caption")
+_LABEL = ("detail_name", "detail_item", "detail_value")
+_PRICE = ("city_block", "tickets", "price_content", "price_text", "price_ticket", "row_price", "sold_out_box", "button")
+# The rules that each output field reads.
+DETAIL_NEEDS = {
+    "title": _TITLE, "category": ("refined",), "genre": _LABEL, "duration": _LABEL, "price": _PRICE, "sold_out": _PRICE,
+    "category_prices": ("tickets",), "ticket_venue": ("tickets",),
+    "date_raw": ("body", "date_vision", "date_release", "date_event", "row_date", "date_show", "date_plain", "time_iso", "time_text"),
+    "description": _INFO,
+    "reviews": ("ai_comment", "comment", "comment_rank", "comment_strong", "comment_mark", "comment_line", "comment_p",
+                "comment_rating", "comment_stars", "comment_points"),
+    "credits": ("credit_line", "credit_role", "cast", "crew", "crew_name", "crew_role", "info", "movie_body"),
+    "is_tour": ("city_block",), "tour": ("city_block", "row", "row_date", "row_venue", "row_venue_text", "row_price"),
+}
+
 
+def site_a_detail(pages: DataFrame, as_of: Column, key: str = "page_id", fields: Sequence[str] = tuple(DETAIL_NEEDS)) -> DataFrame:
+    """Site A detail page: one row per page with the wanted ``fields``; ``site_a_events`` fans it out to dated events.
 
-def site_a_detail(pages: DataFrame, as_of: Column, key: str = "page_id") -> DataFrame:
-    """Site A detail page: one row per page with every field; ``site_a_events`` fans it out to dated events."""
-    f = extract_fields(pages, SITE_A_DETAIL, key)
+    Only the rules that the fields read are collected from the page.
+    """
+    needed = {rule for name in fields for rule in DETAIL_NEEDS[name]}
+    absent = F.array().cast("array<struct<pos: int, end: int, value: string>>")
+    f = extract_fields(pages, {n: rule for n, rule in SITE_A_DETAIL.items() if n in needed}, key)
+    f = f.withColumns({n: absent for n in SITE_A_DETAIL if n not in needed})
     istanbul = F.get(F.filter("city_block", lambda b: F.contains(b["value"], F.lit("İstanbul")) | F.contains(b["value"], F.lit("istanbul"))), 0)
     f = f.withColumn("_istanbul", istanbul).withColumn("_price", _scope_price(F.col("_istanbul")))
     label_date = F.nullif(F.trim(F.regexp_extract(first("body"), r"(?:Vizyon Tarihi)\s*(\d{1,2}\s+\S+\s+\d{4})", 1)), F.lit(""))
@@ -452,8 +486,6 @@ def site_a_detail(pages: DataFrame, as_of: Column, key: str = "page_id") -> Data
         first("time_iso", "time_text"),
         dates.dated_text(first("body"), as_of),
     )
-    info_fields = ("info", "description_1", "description_2", "description_3", "description_4", "description_5", "description_6")
-
     def row_event(block: Column):
         def build(row: Column) -> Column:
             raw = first_inside("row_date", row)
@@ -467,16 +499,15 @@ def site_a_detail(pages: DataFrame, as_of: Column, key: str = "page_id") -> Data
         return build
 
     tour = F.flatten(F.transform("city_block", lambda b: F.transform(inside("row", b), row_event(b))))
-    return f.select(
-        key, "url",
-        first("title_h2", "title_h3", "title_caption").alias("title"),
-        first("refined").alias("category"), _labelled("Etkinlik Türü").alias("genre"), _labelled("Süre").alias("duration"),
-        F.col("_price.price").alias("price"), F.col("_price.sold_out").alias("sold_out"),
-        prices.ticket_prices(first("tickets")).alias("category_prices"),
-        places.split_venue(F.get_json_object(first("tickets"), "$.venue_name")).alias("ticket_venue"),
-        date.alias("date_raw"), first(*info_fields, longer_than=20).alias("description"),
-        _reviews().alias("reviews"), _credits().alias("credits"), (F.size("city_block") > 0).alias("is_tour"), tour.alias("tour"),
-    )
+    made = {
+        "title": first(*_TITLE), "category": first("refined"), "genre": _labelled("Etkinlik Türü"), "duration": _labelled("Süre"),
+        "price": F.col("_price.price"), "sold_out": F.col("_price.sold_out"),
+        "category_prices": prices.ticket_prices(first("tickets")),
+        "ticket_venue": places.split_venue(F.get_json_object(first("tickets"), "$.venue_name")),
+        "date_raw": date, "description": first(*_INFO, longer_than=20), "reviews": _reviews(), "credits": _credits(),
+        "is_tour": F.size("city_block") > 0, "tour": tour,
+    }
+    return f.select(key, "url", *[made[name].alias(name) for name in fields])
 
 
 def site_a_events(detail: DataFrame, as_of: Column, key: str = "page_id") -> DataFrame:
@@ -498,6 +529,9 @@ def site_a_events(detail: DataFrame, as_of: Column, key: str = "page_id") -> Dat
     )
 
 
+EVENT_FIELDS = ("title", "category", "genre", "duration", "price", "ticket_venue", "date_raw", "description", "is_tour", "tour")
+
+
 def review_rows(detail: DataFrame, key: str = "page_id") -> DataFrame:
     return detail.select(key, F.inline("reviews"))
 
