@@ -208,7 +208,14 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     return lines.mapInArrow(_read, CHUNK_SCHEMA)
 
 
-@query("op10_warc")
+@query("op10_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) END AS first FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to, CASE WHEN first < page_id THEN NULL ELSE true END AS digest_ok
+FROM f""")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Archive every page, read the archives back, one row per record."""
     folder = scratch_folder(spark, "warc")
