@@ -3,10 +3,11 @@
 Words are runs of ASCII letters and digits and of any character beyond ASCII, with A-Z lower-cased. Every run of ``N``
 consecutive words of an item is a window; an item with fewer words, but not none, is one window. The windows form a
 hash set keyed by a 64-bit hash. Documents are cut into overlapping runs of words, so that a very long one is many
-small rows; each position's window is hashed, looked up, and a hit is verified by comparing the words themselves.
+small rows; token windows around an anchor (one word of each benchmark window) are hashed and looked up, and a hit is
+verified by comparing the words themselves.
 
-The window set is broadcast only when it was counted and holds at most ``MAX_BROADCAST`` windows; beyond that the same
-join runs as a shuffle. Everything is DataFrame expressions. What is shuffled is hits, never texts.
+The window set is broadcast only when it was counted and holds at most ``MAX_BROADCAST`` windows; beyond that, all
+token windows are shuffled to meet it. Everything is DataFrame expressions. What is shuffled is hits, never texts.
 
 Defined cases: a null or empty text has no words and no hits; a null item id counts as an item and sorts as the empty
 string; repeated rows each get the verdict of their id and text; items repeated under several ids all count; empty
@@ -31,65 +32,86 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def words_of(text: Column) -> Column:
     """The normalised words of a text; an empty array for null."""
-    # one space for what is no word, so that the words are what stands between single spaces
-    spaced = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), NOT_WORD, " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
-
-
-def count_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long")
+    text = F.coalesce(text, F.lit(""))
+    plain = F.octet_length(text) == F.length(text)  # ASCII alone: lower() changes just A-Z and is far cheaper
+    lowered = F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.array_remove(F.split(lowered, NOT_WORD), "")
 
 
 def benchmark_windows(items: DataFrame, item: str = "item_id", text: str = "text", n: int = N) -> DataFrame:
-    """``gram, h, len, items``: each distinct window, its hash, its words and the ids of the items that hold it."""
+    """``gram, h, len, items, anchor, off``: each distinct window, its hash, its words, the ids of the items that hold it
+    (as text), and the hash and place of its anchor, the word that is rarest among the items (then longest, then first).
+    """
     rows = items.select(F.col(item).cast("string").alias("item"), words_of(F.col(text)).alias("w")).where("size(w) > 0")
     length = F.least(F.size("w"), F.lit(n))
     grams = rows.select("item", length.alias("len"), F.explode(
         F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.array_join(F.slice("w", i, length), " "))
     ).alias("gram"))
-    return grams.groupBy("gram", "len").agg(F.collect_set(F.coalesce("item", F.lit(""))).alias("items")).withColumn(
-        "h", F.xxhash64("gram")
-    )
+    grams = grams.groupBy("gram", "len").agg(F.collect_set(F.coalesce("item", F.lit(""))).alias("items"))
+    times = rows.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("times"))
+    placed = grams.select("gram", F.posexplode(F.split("gram", " ")).alias("off", "word")).join(times, "word")
+    best = F.min(F.struct("times", (-F.length("word")).alias("size"), "off", "word")).alias("a")
+    anchors = placed.groupBy("gram").agg(best).select("gram", "a.off", F.xxhash64("a.word").alias("anchor"))
+    return grams.join(anchors, "gram").withColumn("h", F.xxhash64("gram"))
+
 
+def scan(docs: DataFrame, windows: DataFrame, n: int = N, chunk: int = CHUNK, most: int = MAX_BROADCAST) -> DataFrame:
+    """One pass over the texts of ``docs`` (``k, t, text``): ``k, t, n_words, at, len, gram``.
 
-def find_hits(docs: DataFrame, windows: DataFrame, text: str = "text", n: int = N, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` (without the text) once per verified hit, with ``at`` (0-based word), ``len`` and ``gram``."""
+    A row for each verified hit (``at``: 0-based word), and one for each document with null ``at``. A word that is no
+    window's anchor costs one lookup; only around anchors are windows put together, hashed and looked up.
+    """
+    words = docs.select("k", "t", words_of(F.col("text")).alias("w"))
+    # an empty word stands before each chunk: in the first it carries the document's own row
+    n_words = F.size("w")
+    chunks = words.select("k", "t", n_words.alias("n_words"), F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.floor((F.greatest(n_words, F.lit(1)) - 1) / chunk).cast("int")),
+        lambda c: F.concat(F.array(F.lit("")), F.slice("w", c * chunk + 1, chunk + n - 1)),
+    )).alias("c", "v"))
+    at = (F.col("c") * chunk + F.col("s") - 1).alias("at")
+    same = (F.col("h") == F.col("w_h")) & (F.col("gram") == F.col("w_gram"))
+    if windows.count() <= most:
+        keys = F.broadcast(windows.select(F.col("h").alias("w_h"), F.col("gram").alias("w_gram"), F.col("off").alias("w_off")))
+        anchors = windows.select("anchor", "off", "len").distinct().union(docs.sparkSession.range(1).select(
+            F.xxhash64(F.lit("")).alias("anchor"), F.lit(-1).alias("off"), F.lit(0).alias("len")
+        ))
+        rows = chunks.select("k", "t", "n_words", "c", "v", F.posexplode("v").alias("p", "x"))
+        rows = rows.join(F.broadcast(anchors), F.xxhash64("x") == F.col("anchor")).withColumn("s", F.col("p") - F.col("off"))
+        fits = (F.col("s") >= 1) & (F.col("s") <= chunk) & (F.col("s") + F.col("len") <= F.size("v"))
+        rows = rows.where(((F.col("off") < 0) & (F.col("c") == 0)) | ((F.col("off") >= 0) & fits))
+        gram = F.when(F.col("off") >= 0, F.array_join(F.slice("v", F.col("s") + 1, F.col("len")), " "))
+        rows = rows.select("k", "t", "n_words", "off", at, "len", gram.alias("gram")).withColumn("h", F.xxhash64("gram"))
+        rows = rows.join(keys, same & (F.col("off") == F.col("w_off")), "left").where("off < 0 OR w_gram IS NOT NULL")
+        hit = F.col("off") >= 0
+        return rows.select("k", "t", "n_words", F.when(hit, F.col("at")).alias("at"), F.when(hit, F.col("len")).alias("len"), "gram")
+    # too many windows to broadcast: every window of the texts goes to meet them by hash
     lengths = [r[0] for r in windows.select("len").distinct().collect()]  # at most n values
-    other = [c for c in docs.columns if c != text]
-    if not lengths:
-        return docs.select(*other, F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit("").alias("gram")).limit(0)
-    keys = windows.select(F.col("h").alias("w_h"), F.col("gram").alias("w_gram"))
-    if windows.count() <= MAX_BROADCAST:
-        keys = F.broadcast(keys)
-    longest = max(lengths)
-    chunks = docs.select(*other, words_of(F.col(text)).alias("w")).where("size(w) > 0").select(
-        *other, F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.floor((F.size("w") - 1) / chunk).cast("int")),
-            lambda c: F.slice("w", c * chunk + 1, chunk + longest - 1),
-        )).alias("c", "w")
-    )
-    none = F.array().cast("array<struct<len:int,p:int,gram:string>>")
+    none = F.array().cast("array<struct<len:int,s:int,gram:string>>")
 
     def windows_of(k: int) -> Column:
-        """Windows of k words that start among this chunk's own words."""
-        starts = F.least(F.lit(chunk), F.size("w") - k + 1)
-        gram = F.transform(F.sequence(F.lit(1), starts), lambda i: F.struct(
-            F.lit(k).alias("len"), (i - 1).alias("p"), F.array_join(F.slice("w", i, k), " ").alias("gram")))
-        return F.when(F.size("w") >= k, gram).otherwise(none)
-
-    grams = windows_of(lengths[0]) if len(lengths) == 1 else F.concat(*[windows_of(k) for k in sorted(lengths)])
-    rows = chunks.select(*other, "c", F.explode(grams).alias("g"))
-    rows = rows.select(*other, (F.col("c") * chunk + F.col("g.p")).alias("at"), "g.len", "g.gram", F.xxhash64("g.gram").alias("h"))
-    same = (F.col("h") == F.col("w_h")) & (F.col("gram") == F.col("w_gram"))
-    return rows.join(keys, same).select(*other, "at", "len", "gram")
+        starts = F.least(F.lit(chunk), F.size("v") - k)
+        gram = F.transform(F.sequence(F.lit(1), starts), lambda s: F.struct(
+            F.lit(k).alias("len"), s.alias("s"), F.array_join(F.slice("v", s + 1, k), " ").alias("gram")))
+        return F.when(F.size("v") > k, gram).otherwise(none)
+
+    rows = chunks.select("k", "t", "n_words", "c", F.inline(F.concat(*[windows_of(k) for k in sorted(lengths)])))
+    rows = rows.select("k", "t", "n_words", at, "len", "gram", F.xxhash64("gram").alias("h"))
+    hits = rows.join(windows.select(F.col("h").alias("w_h"), F.col("gram").alias("w_gram")), same)
+    no_int, no_text = F.lit(None).cast("int"), F.lit(None).cast("string")
+    own = words.select("k", "t", n_words.alias("n_words"), no_int.alias("at"), no_int.alias("len"), no_text.alias("gram"))
+    return hits.select("k", "t", "n_words", "at", "len", "gram").unionByName(own)
+
+
+def _narrow(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
-                  item: str = "item_id", item_text: str = "text", n: int = N) -> DataFrame:
-    """Per row of ``docs``: key, text hash, n_words, n_hit, n_items, items_sha256, contaminated."""
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+                  item_text: str = "text", n: int = N, most: int = MAX_BROADCAST) -> DataFrame:
+    """Per row of ``docs``: key, text_hash, n_words, n_hit, n_items, items_sha256, contaminated."""
     windows = benchmark_windows(items, item, item_text, n)
-    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    hits = cut_lineage(find_hits(rows, windows, "text", n))  # few rows, read twice below
+    found = cut_lineage(scan(_narrow(docs, key, text), windows, n, most=most))  # narrow rows, read three times below
+    hits = found.where("at IS NOT NULL")
     # covered words, in order of position: what each hit adds to the furthest end so far
     spans = hits.groupBy("k", "t", "at").agg(F.max("len").alias("len"))
     so_far = Window.partitionBy("k", "t").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,10 +123,9 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     stats = covered.alias("a").join(held.alias("b"), F.expr("a.k <=> b.k AND a.t <=> b.t")).select(
         F.col("a.k").alias("s_k"), F.col("a.t").alias("s_t"), "n_hit", "items"
     )
-    all_rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), count_words(F.col(text)).alias("n_words"))
     none = F.array().cast("array<string>")
-    return all_rows.join(stats, F.expr("k <=> s_k AND t <=> s_t"), "left").select(
-        F.col("k").alias(key), F.col("t").alias("text_hash"), "n_words",
+    return found.where("at IS NULL").join(stats, F.expr("k <=> s_k AND t <=> s_t"), "left").select(
+        F.col("k").alias(key), F.col("t").alias("text_hash"), F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"),
@@ -114,8 +135,8 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without any hit, with the columns of ``docs``."""
-    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    bad = find_hits(rows, benchmark_windows(items), "text").select(F.col("k").alias("v_k"), F.col("t").alias("v_t")).distinct()
+    hits = scan(_narrow(docs, key, text), benchmark_windows(items)).where("at IS NOT NULL")
+    bad = hits.select(F.col("k").alias("v_k"), F.col("t").alias("v_t")).distinct()
     return without(docs, bad, key, text)
 
 
@@ -124,9 +145,9 @@ def remove_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
     The cut texts keep their other characters as they were: pieces between words are addressed by word number.
     """
-    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
     at = F.explode(F.sequence("at", F.col("at") + F.col("len") - 1)).alias("at")
-    hit = find_hits(rows, benchmark_windows(items), "text").select("k", "t", at).groupBy(
+    hits = scan(_narrow(docs, key, text), benchmark_windows(items)).where("at IS NOT NULL")
+    hit = hits.select("k", "t", at).groupBy(
         F.col("k").alias("v_k"), F.col("t").alias("v_t")
     ).agg(F.collect_set("at").alias("hit"))
     joined = keyed(docs, key, text).join(hit, same_row(), "left")

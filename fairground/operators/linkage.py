@@ -187,23 +187,28 @@ def duplicate_pairs(
     metric: str = "ratio",
     title: str = "title",
     key: str = "uuid",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Greedy duplicates: in key order, a row not yet consumed consumes its later near-identical rows in the block.
 
     Returns (uuid_a, title_a, uuid_b, title_b, similarity) with similarity above the threshold, one row per consumed
-    row. Runs jobs (one per round of decisions).
+    row, titles as they are stored, and ``<name>_a``, ``<name>_b`` of every column in ``carry`` (the price, say). Runs
+    jobs (one per round of decisions).
     """
     reps = representatives(df, block, title, key)
     between = _scored(reps, _metric(metric), threshold, strict=True)
     taken = _greedy_leaders(between.select(F.col("rep_a").alias("src"), F.col("rep_b").alias("dst"), "score"))
     # Copies follow their representative: to its leader, or to itself when it leads.
-    members = reps.select("uuid", "rep", "title").alias("m")
+    members = reps.select("uuid", "rep").alias("m")
     joined = members.join(taken.alias("t"), F.col("m.rep") == F.col("t.dst"), "left").select(
-        F.coalesce("t.src", "m.rep").alias("uuid_a"), F.col("m.uuid").alias("uuid_b"), F.col("m.title").alias("title_b"),
+        F.coalesce("t.src", "m.rep").alias("uuid_a"), F.col("m.uuid").alias("uuid_b"),
         F.coalesce("t.score", F.lit(1.0)).alias("similarity"),
     ).filter(F.col("uuid_a") != F.col("uuid_b"))
-    names = reps.filter(F.col("uuid") == F.col("rep")).select(F.col("uuid").alias("uuid_a"), F.col("title").alias("title_a"))
-    return joined.join(names, "uuid_a").select("uuid_a", "title_a", "uuid_b", "title_b", "similarity")
+    for side in ("a", "b"):
+        shown = [F.col(c).alias(f"{c}_{side}") for c in carry]
+        joined = joined.join(df.select(F.col(key).alias(f"uuid_{side}"), F.col(title).alias(f"title_{side}"), *shown), f"uuid_{side}")
+    extra = [f"{c}_{side}" for c in carry for side in ("a", "b")]
+    return joined.select("uuid_a", "title_a", "uuid_b", "title_b", "similarity", *extra)
 
 
 def duplicate_totals(pairs: DataFrame, high: float = 0.95) -> DataFrame:

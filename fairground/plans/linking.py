@@ -16,7 +16,7 @@ def parts(spark, sf):
     """Parts as events; brand and type stand for the date and the place."""
     return read_table(spark, sf, "part").select(
         F.col("p_partkey").alias("uuid"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"),
-        F.col("p_type").alias("type"),
+        F.col("p_type").alias("type"), F.col("p_retailprice").alias("price"),
     )
 
 
@@ -48,7 +48,39 @@ def j10(spark, sf):
 
 @query("j11_duplicate_pairs")
 def j11(spark, sf):
-    return linkage.duplicate_pairs(parts(spark, sf), _block(), 0.8)
+    return linkage.duplicate_pairs(parts(spark, sf), _block(), 0.8, carry=("price",))
+
+
+# In key order, a title leads when no earlier leader is like it; the others follow the first leader that is.
+_GREEDY = _REPS.replace("WITH r", "WITH RECURSIVE r") + """
+, nb AS (SELECT uuid_b AS rep, list(uuid_a) AS nb FROM s WHERE score > 0.8 GROUP BY 1),
+n AS (SELECT brand, type, rep, row_number() OVER (PARTITION BY brand, type ORDER BY rep) AS i, coalesce(nb, []) AS nb
+      FROM r LEFT JOIN nb USING (rep)),
+g AS (SELECT DISTINCT brand, type, 0::BIGINT AS i, []::BIGINT[] AS lead FROM r
+      UNION ALL SELECT g.brand, g.type, n.i, CASE WHEN list_has_any(n.nb, g.lead) THEN g.lead ELSE list_append(g.lead, n.rep) END
+      FROM g JOIN n ON g.brand = n.brand AND g.type = n.type AND n.i = g.i + 1),
+l AS (SELECT unnest(arg_max(lead, i)) AS rep FROM g GROUP BY brand, type),
+f AS (SELECT uuid_b AS rep, min(uuid_a) AS src, arg_min(score, uuid_a) AS score FROM s SEMI JOIN l ON l.rep = uuid_a
+      WHERE score > 0.8 AND uuid_b NOT IN (SELECT rep FROM l) GROUP BY 1),
+d AS (SELECT coalesce(src, r.rep) AS uuid_a, p_partkey AS uuid_b, coalesce(score, 1.0) AS similarity
+      FROM part JOIN r ON brand = p_brand AND type = p_type AND title = lower(p_name) LEFT JOIN f ON f.rep = r.rep
+      WHERE coalesce(src, r.rep) <> p_partkey)
+"""
+
+
+@query("j11_duplicate_pairs_levenshtein", _GREEDY + """
+SELECT uuid_a, a.p_name AS title_a, uuid_b, b.p_name AS title_b, round(similarity, 6) AS similarity,
+       a.p_retailprice AS price_a, b.p_retailprice AS price_b
+FROM d JOIN part a ON a.p_partkey = uuid_a JOIN part b ON b.p_partkey = uuid_b""")
+def j11_levenshtein(spark, sf):
+    pairs = linkage.duplicate_pairs(parts(spark, sf), _block(), 0.8, "levenshtein", carry=("price",))
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("d13_duplicate_totals_levenshtein", _GREEDY + """
+SELECT count(*) AS total, count(*) FILTER (similarity > 0.95) AS high_confidence FROM d""")
+def d13_levenshtein(spark, sf):
+    return linkage.duplicate_totals(linkage.duplicate_pairs(parts(spark, sf), _block(), 0.8, "levenshtein"))
 
 
 @query("d13_duplicate_totals")
