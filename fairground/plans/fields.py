@@ -553,3 +553,80 @@ def v08(spark, sf):
     events = b.articles(spark, sf)
     known = events.filter("venue = 'src0'").select(F.col("venue").alias("name")).distinct()
     return enrich.enrich_venues(events, known, stand_in_venues).select("name", "is_outdoors", "vibe", "capacity")
+
+
+# Listing pages: two cards per supplier, each in one of three layouts, so that every fallback is met.
+
+
+def _listing_pages(spark, sf):
+    k, name = F.col("s_suppkey").cast("string"), F.col("s_name")
+    nation = F.col("n_name")
+    day = F.lpad((F.col("s_suppkey") % 28 + 1).cast("string"), 2, "0")
+    cards = [
+        _joined(['<li><h2><a href="/ev/', k, '">', name, '</a></h2><div class="sehir-detay__liste__alt__adres">', nation,
+                 ' İstanbul</div><img data-src="//img.example/', k, '.jpg" src="data:x"><span class="sehir-detay__liste__ust__tip">Konser'
+                 '</span><div class="etkinlikler_container_puan_list"><strong>4,', (F.col("s_suppkey") % 10).cast("string"),
+                 "</strong><span>(", k, " Yorum)</span></div></li>"]),
+        _joined(['<li><h3><a href="ev/', k, '">', name, "</a></h3><address>", nation, "</address><span>Aralık - ", day,
+                 '</span><img src="/i/', k, '.png"></li>']),
+        _joined(["<li><figure><figcaption><span>", name, "</span><small>Tiyatro</small><time>", day, ' Ocak</time></figcaption></figure><p class="loca">',
+                 nation, '</p><a href="https://other.example/', k, '">x</a></li>']),
+    ]
+
+    def layout(offset):
+        n = (F.col("s_suppkey") + offset) % 3
+        return F.when(n == 0, cards[0]).when(n == 1, cards[1]).otherwise(cards[2])
+
+    suppliers = read_table(spark, sf, "supplier").join(read_table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    html = _joined(["<html><body><ul>", layout(0), layout(1), "</ul></body></html>"])
+    return suppliers.select(F.col("s_suppkey").alias("page_id"), F.lit("https://site.example/list/x").alias("url"), html.alias("html"))
+
+
+@query("f20_listing_a", """
+WITH c AS (SELECT s_suppkey AS k, s_name, n_name, (s_suppkey + o) % 3 AS v, lpad((s_suppkey % 28 + 1)::VARCHAR, 2, '0') AS day
+           FROM supplier JOIN nation ON s_nationkey = n_nationkey, (SELECT unnest([0, 1]) AS o))
+SELECT k AS page_id, s_name AS title, CASE v WHEN 0 THEN n_name || ' İstanbul' ELSE n_name END AS venue,
+       CASE v WHEN 0 THEN 'İstanbul' END AS city,
+       CASE v WHEN 0 THEN NULL WHEN 1 THEN '{year} Aralık ' || day ELSE '{next} Ocak ' || day END AS date,
+       CASE v WHEN 0 THEN 'https://site.example/ev/' || k WHEN 1 THEN 'https://site.example/list/ev/' || k
+              ELSE 'https://other.example/' || k END AS url,
+       CASE v WHEN 0 THEN 'https://img.example/' || k || '.jpg' WHEN 1 THEN 'https://biletinial.com/i/' || k || '.png' END AS image_url,
+       CASE v WHEN 0 THEN 'Konser' WHEN 1 THEN 'Etkinlik' ELSE 'Tiyatro' END AS category,
+       CASE v WHEN 0 THEN 4 + k % 10 / 10.0 END::DOUBLE AS rating, CASE v WHEN 0 THEN k END::INT AS rating_count
+FROM c""".replace("{year}", "2025").replace("{next}", "2026"))
+def f20_listing_a(spark, sf):
+    items = pages.site_a_listing(_listing_pages(spark, sf), F.lit("2025-12-01").cast("timestamp"))
+    return items.drop("card_pos")
+
+
+def _site_b_pages(spark, sf):
+    """One listing card and one price block per part, in alternating layouts."""
+    k, name, even = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_partkey") % 2 == 0
+    day = F.lpad((F.col("p_partkey") % 28 + 1).cast("string"), 2, "0")
+    info = _joined(['<div class="searchResultInfo3"><span class="ln1">', F.when(even, _joined(["Cum, ", day, "/12/25 -"])).otherwise(name),
+                    '</span><span class="ln1">', F.when(even, F.lit("Hall")).otherwise(_joined(["Sal, ", day, "/11/25"])), "</span></div>"])
+    card = _joined(['<div class="searchResultEvent">', F.when(even, _joined(['<a class="searchResultEventNameMobile" href="/e/', k, '">', name, "</a>"])).otherwise(
+                        _joined(['<a href="//site.example/f/', k, '">more</a>'])), info,
+                    '<span class="searchResultCity">', F.col("p_brand"), "</span>", F.when(even, _joined(['<img data-src="/i/', k, '.png">'])).otherwise(
+                        _joined(['<div style="background-image: url(', "'//img.example/", k, ".jpg')", '"></div>'])), "</div>"])
+    shown = F.replace(F.format_string("%.2f", "p_retailprice"), F.lit("."), F.lit(","))
+    price = F.when(even, _joined(['<div class="event-price">', shown, " TL</div>"])).otherwise(
+        _joined(['<div id="buy-tickets">2 left, ', shown, " TL only</div>"]))
+    html = _joined(["<html><body>", card, price, "</body></html>"])
+    return read_table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://site.example/s").alias("url"), html.alias("html"))
+
+
+@query("f21_listing_b", """
+WITH c AS (SELECT p_partkey AS k, p_name, p_brand, p_partkey % 2 = 0 AS even, lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') AS day FROM part)
+SELECT k AS page_id, p_name AS title, CASE WHEN even THEN 'Hall' ELSE 'Sal, ' || day || '/11/25' END AS venue, p_brand AS city,
+       CASE WHEN even THEN 'Cum, ' || day || '/12/25' ELSE 'Sal, ' || day || '/11/25' END AS date_raw,
+       CASE WHEN even THEN ('2025-12-' || day)::DATE ELSE ('2025-11-' || day)::DATE END AS event_date,
+       CASE WHEN even THEN 'https://site.example/e/' || k ELSE 'https://site.example/f/' || k END AS url,
+       CASE WHEN even THEN '/i/' || k || '.png' ELSE 'https://img.example/' || k || '.jpg' END AS image_url FROM c""")
+def f21_listing_b(spark, sf):
+    return pages.site_b_listing(_site_b_pages(spark, sf)).drop("card_pos")
+
+
+@query("f31_site_b_price", "SELECT p_partkey AS page_id, round(p_retailprice, 2) AS price FROM part")
+def f31_site_b_price(spark, sf):
+    return pages.site_b_price(_site_b_pages(spark, sf)).select("page_id", F.round("price", 2).alias("price"))
