@@ -63,8 +63,9 @@ def test_decontamination_across_chunks(spark):
     text = " ".join(f"w{i}" for i in range(10_000))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(2040, 2060))), (2, "w9999"), (3, "w0 w1 w2")], "item_id long, text string")
-    row = decontamination.contamination(docs, items).first()
-    assert (row["n_words"], row["n_hit"], row["n_items"]) == (10_000, 24, 3)
+    for most in (decontamination.MAX_BROADCAST, 0):  # broadcast and shuffled
+        row = decontamination.contamination(docs, items, most=most).first()
+        assert (row["n_words"], row["n_hit"], row["n_items"]) == (10_000, 24, 3)
 
 
 def test_line_dedup(docs, spark):
