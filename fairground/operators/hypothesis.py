@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.stat import KolmogorovSmirnovTest
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fairground.functions import labels
 from fairground.functions.pvalues import f_p_value, normal_quantile, normal_tail, t_p_value
 from fairground.operators.normalize import priced
+from fairground.operators.ranks import row_numbers
 
 ALPHA = 0.05
 
@@ -96,13 +97,12 @@ def _poly(coefficients: tuple[float, ...], x: Column) -> Column:
 def shapiro(df: DataFrame, by: str = "category", max_n: int = 5000, alpha: float = ALPHA) -> DataFrame:
     """Shapiro-Wilk W and p per group (Royston 1995 approximation), all groups in parallel.
 
-    The test is defined for 3..``max_n`` values; larger and smaller groups get a note instead of a statistic.
-    Group sizes are counted first, so a huge group is never sorted.
+    W is given for every group of 3 values or more; its p-value is defined up to ``max_n`` values and null beyond, with
+    a note. Values are numbered by distributed buckets, so no task sorts a whole group.
     """
     rows = priced(df).select(by, F.col("price").cast("double").alias("x"))
     sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    usable = sizes.filter(F.col("n").between(3, max_n))
-    ranked = rows.join(usable, by).withColumn("i", F.row_number().over(W.partitionBy(by).orderBy("x")))
+    ranked = row_numbers(rows, "x", [by], "i").join(sizes.filter(F.col("n") >= 3), by)
     scored = ranked.withColumn("m", normal_quantile((F.col("i") - 0.375) / (F.col("n") + 0.25)))
 
     n = F.col("n")
@@ -149,9 +149,9 @@ def shapiro(df: DataFrame, by: str = "category", max_n: int = 5000, alpha: float
     exact3 = 6 / F.pi() * (F.asin(F.sqrt("statistic")) - F.asin(F.sqrt(F.lit(0.75))))
     tested = tested.withColumn("_p", normal_tail(z))
     p = F.when(F.col("statistic") >= 1, F.lit(1.0)).when(n == 3, F.greatest(exact3, F.lit(0.0))).otherwise(F.col("_p"))
-    tested = tested.select(by, "statistic", p.alias("p_value"))
+    tested = tested.select(by, "statistic", F.when(n <= max_n, p).alias("p_value"))
     return sizes.join(tested, by, "left").select(
         by, "n", "statistic", "p_value",
         (F.col("p_value") > alpha).alias("is_normal"),
-        F.when(n > max_n, "Skipped (sample too large for Shapiro-Wilk)").when(n < 3, "Insufficient data").alias("note"),
+        F.when(n > max_n, "No p-value (sample too large for Shapiro-Wilk)").when(n < 3, "Insufficient data").alias("note"),
     )

@@ -44,6 +44,15 @@ def a14(spark, sf):
     return rounded(rollups.five_numbers(b.normal_activity(spark, sf)), q1=4, median=4, q3=4)
 
 
+@query("a14_sample_members", NORMAL_ACTIVITY + "SELECT least(500, count(*)) AS n, least(500, count(*)) AS n_stored FROM priced")
+def a14_members(spark, sf):
+    """Size of the chart's sample, and how many of its prices are stored ones."""
+    df = b.normal_activity(spark, sf)
+    sample = rollups.price_sample(df, seed=42)
+    known = sample.join(df.select("price").distinct(), "price", "left_semi")
+    return sample.agg(F.count("*").alias("n")).withColumn("n_stored", known.agg(F.count("*")).scalar())
+
+
 @query("a14_price_sample")
 def a14_sample(spark, sf):
     return rollups.price_sample(b.normal_activity(spark, sf), seed=42)

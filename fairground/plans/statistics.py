@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fairground.functions.pvalues import QUANTILE_TERMS
 from fairground.operators import hypothesis, stats
 from fairground.operators.normalize import normalize_events
 from fairground.plans.bindings import (
@@ -247,6 +248,48 @@ def h03(spark, sf):
     return hypothesis.ks_normal(normal_activity(spark, sf))
 
 
+def _ratio_sql(terms, x: str) -> str:
+    sides = []
+    for side in terms:
+        out = repr(side[-1])
+        for c in reversed(side[:-1]):
+            out = f"({out} * {x} + {c!r}::DOUBLE)"
+        sides.append(out)
+    return f"({sides[0]} / {sides[1]})"
+
+
+def _quantile_sql(p: str) -> str:
+    middle, tail, far = QUANTILE_TERMS
+    r = f"sqrt(-ln(least({p}, 1 - {p})))"
+    return (f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {_ratio_sql(middle, f'(0.180625 - ({p} - 0.5) * ({p} - 0.5))')} "
+            f"WHEN {r} <= 5 THEN sign({p} - 0.5) * {_ratio_sql(tail, f'({r} - 1.6)')} ELSE sign({p} - 0.5) * {_ratio_sql(far, f'({r} - 5)')} END")
+
+
+@query("h03_ks_statistic", NORMAL_ACTIVITY + """
+, m AS (SELECT avg(price) AS mu, stddev_samp(price) AS sd, count(*) AS n FROM priced),
+z AS (SELECT (price - mu) / sd AS z, row_number() OVER (ORDER BY price) AS i, n FROM priced, m),
+t AS (SELECT z, i, n, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z),
+c AS (SELECT i, n, CASE WHEN z < 0 THEN q ELSE 1 - q END AS cdf FROM (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530
+      + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS q FROM t))
+SELECT round(max(greatest(i / n - cdf, cdf - (i - 1) / n)), 5) AS statistic FROM c""")
+def h03_statistic(spark, sf):
+    return rounded(hypothesis.ks_normal(normal_activity(spark, sf)).select("statistic"), statistic=5)
+
+
+@query("h04_shapiro_statistic", NORMAL_LISTINGS + f"""
+, s AS (SELECT venue, price AS x, count(*) OVER (PARTITION BY venue) AS n, row_number() OVER (PARTITION BY venue ORDER BY price) AS i FROM priced),
+m AS (SELECT *, {_quantile_sql("((i - 0.375) / (n + 0.25))")} AS m FROM s WHERE n > 5),
+e AS (SELECT venue, n, sum(m * m) AS mm, max(m) AS mn, max(CASE WHEN i = n - 1 THEN m END) AS mn1, avg(x) AS mu, 1 / sqrt(n) AS u FROM m GROUP BY venue, n),
+a AS (SELECT *, ((((-2.706056 * u + 4.434685) * u - 2.071190) * u - 0.147981) * u + 0.221157) * u + mn / sqrt(mm) AS an,
+             ((((-3.582633 * u + 5.682633) * u - 1.752461) * u - 0.293762) * u + 0.042981) * u + mn1 / sqrt(mm) AS an1 FROM e),
+f AS (SELECT *, sqrt((mm - 2 * mn * mn - 2 * mn1 * mn1) / (1 - 2 * an * an - 2 * an1 * an1)) AS phi FROM a)
+SELECT venue, n, round(power(sum(x * CASE WHEN i = n THEN an WHEN i = 1 THEN -an WHEN i = n - 1 THEN an1 WHEN i = 2 THEN -an1
+       ELSE m / phi END), 2) / sum(power(x - mu, 2)), 6) AS statistic FROM m JOIN f USING (venue, n) GROUP BY venue, n""")
+def h04_statistic(spark, sf):
+    found = hypothesis.shapiro(normal_listings(spark, sf), by="venue").filter("n > 5")
+    return rounded(found.select("venue", "n", "statistic"), statistic=6)
+
+
 @query("h04_shapiro_by_venue")
 def h04(spark, sf):
     return hypothesis.shapiro(normal_listings(spark, sf), by="venue")
