@@ -5,6 +5,8 @@ Queries are the mean vectors of the embedding labels; an embedding belongs to th
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from fairground.functions import replies, text
@@ -22,12 +24,9 @@ def vectors(spark, sf):
 
 def topic_queries(spark, sf):
     """(query_id, query, embedding): mean vector per label."""
-    parts = read_table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    packed = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))  # one vector each
-    return packed.select(
-        F.col("label").alias("query_id"), F.lit("de from src").alias("query"), F.transform("v", lambda s: s["x"]).alias("embedding")
-    )
+    rows = read_table(spark, sf, "embeddings").select("label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    means = rows.groupBy("label").agg(Summarizer.mean(F.col("v")).alias("v"))
+    return means.select(F.col("label").alias("query_id"), F.lit("de from src").alias("query"), vector_to_array("v").alias("embedding"))
 
 
 _TOPICS = """

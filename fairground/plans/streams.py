@@ -79,7 +79,8 @@ def x05_stream(spark, sf):
     stream = spark.readStream.schema(read_table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
     out = scratch_folder(spark, "progress")
     progress.progress_stream(stream, f"{out}/table", f"{out}/checkpoint", width="1 hour", by=("event_type",)).awaitTermination()
-    return spark.read.parquet(f"{out}/table").withColumn("window_start", F.col("window_start").cast("long"))
+    counts = progress.read_progress(spark, f"{out}/table", ("event_type",))
+    return counts.withColumn("window_start", F.col("window_start").cast("long"))
 
 
 # Stored items, and re-pricing jobs for every first line: half the list price, a year later.

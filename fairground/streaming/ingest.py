@@ -27,15 +27,15 @@ def item_keys(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.trim(F.coalesce(F.col(k), F.lit(""))) for k in KEYS})
 
 
-def session_dedup(stream: DataFrame, watermark: str | None = None, ts: str = "scraped_at") -> DataFrame:
+def session_dedup(stream: DataFrame, watermark: str = "30 days", ts: str = "scraped_at") -> DataFrame:
     """First item per (title, venue, date); update jobs pass through.
 
-    Without ``watermark`` every key is remembered for ever. With it, keys are forgotten once they are that much
-    older than the newest item, which bounds the state.
+    In a stream, keys are forgotten once they are ``watermark`` older than the newest item, which bounds the state. A
+    table needs no state.
     """
     is_update = F.coalesce(F.col("is_update_job"), F.lit(False))
     fresh = item_keys(stream.filter(~is_update))
-    if watermark:
+    if stream.isStreaming:
         fresh = fresh.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(KEYS))
     else:
         fresh = fresh.dropDuplicates(list(KEYS))
@@ -146,7 +146,7 @@ def ingest_stream(
     out: str,
     checkpoint: str,
     default_source: str,
-    watermark: str | None = None,
+    watermark: str = "30 days",
     stateful: bool = False,
     as_of: Column | None = None,
     available_now: bool = True,
@@ -154,7 +154,7 @@ def ingest_stream(
     """Validate, drop duplicates, store: one query over the landed items.
 
     Duplicates are found against the stored table and inside the batch, which needs no streaming state and forgets
-    nothing. ``stateful`` adds the in-stream de-duplication (bounded by ``watermark`` when given) in front of it.
+    nothing. ``stateful`` adds the in-stream de-duplication (bounded by ``watermark``) in front of it.
     Accepted and dropped items are counted in the query's progress under 'ingest'.
     """
     # a stream's clock is that of the batch's first run, so a replay stamps the same time

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fairground.functions import prices
@@ -22,11 +22,18 @@ def windowed_counts(df: DataFrame, ts: str = "ts", width: str = "1 minute", wate
 
 
 def progress_stream(df: DataFrame, out: str, checkpoint: str, **options) -> StreamingQuery:
-    """Windowed counts so far, rewritten to the table folder ``out`` on every trigger for a progress page."""
-    writer = windowed_counts(df, **options).writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-    return (
-        writer.foreachBatch(lambda counts, _: counts.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start()
-    )
+    """Windowed counts for a progress page: each trigger adds the windows that changed as one batch of a log.
+
+    Windows older than the watermark are final and leave the state, so it is bounded. Nothing is rewritten under a
+    reader; a replayed batch replaces its own copy. Read with ``read_progress``.
+    """
+    writer = windowed_counts(df, **options).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(lambda counts, i: versions.write_batch(counts, out, i)).trigger(availableNow=True).start()
+
+
+def read_progress(spark: SparkSession, out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The last count of every window (and group)."""
+    return spark.read.parquet(out).groupBy("window_start", *by).agg(F.max_by("n", "batch").alias("n"))
 
 
 # Price batches have numbers of their own, apart from the ingest's. Which version is the last depends on time alone.
