@@ -20,6 +20,7 @@ unclosed or cut-off tag is markup, not text; an empty table gives an empty resul
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -44,10 +45,10 @@ _NEVER = frozenset("head nav footer aside form script style noscript template sv
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NAMES = frozenset("""nav navbar navigation menu sidebar footer header masthead breadcrumb breadcrumbs ad ads advert adverts advertisement
 advertisements adsense banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices
-newsletter subscribe subscription signup share sharing social comment comments disqus respond replies related recommended
+newsletter subscribe subscription signup share sharing social comment comments disqus respond replies related recommended commentlist topbar menubar
 recommendations widget pagination pager toolbar copyright login search skip disclaimer""".split())
 _PREFIXES = frozenset(("has", "with", "no", "is", "without"))
-_COMMENT = frozenset(("comment", "comments", "disqus", "respond", "replies", "reply"))
+_COMMENT = frozenset(("comment", "comments", "commentlist", "disqus", "respond", "replies", "reply"))
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt td tr th".split())
 _SPACE = re.compile(r"\s+")
 
@@ -63,18 +64,32 @@ def _labels(attrs: dict[str, str]) -> set[str]:
 
 
 class _Blocks(HTMLParser):
+    """Collects blocks. What encloses the present place is kept as counts, so deep nesting costs no more than its tags."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[list] = []  # [tag, dropped ("" / "tag" / "class" / "comment"), is article]
+        self.open: list[list] = []  # [tag, dropped ("", "tag", "class" or "comment"), is article]
+        self.tags: Counter[str] = Counter()  # open elements by tag
+        self.around = [0, 0, 0]  # open elements that are dropped; dropped and inline; an article
         self.out: list[tuple[int, str]] = []
         self.text: list[str] = []
         self.linked = self.length = 0
         self.zone_at = ELSEWHERE
 
+    def _count(self, element: list, step: int) -> None:
+        tag, dropped, article = element
+        self.tags[tag] += step
+        self.around[0] += step * bool(dropped)
+        self.around[1] += step * bool(dropped and tag in _INLINE)
+        self.around[2] += step * article
+
+    def _pop(self, k: int) -> None:
+        for element in self.open[k:]:
+            self._count(element, -1)
+        del self.open[k:]
+
     def _zone(self) -> int:
-        if any(e[1] for e in self.open):
-            return CHROME
-        return ARTICLE if any(e[2] for e in self.open) else ELSEWHERE
+        return CHROME if self.around[0] else ARTICLE if self.around[2] else ELSEWHERE
 
     def flush(self) -> None:
         body = _SPACE.sub(" ", "".join(self.text)).strip()
@@ -100,27 +115,32 @@ class _Blocks(HTMLParser):
             return
         attrs = dict(attrs)
         labels = _labels(attrs)
-        inside = any(e[2] for e in self.open)
+        inside = self.around[2] > 0
         dropped = ""
         if labels & _COMMENT:
             dropped = "comment"
         elif tag in ("article", "main"):
-            for e in self.open:  # a wrapper that is named after one of its parts
+            for e in self.open if self.around[0] else ():  # a wrapper that is named after one of its parts
                 if e[1] == "class":
+                    self._count(e, -1)
                     e[1] = ""
+                    self._count(e, 1)
         elif tag in _NEVER or (tag == "header" and not inside):
             dropped = "tag"
         elif "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I):
             dropped = "tag"
-        elif tag not in ("html", "body") and ((attrs.get("role") or "").lower() in _ROLES or labels & _NAMES):
+        elif tag not in ("html", "body") and ((attrs.get("role") or "").lower() in _ROLES or labels & (_NAMES - {"header"} if inside else _NAMES)):
             dropped = "class"
         self.open.append([tag, dropped, tag in ("article", "main") or (attrs.get("role") or "").lower() in ("main", "article")])
+        self._count(self.open[-1], 1)
 
     def _close_open(self, tag: str, within: tuple[str, ...] = ()) -> None:
+        if not self.tags[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k][0]
             if name == tag:
-                del self.open[k:]
+                self._pop(k)
                 return
             if name in within or (name not in _INLINE and name != tag and not within):
                 return
@@ -128,15 +148,17 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag not in _INLINE:
             self.flush()
+        if not self.tags[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                del self.open[k:]
+                self._pop(k)
                 return
             if tag in _INLINE and self.open[k][0] not in _INLINE:
                 return  # a stray end of an inline element closes no block
 
     def handle_data(self, data: str) -> None:
-        if any(e[1] and e[0] in _INLINE for e in self.open):
+        if self.around[1]:
             return  # a dropped element inside a block leaves the block whole
         zone = self._zone()
         if not self.text or zone != self.zone_at:
@@ -146,7 +168,7 @@ class _Blocks(HTMLParser):
         self.text.append(data)
         if not data.isspace():
             self.length += len(data)
-            if any(e[0] == "a" for e in self.open):
+            if self.tags["a"]:
                 self.linked += len(data)
 
 

@@ -51,6 +51,19 @@ def test_page_texts(spark):
         assert r["text"] == "\n\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
 
 
+def test_blocks_by_structure():
+    page = """<div class="page has-sidebar"><div id="sidebar"><p>side<p>side2</div><header>H</header>
+<article><header class="entry-header"><h1>T &amp; t</h1></header><p>a <b>b</b>c<br>d<p>e<span class="ad">AD</span>f
+<ul><li>x<li>y</ul><div class="user-comments"><article>c1</article></div></article><form>q</form><footer>f</footer></div>
+<p hidden>no<p>z <a"""
+    got = html_text.blocks(page)
+    assert [t for z, t in got if z == html_text.ARTICLE] == ["T & t", "a bc d", "ef", "x", "y"]
+    assert [t for z, t in got if z == html_text.ELSEWHERE] == ["z"]
+    assert [t for z, t in got if z == html_text.CHROME] == ["side", "side2", "H", "c1", "q", "f", "no"]
+    deep = "<div><b>" * 20_000 + "x" + "</i>" * 20_000 + "<p>y" * 20_000
+    assert len(html_text.blocks(deep)) == 20_001
+
+
 def test_runs_match_brute_force():
     rng = np.random.default_rng(5)
     word, page = rng.integers(0, 3, 400), np.repeat(np.arange(8), 50)
