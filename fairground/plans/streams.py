@@ -19,7 +19,7 @@ def as_of():
 def items(df):
     """Line items as landed crawl items: part, supplier and month make the key, so most keys repeat."""
     return df.select(
-        F.format_string("%d-%d-%d-%d", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("uuid"),
+        F.format_string("%d-%d-%d-%d-%s", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyMMdd")).alias("uuid"),
         F.when(F.col("l_returnflag") != "A", F.format_string("Part %d", F.col("l_partkey"))).alias("title"),
         F.when(F.col("l_linestatus") == "O", F.format_string(" supplier %d ", F.col("l_suppkey"))).alias("venue"),
         F.date_format("l_shipdate", "yyyy-MM").alias("date"),
@@ -87,7 +87,7 @@ def x05_stream(spark, sf):
 
 _STORED = """
 WITH f AS (
-  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS uuid, l_linenumber, l_quantity, l_extendedprice, l_linestatus,
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%y%m%d') AS uuid, l_linenumber, l_quantity, l_extendedprice, l_linestatus,
          'Part ' || l_partkey AS title, CASE WHEN l_linestatus = 'O' THEN 'supplier ' || l_suppkey ELSE '' END AS venue,
          strftime(l_shipdate, '%Y-%m') AS date, l_shipdate,
          CASE WHEN l_extendedprice * 2 <= 100000 THEN l_extendedprice * 2 END AS price
