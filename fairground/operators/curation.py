@@ -30,10 +30,11 @@ def candidates(
     near = vector_top_k(vectors, criteria, k).join(detail, "id")
     empty = criteria.select("query_id").join(near.select("query_id"), "query_id", "left_anti")
     best = detail.orderBy(F.desc_nulls_last("quality_score"), "id").limit(fallback)
-    # ``best`` holds at most ``fallback`` rows; each empty criterion gets all of them.
-    order = W.partitionBy("g").orderBy(F.desc_nulls_last("quality_score"), "id")
-    spare = best.withColumn("g", F.lit(0)).withColumn("rank", F.row_number().over(order)).withColumn("score", F.lit(0.0))
-    spare = empty.withColumn("g", F.lit(0)).join(F.broadcast(spare), "g").drop("g")
+    # ``best`` holds at most ``fallback`` rows, which travel as one array; each empty criterion gets all of them.
+    order = W.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("quality_score"), "id")
+    ranked = best.withColumn("rank", F.row_number().over(order)).withColumn("score", F.lit(0.0))
+    pool = ranked.agg(F.collect_list(F.struct(*ranked.columns)).alias("pool"))
+    spare = empty.withColumn("_pool", pool.scalar()).select("query_id", F.inline("_pool"))
     return near.select(*near.columns).unionByName(spare.select(*near.columns))
 
 
