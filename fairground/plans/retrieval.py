@@ -5,6 +5,8 @@ Queries are the mean vectors of the embedding labels; an embedding belongs to th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
@@ -55,6 +57,19 @@ def v01_approximate(spark, sf):
     return vector.approximate_top_k(vectors(spark, sf), center, 10)
 
 
+@query("v01_approximate_recall", "SELECT label AS query_id, true AS found_most FROM embeddings GROUP BY label")
+def v01_recall(spark, sf):
+    """Whether the approximate search finds at least 9 of each topic's 10 nearest; one search per topic."""
+    stored, topics = vectors(spark, sf), topic_queries(spark, sf)
+    near = [
+        vector.approximate_top_k(stored, t["embedding"], 10).select(F.lit(t["query_id"]).alias("query_id"), "id")
+        for t in topics.collect()  # as many as there are labels
+    ]
+    found = reduce(lambda a, b: a.unionByName(b), near).withColumn("hit", F.lit(1))
+    exact = vector.vector_top_k(stored, topics, 10).select("query_id", "id")
+    return exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg((F.count("hit") >= 9).alias("found_most"))
+
+
 @query("v02_score_floor", with_sql(_TOPICS, _top(100)) + """
 SELECT query_id, id, round(score, 6) AS score, rank FROM top WHERE score >= 0.25""")
 def v02(spark, sf):
