@@ -14,7 +14,7 @@ no task holds a host. A group is a random sample of a large host's pages, so wha
 most of each group's.
 
 Defined cases: a null html has no text; null and odd addresses are one host; equal pages are pages of their own; an
-unclosed or cut-off tag is markup, not text; an empty table gives an empty result.
+unclosed or cut-off tag is markup, not text; a head without an end tag ends where its content must; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ CHROME, ELSEWHERE, ARTICLE = 0, 1, 2
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _NEVER = frozenset("head nav footer aside form script style noscript template svg math iframe object button select textarea dialog menu canvas audio video map".split())
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NAMES = frozenset("""nav navbar navigation menu sidebar footer header masthead breadcrumb breadcrumbs ad ads advert adverts advertisement
 advertisements adsense banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices
@@ -101,7 +102,14 @@ class _Blocks(HTMLParser):
             self.out.append((zone, body))
         self.text, self.linked, self.length = [], 0, 0
 
+    def _end_head(self) -> None:
+        """Closes an open head, whose end tag may be left out."""
+        self.flush()
+        self._pop(next(k for k, e in enumerate(self.open) if e[0] == "head"))
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.tags["head"] and (tag == "body" or (self.open[-1][0] == "head" and tag not in _IN_HEAD)):
+            self._end_head()
         if tag == "br":
             self.text.append(" ")
             return
@@ -158,6 +166,8 @@ class _Blocks(HTMLParser):
                 return  # a stray end of an inline element closes no block
 
     def handle_data(self, data: str) -> None:
+        if self.tags["head"] and self.open[-1][0] == "head" and not data.isspace():
+            self._end_head()
         if self.around[1]:
             return  # a dropped element inside a block leaves the block whole
         zone = self._zone()

@@ -64,6 +64,14 @@ def test_blocks_by_structure():
     assert len(html_text.blocks(deep)) == 20_001
 
 
+def test_head_without_end_tag():
+    for rest in ("<body><p>a<p>b", "<p>a<p>b", "a<p>b", "<noscript><img></noscript><body class=x>a<p>b", "</head><body>a<p>b"):
+        got = html_text.blocks(f"<html><head><meta charset=utf-8><title>T</title><style>s</style>{rest}")
+        assert [t for z, t in got if z == html_text.ELSEWHERE] == ["a", "b"], rest
+        assert {t for z, t in got if z == html_text.CHROME} == {"T", "s"}
+    assert html_text.blocks("<head><title>T</title><body><article><p>x</article>")[-1] == (html_text.ARTICLE, "x")
+
+
 def test_runs_match_brute_force():
     rng = np.random.default_rng(5)
     word, page = rng.integers(0, 3, 400), np.repeat(np.arange(8), 50)
