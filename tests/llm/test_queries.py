@@ -90,6 +90,29 @@ def test_host_repeats_outside_articles_go():
     assert html_text.unique_text(inside)[0] == "the same copied article text on a few pages\n\ntail 0"
 
 
+def _page(own, *shared):
+    return "".join(f"<p>{x}" for x in (*shared, own))
+
+
+def _texts(spark, rows):
+    pages = spark.createDataFrame([(i, f"https://h.example/{i}", h) for i, h in enumerate(rows)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
+
+
+def test_repeats_are_counted_over_the_whole_host(spark):
+    own = [" ".join(f"w{i}x{j}" for j in range(8)) for i in range(1500)]
+    three = "one passage that three pages of this host share"
+    most = "one passage that is in most articles of this host"
+    rows = [_page(o, *[three] * (i in (5, 700, 1400))) for i, o in enumerate(own)]
+    assert _texts(spark, rows) == dict(enumerate(own))
+    two = [_page(o, *[three] * (i in (5, 700))) for i, o in enumerate(own)]
+    assert _texts(spark, two) == {i: f"{three}\n\n{o}" if i in (5, 700) else o for i, o in enumerate(own)}
+    long = [f"{o} " * 3 for o in own]
+    for share, gone in ((750, True), (749, False)):  # of 1500 contents
+        rows = [f"<article>{_page(o, *[most] * (i < share))}</article>" for i, o in enumerate(long)]
+        assert _texts(spark, rows) == {i: f"{most}\n\n{o.strip()}" if i < share and not gone else o.strip() for i, o in enumerate(long)}
+
+
 def test_personal_data_base(spark):
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
