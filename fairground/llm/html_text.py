@@ -5,9 +5,10 @@ comments and so on, by element, role and class), or elsewhere. A run of ``RUN``
 boilerplate by how many distinct contents (pages with equal block lists are one) of the whole host hold it:
 
 * outside an article, the words of runs that at least ``REPEATED`` contents hold outside their articles are removed and
-  the unique runs are kept;
+  the unique runs are kept, unless that would take all of a page's text;
 * inside an article, only a block that is covered whole, by runs on at least ``ON_MOST`` of the host's contents (and
-  ``MANY`` contents), goes: articles may share lines and passages, or be copies of each other.
+  ``MANY`` contents), goes, and only if such blocks are less than half of the article's words: articles may share lines
+  and passages, or be copies of each other, alike or nearly.
 
 A host is cut into groups of about ``PAGES`` pages by content hash, so a host with a third of all pages is many groups
 and no task holds a host. The first copy of a content in each map task goes to the content's own group, which counts
@@ -352,6 +353,9 @@ def unique_text(pages: list[tuple[np.ndarray, list[str]]], digests: list[int] |
         span = {i: (a + np.searchsorted(which, i), a + np.searchsorted(which, i + 1)) for i in main}
         if has_article:
             gone = {i for i, (lo, hi) in span.items() if hi > lo and often[lo:hi].all()}
+            words = {i: hi - lo for i, (lo, hi) in span.items()}
+            if 2 * sum(words[i] for i in gone) >= sum(words.values()):
+                gone = set()  # a copy of other articles
             keep = [own[i] for i in main if i not in gone]
         else:
             keep = []
@@ -362,6 +366,7 @@ def unique_text(pages: list[tuple[np.ndarray, list[str]]], digests: list[int] |
                     body = " ".join(w for w, g in zip(body.split(" "), cut) if not g)
                 if body:
                     keep.append(body)
+            keep = keep or [own[i] for i in main]
         texts.append("\n\n".join(keep))
     return texts
 

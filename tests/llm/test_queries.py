@@ -113,6 +113,23 @@ def test_repeats_are_counted_over_the_whole_host(spark):
         assert _texts(spark, rows) == {i: f"{most}\n\n{o.strip()}" if i < share and not gone else o.strip() for i, o in enumerate(long)}
 
 
+def test_copies_keep_their_text(spark):
+    text = ["a whole page that its owner put on the host again", "and a second part of it with other words"]
+    near = [" ".join(f"n{i}x{j}" for j in range(8)) for i in range(12)]
+    menu = "home news sports weather about us and our partners"
+    other = [" ".join(f"w{i}x{j}" for j in range(8)) for i in range(4)]
+    bare = [_page(text[1], menu, text[0])] * 3 + [_page(o, menu) for o in other]
+    assert list(_texts(spark, bare).values()) == ["\n\n".join(text)] * 3 + other
+    assert set(_texts(spark, [_page(text[1], text[0])] * 3).values()) == {"\n\n".join(text)}
+    article = [f"<article>{_page(text[1], text[0])}</article>"] * 12
+    assert set(_texts(spark, article).values()) == {"\n\n".join(text)}
+    assert set(_texts(spark, [f"<p>{n}{a}" for n, a in zip(near, article)]).values()) == {"\n\n".join(text)}
+    alike = [f"<article>{_page(n, *text)}</article>" for n in near]
+    assert _texts(spark, alike) == {i: "\n\n".join([*text, n]) for i, n in enumerate(near)}
+    many = _texts(spark, [_page(text[1], menu, text[0])] * 600 + [_page(o, menu) for o in other])  # copies in several groups
+    assert {many[i] for i in range(600)} == {"\n\n".join(text)} and [many[600 + i] for i in range(4)] == other
+
+
 def test_personal_data_base(spark):
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
