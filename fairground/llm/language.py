@@ -7,14 +7,17 @@ declarations and text posteriors go together. All of these are grouped sums over
 A long text's likelihood counts as that of ``FULL`` trigrams, as its trigrams aren't independent.
 
 The class ``und`` has the same likelihood for every trigram. A document is rejected when it is the best class, when
-no class reaches ``LEAST``, or when the text holds no letter.
+no class reaches ``LEAST``, or when the text holds no letter. A document that declares a language without a class isn't
+rejected for that: where it would be, the declaration (lower-cased) is its language, and it is kept.
 
-The text model is fitted on labelled rows: at most about ``SAMPLE`` per language, chosen by key hash; it has
-``BUCKETS`` numbers per language and there can be at most 1 / ``SHARE`` languages. Everything else covers all rows.
+The text model is fitted on labelled rows: at most about ``SAMPLE`` per language, chosen by key hash. Every label on
+``ROWS`` rows gets a class (in a small table, on ``SHARE`` of the labelled rows), up to the ``CLASSES`` most frequent,
+with ``BUCKETS`` numbers each; scoring takes time in proportion to their number. Everything else covers all rows.
 
-Defined cases: a null or empty text, or one without letters, is ``und`` with probability 1 and rejected; a null or
-unknown declaration is a value of its own; a null host or suffix likewise; repeated rows count each; an empty table
-gives an empty result, and a table without any label rejects everything.
+Defined cases: a null or empty text, or one without letters, is ``und`` with probability 1 and rejected; a null
+declaration is a value of its own, and so are all without a class together; ``und`` and blanks declare no language; a
+null host or suffix is a value of its own; repeated rows count each; an empty table gives an empty result, and a table
+without any label rejects everything. The probability of a language without a class is that of the best class.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ from fairground.session import cut_lineage
 
 BUCKETS = 1 << 15
 SAMPLE = 2000
-SHARE = 0.005  # of the labelled rows that a language must have
+ROWS = 30  # labelled rows that a language must have
+SHARE = 0.005  # of the labelled rows, if that is less
+CLASSES = 500
 FULL = 100
 SMOOTHING = 20.0
 LEAST = 0.5
@@ -87,16 +92,16 @@ def fit_text_model(docs: DataFrame, key: str = "doc_id", text: str = "text", lab
     labelled = docs.where(F.col(label).isNotNull() & (F.length(label) > 0))
     sizes = labelled.groupBy(label).agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    named = {r[0]: r[1] for r in sizes.where(F.col("n") >= SHARE * total).collect()}  # at most 1 / SHARE rows
+    frequent = sizes.where((F.col("n") >= min(ROWS, SHARE * total)) & (F.lower(label) != UND)).orderBy(F.desc("n"), label)
+    named = {r[0]: r[1] for r in frequent.limit(CLASSES).collect()}
     names = sorted(named)
     if not names:
         return [], np.zeros((0, BUCKETS), np.float32)
     spin = 1 << 20
-    chosen = F.lit(False)
-    for name in names:
-        part = min(1.0, sample / named[name])
-        chosen = chosen | ((F.col(label) == name) & (F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(spin)) < int(part * spin)))
-    rows = labelled.where(chosen).select(F.col(label).alias("label"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    parts = [(name, int(min(1.0, sample / named[name]) * spin)) for name in names]
+    rates = F.broadcast(docs.sparkSession.createDataFrame(parts, "label string, part int"))  # at most CLASSES rows
+    rows = labelled.select(F.col(label).alias("label"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(spin)).alias("place"))
+    rows = rows.join(rates, "label").where("place < part").select("label", "text")
     counts = rows.mapInArrow(_count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     table = np.full((len(names), BUCKETS), 0.5)
     got = counts.toArrow()
@@ -131,8 +136,11 @@ def _score(model: np.ndarray):
 
 
 def _softmax(logs: Column) -> Column:
-    e = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    # each step is a one-element transform, so that the step before is evaluated once: linear in the classes
+    top = F.transform(F.array(logs), lambda x: F.struct(x.alias("l"), F.array_max(x).alias("m")))
+    e = F.transform(top, lambda x: F.transform(x["l"], lambda y: F.exp(y - x["m"])))
+    added = F.transform(e, lambda x: F.struct(x.alias("e"), F.aggregate(x, F.lit(0.0), lambda a, b: a + b).alias("t")))
+    return F.get(F.transform(added, lambda x: F.transform(x["e"], lambda y: y / x["t"])), F.lit(0))
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", declared: Column | None = None,
@@ -149,13 +157,14 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
         F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"),
         # beyond the known languages a declaration is only "other"
         F.when(declared.isNull(), "-").when(F.lower(declared).isin(*names) if names else F.lit(False), F.lower(declared)).otherwise("?").alias("declared"),
+        F.nullif(F.nullif(F.trim(F.lower(declared)), F.lit("")), F.lit(UND)).alias("said"),
         (none if host is None else host.cast("string")).alias("host"),
         (none if suffix is None else suffix.cast("string")).alias("suffix"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     kind = dict(rows.dtypes)["key"]
     scored = cut_lineage(rows.mapInArrow(
-        _score(model), f"key {kind}, text_hash long, declared string, host string, suffix string, n_grams long, logs array<double>"
+        _score(model), f"key {kind}, text_hash long, declared string, said string, host string, suffix string, n_grams long, logs array<double>"
     ))
     size = len(classes)
     p = scored.where("n_grams > 0").withColumn("p", _softmax(F.col("logs")))
@@ -172,32 +181,34 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
         trusted[:, values.index(r["declared"] if r["declared"] in values else "?")] += [r[f"c{c}"] or 0.0 for c in range(size)]
     trusted = np.log(trusted / trusted.sum(axis=1, keepdims=True))
 
-    def smoothed(by: list[str], above: list[Column]) -> Column:
-        mass = sum((F.col(f"c{c}") for c in range(1, size)), F.col("c0"))
-        return F.array(*[(F.col(f"c{c}") + SMOOTHING * above[c]) / (mass + SMOOTHING) for c in range(size)])
+    def smoothed(above: Column) -> Column:
+        own = F.array(*[F.col(f"c{c}") for c in range(size)])
+        # a one-element transform, so that the mass is added up once
+        return F.get(F.transform(
+            F.array(F.aggregate(own, F.lit(0.0), lambda a, b: a + b)),
+            lambda mass: F.zip_with(own, above, lambda c, w: (c + SMOOTHING * w) / (mass + SMOOTHING)),
+        ), F.lit(0))
 
-    by_suffix = sums.groupBy("suffix").agg(*added).select(
-        F.col("suffix").alias("s"), smoothed(["suffix"], [F.lit(float(w)) for w in world]).alias("above")
-    )
+    by_suffix = sums.groupBy("suffix").agg(*added).select(F.col("suffix").alias("s"), smoothed(F.array(*[F.lit(float(w)) for w in world])).alias("above"))
     by_host = sums.groupBy("host", "suffix").agg(*added).join(by_suffix, F.col("suffix").eqNullSafe(F.col("s")))
     by_host = by_host.select(
         F.col("host").alias("h"), F.col("suffix").alias("s"),
-        smoothed(["host"], [F.get("above", F.lit(c)) for c in range(size)]).alias("prior"),
+        smoothed(F.col("above")).alias("prior"),
     )
-    trust = F.lit(None)
-    for v, value in enumerate(values):
-        line = F.array(*[F.lit(float(trusted[c, v])) for c in range(size)])
-        trust = F.when(F.col("declared") == value, line).otherwise(trust)
+    trust = docs.sparkSession.createDataFrame([(value, trusted[:, v].tolist()) for v, value in enumerate(values)], "declared string, trust array<double>")
     joined = scored.join(by_host, F.col("host").eqNullSafe(F.col("h")) & F.col("suffix").eqNullSafe(F.col("s")), "left")
+    joined = joined.join(F.broadcast(trust), "declared")  # every declared value has its row
     prior = F.coalesce("prior", F.array(*[F.lit(float(w)) for w in world]))
-    fused = F.zip_with(F.zip_with("logs", prior, lambda a, b: a + F.log(b)), trust, lambda a, b: a + b)
+    fused = F.zip_with(F.zip_with("logs", prior, lambda a, b: a + F.log(b)), F.col("trust"), lambda a, b: a + b)
     known = joined.withColumn("p", _softmax(fused)).withColumn("best", F.array_max("p"))
     listed = F.array(*map(F.lit, classes))
     name = F.when(F.col("n_grams") > 0, F.element_at(listed, F.array_position("p", F.col("best")).cast("int"))).otherwise(F.lit(UND))
+    known = known.withColumn("found", name).withColumn("sure", (F.col("found") != UND) & (F.col("best") >= least))
+    other = ~F.col("sure") & (F.col("declared") == "?") & F.col("said").isNotNull() & (F.col("n_grams") > 0) & F.lit(bool(names))
     return known.select(
-        F.col("key").alias(key), "text_hash", name.alias("language"),
+        F.col("key").alias(key), "text_hash", F.when(other, F.col("said")).otherwise(F.col("found")).alias("language"),
         F.when(F.col("n_grams") > 0, F.col("best")).otherwise(F.lit(1.0)).alias("probability"),
-        ((name != UND) & (F.col("best") >= least)).alias("kept"),
+        (F.col("sure") | other).alias("kept"),
     )
 
 

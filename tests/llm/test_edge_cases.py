@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,20 @@ def test_language(docs):
     assert language.identify_documents(unlabelled).where("kept").count() == 0
 
 
+def test_rare_languages_stay(spark):
+    rng = np.random.default_rng(4)
+    letters = {"en": "abcdefghij", "nl": "ijklmnopqr", "el": "αβγδεζηθικλ", "ka": "აბგდევზთიკ"}
+    of = ["ka"] * 3 + ["el"] * 40 + ["en"] * 20_000 + ["nl"] * 19_957  # el is 0.1 %
+    texts = {lang: [" ".join("".join(rng.choice(list(a), 5)) for _ in range(30)) for _ in range(60)] for lang, a in letters.items()}
+    rows = [(i, f"{texts[lang][i % 60]}", lang, "one") for i, lang in enumerate(of)]
+    rows += [(10**6 + i, texts["el"][i], None, "one") for i in range(10)] + [(10**6 + 10, "12 34", "ka", "one"), (10**6 + 11, texts["ka"][9], "und", "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in language.identify_documents(docs).where("doc_id < 43 OR doc_id >= 1000000").collect()}
+    assert [got[i]["language"] for i in range(43)] == of[:43] and all(got[i]["kept"] for i in range(43))
+    assert all(got[10**6 + i]["language"] == "el" and got[10**6 + i]["kept"] for i in range(10))
+    assert not got[10**6 + 10]["kept"] and not got[10**6 + 11]["kept"]
+
+
 def test_sharding(docs):
     out = sharding.place(docs)
     assert out.count() == len(ROWS) and out.columns[-2:] == ["slot", "shard"]
