@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("decontamination", "line_dedup", "near_dedup", "host_quality", "html_text", "language", "pii", "sharding", "mixing", "warc")
+MODULES = ("decontamination", "line_dedup", "near_dedup", "host_quality", "html_text", "language", "pii", "sharding", "mixing", "warc", "conversation_repair", "spelling", "topk")
 
 
 def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
