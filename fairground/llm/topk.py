@@ -167,7 +167,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id",
         F.transform(sent, lambda p: F.struct(p.alias("part"), F.lit(True).alias("is_query"))),
     )
     dealt = rows.select(F.explode(copies).alias("c"), "row", "id", "v").select("c.part", "c.is_query", "row", "id", "v")
-    ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "is_query")
+    # by range, as hashes would put several parts into one task
+    ordered = dealt.repartitionByRange(parts, "part").sortWithinPartitions("part", "is_query")
     kind = dict(rows.dtypes)["id"]
     found = ordered.mapInArrow(_searched(k), f"query_row long, query_id {kind}, id {kind}, row long, score long")
     ranked = found.withColumn(
