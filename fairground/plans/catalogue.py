@@ -10,7 +10,7 @@ from fairground.operators.filters import SearchFilters
 from fairground.plans import bindings as b
 from fairground.plans.bindings import rounded, with_sql
 from fairground.plans.registry import query
-from fairground.sources import sinks
+from fairground.sources import buckets, sinks
 from fairground.session import scratch_folder
 from fairground.sources.tables import first_rows, read_table
 
@@ -547,3 +547,73 @@ def s16(spark, sf):
     zeros = fresh.select("event_uuid", F.transform("embedding", lambda x: F.lit(-9.0).cast("float")).alias("embedding"))
     out = sinks.set_embeddings(stored, fresh.unionByName(zeros), F.lit("2026-01-01").cast("timestamp"))
     return out.select("event_uuid", F.get("embedding", F.lit(0)).cast("double").alias("first"), F.date_format("updated_at", "yyyy-MM-dd").alias("day"))
+
+
+# The same writes on tables in buckets: only the buckets of the changed keys are read and written.
+
+
+def _bucketed(spark, name, rows, key="uuid", n=32):
+    """A new table of ``rows``."""
+    path = f"{scratch_folder(spark, name)}/table"
+    buckets.create(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), key, n, rows)
+    return path
+
+
+@query("s05_bucketed_writes", """
+SELECT o_orderkey AS uuid, o_orderstatus AS source, o_orderpriority AS category,
+       CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN NULL
+            WHEN o_orderstatus = 'F' THEN o_totalprice ELSE o_totalprice * 2 END AS price
+FROM orders WHERE o_orderpriority <> '5-LOW'""")
+def s05_bucketed(spark, sf):
+    """An upsert, a price update and a delete, one after the other."""
+    df = _stored(spark, sf)
+    path = _bucketed(spark, "upsert", df.where("source <> 'O'"))
+    older = df.withColumns({"price": F.lit(0.0), "updated_at": F.lit("1990-01-01").cast("timestamp")})
+    updates = df.withColumn("price", F.col("price") * 2).unionByName(older).where("source <> 'F'")
+    buckets.upsert(spark, path, updates)
+    indebted = read_table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    unpriced = read_table(spark, sf, "orders").join(indebted, "o_custkey", "left_semi").select(
+        F.col("o_orderkey").alias("uuid"), F.lit(None).cast("double").alias("price")
+    )
+    buckets.patch(spark, path, unpriced, ["price"])
+    buckets.delete(spark, path, df.where("category = '5-LOW'").select("uuid"))
+    return buckets.read(spark, path).select("uuid", "source", "category", "price")
+
+
+@query("s07_bucketed_children", """
+SELECT l_orderkey * 10 + l_linenumber AS uuid, l_orderkey AS event_uuid, max(l_quantity) AS rating
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY ALL""")
+def s07_bucketed(spark, sf):
+    """Children are written where their parent is stored."""
+    parents = _bucketed(spark, "parents", _stored(spark, sf).where("source = 'F'"))
+    content = read_table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("uuid"), F.col("l_orderkey").alias("event_uuid"),
+        F.col("l_quantity").alias("rating"),
+    ).groupBy("uuid", "event_uuid").agg(F.max("rating").alias("rating")).withColumn("updated_at", F.lit(1))
+    path = _bucketed(spark, "children", content.limit(0))
+    buckets.upsert_children(spark, path, content, parents)
+    return buckets.read(spark, path).select("uuid", "event_uuid", "rating")
+
+
+@query("s09_bucketed_overlay", """
+SELECT c_custkey AS category, CASE WHEN c_acctbal < 0 THEN 'in debt' WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_name END AS name,
+       CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_nationkey END AS region
+FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_acctbal < 0""")
+def s09_bucketed(spark, sf):
+    """Names of customers in debt change; those not stored yet are new rows without a region."""
+    customers = read_table(spark, sf, "customer").withColumn("category", F.col("c_custkey"))
+    stored = customers.where("c_mktsegment <> 'BUILDING'").select(
+        "category", F.col("c_name").alias("name"), F.col("c_nationkey").alias("region"), F.lit(0).alias("updated_at")
+    )
+    path = _bucketed(spark, "overlay", stored, "category")
+    changed = customers.where("c_acctbal < 0").select("category", F.lit("in debt").alias("name"), F.lit(1).alias("updated_at"))
+    buckets.overlay(spark, path, changed)
+    return buckets.read(spark, path).select("category", "name", "region")
+
+
+@query("p03_bucketed_lookup", "SELECT o_orderkey AS uuid, o_totalprice AS price FROM orders WHERE o_orderpriority = '1-URGENT'")
+def p03_bucketed(spark, sf):
+    """Rows of given keys; buckets without any of them are not read."""
+    df = _stored(spark, sf)
+    path = _bucketed(spark, "lookup", df)
+    return buckets.lookup(spark, path, df.where("category = '1-URGENT'").select("uuid")).select("uuid", "price")

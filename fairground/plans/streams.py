@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from fairground.operators import normalize
 from fairground.plans.registry import query
 from fairground.schemas import EVENTS
 from fairground.session import scratch_folder
-from fairground.sources import versions
+from fairground.sources import buckets, versions
 from fairground.sources.tables import read_table
-from fairground.streaming import ingest, progress
+from fairground.streaming import ingest, keyed_ingest, keystate, progress
+
 
 def as_of():
     return F.lit("2026-01-01").cast("timestamp")
@@ -153,3 +157,80 @@ def x07(spark, sf):
     later = jobs.join(large, "uuid", "left_semi").withColumn("scraped_at", F.lit("2051-01-01").cast("timestamp"))
     ingest.store_batch(later.select(*jobs.columns), 1, out, as_of())
     return _stored(spark, out)
+
+
+# Duplicates by keyed state: the events stream as items, keyed by type and user (and day), landed in two halves.
+
+_TTL = timedelta(days=3)
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def _keyed_state(spark):
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, keystate.PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def _visits(spark, sf, daily):
+    rows = read_table(spark, sf, "events")
+    return ingest.fill(rows.select(
+        F.col("event_id").cast("string").alias("uuid"), F.concat(F.lit(" "), "event_type").alias("title"),
+        F.format_string("user %d", "user_id").alias("venue"), F.col("ts").alias("scraped_at"),
+        (F.date_format("ts", "yyyy-MM-dd") if daily else F.lit(None).cast("string")).alias("date"),
+        F.col("value").cast("string").alias("price"), F.lit(False).alias("is_update_job"),
+    ), ingest.ITEM)
+
+
+def _halves(visits):
+    """The earlier and the later half of the items."""
+    cut = visits.agg(F.percentile_approx("scraped_at", 0.5)).scalar()
+    marked = visits.withColumn("_cut", cut)
+    return [marked.where(c).drop("_cut") for c in ("scraped_at <= _cut", "scraped_at > _cut")]
+
+
+@query("x02_key_returns", f"""
+WITH RECURSIVE i AS (SELECT event_id, event_type || '|' || user_id AS k, ts,
+    row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id::VARCHAR) AS r FROM events),
+d AS (SELECT k, r, event_id, ts AS held, true AS fresh FROM i WHERE r = 1
+  UNION ALL
+  SELECT i.k, i.r, i.event_id, CASE WHEN i.ts >= d.held + INTERVAL {_TTL.days} DAY THEN i.ts ELSE d.held END,
+         i.ts >= d.held + INTERVAL {_TTL.days} DAY FROM d JOIN i ON d.k = i.k AND i.r = d.r + 1)
+SELECT event_id::VARCHAR AS uuid FROM d WHERE fresh""")
+def x02_key_returns(spark, sf):
+    """Two runs of a stream over one checkpoint; a key is new again three days after it was accepted."""
+    out = scratch_folder(spark, "returns")
+    with _keyed_state(spark):
+        for i, half in enumerate(_halves(_visits(spark, sf, daily=False))):
+            half.write.parquet(f"{out}/in/{i}")
+            stream = spark.readStream.schema(half.schema).parquet(f"{out}/in/*")
+            marked = keystate.mark_duplicates(stream, _TTL)
+            writer = marked.where("NOT duplicate").writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint")
+            writer.option("path", f"{out}/fresh").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/fresh").select("uuid")
+
+
+@query("x01_keyed_ingest", """
+WITH f AS (SELECT * FROM events
+    QUALIFY row_number() OVER (PARTITION BY event_type, user_id, ts::DATE ORDER BY ts, event_id::VARCHAR) = 1)
+SELECT event_id::VARCHAR AS uuid, event_type AS title, 'user ' || user_id AS venue, strftime(ts, '%Y-%m-%d') AS date,
+       CASE WHEN event_type = 'view' THEN value + 1 ELSE value END AS price FROM f""")
+def x01_keyed(spark, sf):
+    """Two landings of items, the second with price updates of all views, into a bucketed table that no batch scans."""
+    out = scratch_folder(spark, "keyed")
+    visits = _visits(spark, sf, daily=True)
+    views = visits.where("title = ' view'").withColumns({
+        "price": (F.col("price").cast("double") + 1).cast("string"), "is_update_job": F.lit(True),
+        "scraped_at": F.col("scraped_at") + F.expr("interval 1 year"),
+    })
+    first, second = _halves(visits)
+    with _keyed_state(spark):
+        for i, landed in enumerate([first, second.unionByName(views)]):
+            landed.write.parquet(f"{out}/in/{i}")
+            stream = spark.readStream.schema(landed.schema).parquet(f"{out}/in/*")
+            keyed_ingest.keyed_ingest_stream(stream, out, f"{out}/checkpoint", "crawl", as_of=as_of(), n_buckets=16).awaitTermination()
+    rows = buckets.read(spark, f"{out}/events")
+    return rows.select("uuid", "title", "venue", F.col("date_raw").alias("date"), "price")
