@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -18,7 +16,7 @@ from fairground.operators.filters import SearchFilters, search_filter
 MIN_VECTOR_SCORE = 0.25
 MIN_RERANK_SCORE = 0.4
 
-# Queries travel to the tasks as a matrix; this many at a time keeps it a few megabytes.
+# So many queries may travel to the tasks as one matrix of a few megabytes.
 QUERY_CHUNK = 1024
 
 
@@ -76,8 +74,8 @@ def vector_top_k(
     """Exact cosine top ``k`` of every query: (query_id, id, score, rank); ties by id.
 
     ``vectors`` is (id, embedding), ``queries`` is (query_id, embedding); ``prefilter`` keeps only its ids. The
-    vectors are scanned in place and never shuffled: each task keeps k rows per query, and only those are ranked.
-    Queries are read in chunks (each chunk is one more scan), so their number is not limited.
+    vectors are scanned in place and never shuffled: each task keeps k rows per query, and only those are ranked. That
+    takes ``QUERY_CHUNK`` queries, which are sent along. More of them stay a DataFrame and meet the vectors in blocks.
     """
     if prefilter is not None:
         vectors = vectors.join(prefilter.select("id"), "id", "left_semi")
@@ -85,23 +83,34 @@ def vector_top_k(
     kinds = {**dict(vectors.dtypes), **dict(queries.dtypes)}
     schema = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
     context = vectors.sparkSession.sparkContext
-    rows, parts = queries.select("query_id", "embedding").toLocalIterator(), []
-    while chunk := list(islice(rows, QUERY_CHUNK)):
-        matrix = np.array([r["embedding"] for r in chunk], dtype="float64")
-        matrix /= np.where((n := np.linalg.norm(matrix, axis=1, keepdims=True)) == 0, np.nan, n)
-        run = _partial_top_k(context.broadcast(matrix), [r["query_id"] for r in chunk], k, floor)
-        parts.append(vectors.mapInPandas(run, schema))
-    if not parts:
+    chunk = queries.select("query_id", "embedding").limit(QUERY_CHUNK + 1).collect()
+    if len(chunk) > QUERY_CHUNK:
+        return _many_top_k(vectors, queries, k, floor, schema)
+    if not chunk:
         return vectors.sparkSession.createDataFrame([], schema + ", rank int")
+    matrix = np.array([r["embedding"] for r in chunk], dtype="float64")
+    matrix /= np.where((n := np.linalg.norm(matrix, axis=1, keepdims=True)) == 0, np.nan, n)
+    run = _partial_top_k(context.broadcast(matrix), [r["query_id"] for r in chunk], k, floor)
     # k rows per task and query, then k per slice and query: the last step ranks at most 64 k rows per query however
     # many tasks scanned the vectors.
     order = (F.desc("score"), F.asc("id"))
-    found = reduce(DataFrame.unionByName, parts).withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(64)))
+    found = vectors.mapInPandas(run, schema).withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(64)))
     for keys in (("query_id", "_slice"), ("query_id",)):
         found = found.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
     return found.drop("_slice")
 
 
+def _many_top_k(vectors: DataFrame, queries: DataFrame, k: int, floor: float | None, schema: str) -> DataFrame:
+    """Blocks of queries against parts of the vectors; nothing but counts comes to the driver."""
+    from fairground.operators import vector_index
+
+    one = F.lit(0).alias("cell")
+    stored = vector_index.directions(vectors, "id").select("id", "embedding", one)
+    asked = vector_index.directions(queries, "query_id").select("query_id", "embedding", one)
+    found = vector_index.score_by_blocks(stored, asked, {0: asked.count()}, k, floor, schema)
+    return vector_index.rank_hits(found, k)
+
+
 def approximate_top_k(vectors: DataFrame, query: list[float], k: int, bucket: float = 0.5, tables: int = 8) -> DataFrame:
     """Approximate neighbours of one query by random projections; recall below 1. (id, score)"""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

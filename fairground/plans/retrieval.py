@@ -12,11 +12,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from fairground.functions import replies, text
-from fairground.operators import curation, normalize, rollups, vector
+from fairground.operators import curation, normalize, rollups, vector, vector_index
 from fairground.operators.filters import SearchFilters
 from fairground.plans import bindings as b
 from fairground.plans.bindings import rounded, with_sql
 from fairground.plans.registry import query
+from fairground.session import scratch_folder
 from fairground.sources.tables import read_table
 
 
@@ -70,6 +71,52 @@ def v01_recall(spark, sf):
     return exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg((F.count("hit") >= 9).alias("found_most"))
 
 
+# The same searches on a stored index of cells.
+
+_CELLS, _TOPIC_PROBES, _PROBES = 64, 48, 40
+
+
+def _indexed(spark, sf):
+    return vector_index.build_index(vectors(spark, sf), scratch_folder(spark, "index"), _CELLS)
+
+
+@query("v01_index_exact", with_sql(_TOPICS, _top(100)) + "SELECT query_id, id, round(score, 6) AS score, rank FROM top")
+def v01_index_exact(spark, sf):
+    """All cells probed."""
+    found = vector_index.search(spark, _indexed(spark, sf), topic_queries(spark, sf), 100, _CELLS)
+    return rounded(found, score=6).select("query_id", "id", "score", "rank")
+
+
+@query("v02_index_floor", with_sql(_TOPICS, _top(100)) + """
+SELECT query_id, id, round(score, 6) AS score, rank FROM top WHERE score >= 0.25""")
+def v02_index(spark, sf):
+    found = vector_index.search(spark, _indexed(spark, sf), topic_queries(spark, sf), 100, _CELLS, vector.MIN_VECTOR_SCORE)
+    return rounded(found, score=6).select("query_id", "id", "score", "rank")
+
+
+@query("v01_index_recall", """
+SELECT count(DISTINCT label) AS queries, count(DISTINCT label) * 10 AS wanted, true AS found_most FROM embeddings""")
+def v01_index_recall(spark, sf):
+    """Whether three of four cells hold at least 0.9 of all topics' ten nearest. Means lie between the cells."""
+    topics = topic_queries(spark, sf)
+    found = vector_index.search(spark, _indexed(spark, sf), topics, 10, _TOPIC_PROBES)
+    return _found_most(vector_index.recall(found, vector.vector_top_k(vectors(spark, sf), topics, 10)))
+
+
+@query("v01_index_neighbours", "SELECT count(*) AS queries, count(*) * 10 AS wanted, true AS found_most FROM embeddings")
+def v01_index_neighbours(spark, sf):
+    """Every vector as a query: whether five of eight cells hold at least 0.9 of all ten nearest."""
+    everyone = vectors(spark, sf).withColumnRenamed("id", "query_id")
+    index = _indexed(spark, sf)
+    found, exact = (vector_index.search(spark, index, everyone, 10, n) for n in (_PROBES, _CELLS))
+    return _found_most(vector_index.recall(found, exact))
+
+
+def _found_most(met):
+    enough = F.sum("hits") >= 0.9 * F.sum("wanted")
+    return met.agg(F.count("*").alias("queries"), F.sum("wanted").alias("wanted"), enough.alias("found_most"))
+
+
 @query("v02_score_floor", with_sql(_TOPICS, _top(100)) + """
 SELECT query_id, id, round(score, 6) AS score, rank FROM top WHERE score >= 0.25""")
 def v02(spark, sf):
@@ -87,6 +134,14 @@ def j06(spark, sf):
     return rounded(vector.vector_top_k(vectors(spark, sf), topic_queries(spark, sf), 10, prefilter=allowed), score=6)
 
 
+@query("j06_index_prefiltered", with_sql(_TOPICS, _EN, _top(10, "allowed")) + """
+SELECT query_id, id, round(score, 6) AS score, rank FROM top""")
+def j06_index(spark, sf):
+    allowed = b.articles(spark, sf).filter("category = 'en' AND price <= 5000").select(F.col("uuid").alias("id"))
+    found = vector_index.search(spark, _indexed(spark, sf), topic_queries(spark, sf), 10, _CELLS, prefilter=allowed)
+    return rounded(found, score=6).select("query_id", "id", "score", "rank")
+
+
 @query("j09_hits_with_events", with_sql(b.ARTICLES, b.REVIEWS, _TOPICS, _top(50)) + """
 SELECT query_id, id, title, price, category, venue, quality_score, round(score, 6) AS score
 FROM top JOIN articles ON uuid = id JOIN reviews ON event_uuid = id""")
