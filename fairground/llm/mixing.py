@@ -9,11 +9,13 @@ source, which is decided by a draw. Documents with more than 1 / ``LARGE`` of th
 than ``LARGE`` of a source) are rounded before all others, each paired with the pool of all smaller ones, whose rate then
 makes up for what it took, so that a source's words differ from its target by less than one of its smaller documents.
 
-Nothing is collected: buckets hold about ``BUCKET`` rows whatever a source's size, and a source with a third of all
-rows is many buckets. Draws are seeded by source and bucket and rows are ordered by key and size, so reruns agree.
+Rows with equal key, source and text are one group with a count, made map-side: its copies are rounded together and
+handed out evenly, so a hot row is no hot task. Nothing is collected: buckets hold about ``BUCKET`` groups whatever a
+source's size, a source with a third of all rows is many buckets, and small sources share one. Draws are seeded by
+source and bucket and groups are ordered by key, size and text hash, so reruns agree.
 
 Defined cases: a null source is a source of its own, after all others; null and empty texts have size 0, take nothing
-and need no rounding; repeated rows are rounded one by one; an empty table gives an empty result.
+and need no rounding; repeated rows take their group's copies, the same number each or one more; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fairground.llm.registry import query
-from fairground.llm.rows import keyed, named, same_row
+from fairground.llm.rows import named
 from fairground.session import cut_lineage
 
 WEIGHTS = (1, 2, 3)
@@ -108,9 +110,14 @@ def _seeded(*parts: object) -> np.random.Generator:
     return np.random.default_rng(np.frombuffer(digest, dtype=np.uint32))
 
 
-def _round_leaf(seed: int, carry: tuple[str, ...]):
+def _by_node(pdf: pd.DataFrame, work) -> pd.DataFrame:
+    """A cell holds one node of a large source, or the only nodes of several small ones."""
+    return pd.concat([work(part.copy()) for _, part in pdf.groupby(["src", "node"], sort=True)])
+
+
+def _round_leaf(seed: int):
     def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "size", *carry], kind="stable", na_position="last")
+        pdf = pdf.sort_values(["key", "size", "t"], kind="stable", na_position="last")
         rng = _seeded(seed, pdf["src"].iloc[0], int(pdf["node"].iloc[0]), 0)
         # large ones first, so that what is left undecided at the end is small
         pdf = pdf.iloc[np.lexsort((rng.permutation(len(pdf)), -pdf["size"].to_numpy()))]
@@ -121,92 +128,103 @@ def _round_leaf(seed: int, carry: tuple[str, ...]):
         pdf["open"] = np.arange(len(pdf)) == held
         return pdf
 
-    return leaf
+    return lambda pdf: _by_node(pdf, leaf)
 
 
-def _round_large(seed: int, most: int, carry: tuple[str, ...]):
-    """Each document, the largest first, is paired with the pool of all smaller ones of its source: its fraction is
-    rounded at random and the pool's rate takes up the difference, so its expected value stays what it was."""
+def _round_large(seed: int, most: int):
+    """Each group of equal documents, the largest first, is paired with the pool of all smaller ones of its source: its
+    fraction is rounded at random and the pool's rate takes up the difference, so its expected value stays what it was."""
 
     def large(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "key", *carry], ascending=[False] + [True] * (1 + len(carry)), kind="stable")
+        pdf = pdf.sort_values(["size", "key", "t"], ascending=[False, True, True], kind="stable")
         rng = _seeded(seed, pdf["src"].iloc[0], -1)
         words, size, whole = float(pdf["target"].iloc[0]), int(pdf["source_size"].iloc[0]), []
-        for own, draw in zip(pdf["size"].tolist(), rng.random(len(pdf)).tolist()):
-            rate = min(max(words / size, 0.0), float(most)) if size else 0.0
+        for own, c, draw in zip(pdf["size"].tolist(), pdf["c"].tolist(), rng.random(len(pdf)).tolist()):
+            rate = c * min(max(words / size, 0.0), float(most)) if size else 0.0
             whole.append(int(rate) + (draw < rate % 1.0))
-            words, size = words - whole[-1] * own, size - own
-        pdf["whole"] = np.array(whole, dtype=np.int32)
+            words, size = words - whole[-1] * own, size - own * c
+        pdf["whole"] = np.array(whole, dtype=np.int64)
         pdf["p"] = 0.0
         pdf["open"] = False
         return pdf
 
-    return large
+    return lambda pdf: _by_node(pdf, large)
 
 
-def _round_node(level: int, seed: int, final: bool):
+def _round_node(level: int, seed: int):
     def node(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "leaf"], ascending=[False, True], kind="stable")
         rng = _seeded(seed, pdf["src"].iloc[0], int(pdf["node"].iloc[0]), level)
         p, held = _pivot(pdf["size"].to_numpy(dtype=float), pdf["p"].to_numpy(dtype=float), rng.random(len(pdf)))
-        if final and held >= 0:
+        if pdf["final"].iloc[0] and held >= 0:
             p[held], held = float(rng.random() < p[held]), -1
         pdf["p"] = p
         pdf["open"] = np.arange(len(pdf)) == held
         return pdf
 
-    return node
+    return lambda pdf: _by_node(pdf, node)
 
 
-def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", carry: tuple[str, ...] = (),
-           weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
-    """Per row of ``docs``: key, source, size, source_size, target, n_copies, taken, and the ``carry`` columns."""
-    sized = docs.select(
-        F.col(key).alias("key"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"), *carry
-    )
-    light = sized.select("source", "size")
-    totals = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+def group_copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
+                 weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
+    """Per group of rows with equal key, source and text: key, source, t (a hash of the text), c (its rows), size,
+    source_size, target and n_copies (of all its rows together). Texts are read once."""
+    groups = docs.select(
+        named(key).alias("key"), named(source).alias("source"), words_in(named(text)).alias("size"), F.xxhash64(named(text)).alias("t")
+    ).groupBy("key", "source", "size", "t").agg(F.count("*").alias("c"))
+    groups = cut_lineage(groups)
+    totals = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("source_size"), F.count("*").alias("n"))
     totals = cut_lineage(totals)
-    n_rows = totals.agg(F.sum("n")).first()[0] or 0
-    leaves = max(1, -(-n_rows // BUCKET))
+    n_groups = totals.agg(F.sum("n")).first()[0] or 0
     targets = source_targets(totals.select("source", "source_size"), weights, most)
     # null and any text as keys of plain equality
     src = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
-    targets = cut_lineage(targets.withColumn("src", src))
+    leaves = totals.select(src.alias("src"), F.ceil(F.col("n") / BUCKET).cast("long").alias("leaves"))
+    targets = cut_lineage(targets.withColumn("src", src).join(leaves, "src"))
     # one small row per source, counted: rows of a hot source needn't meet in one task
     near = F.broadcast if targets.count() <= SMALL else (lambda df: df)
-    rated = sized.withColumn("src", src).join(near(targets.drop("source")), "src")
+    rated = groups.withColumn("src", src).join(near(targets.drop("source")), "src")
     is_large = F.col("size") * LARGE > F.col("source_size")
-    whole = F.floor(F.least("rate", F.lit(float(most)))).cast("int")
+    whole = F.floor(F.least(F.col("rate"), F.lit(float(most))) * F.col("c"))
+    # small sources share cells, so that many of them aren't as many groups
+    cells = max(1, -(-n_groups // BUCKET))
+
+    def cell(alone: Column) -> Column:
+        return F.when(alone, F.xxhash64("src", "node")).otherwise(F.pmod(F.xxhash64("src"), F.lit(cells)))
 
     def rounded(rows: DataFrame, leaf) -> DataFrame:
-        rows = rows.withColumn("whole", whole).withColumn("p", F.col("rate") - F.col("whole"))
+        rows = rows.withColumn("whole", whole).withColumn("p", F.col("rate") * F.col("c") - F.col("whole"))
         kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-        columns = ["key", "source", "size", "source_size", "target", "whole", "p", "src", "node", *carry]
-        schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", open boolean"
-        return cut_lineage(rows.select(*columns).groupBy("src", "node").applyInPandas(leaf, schema))
+        columns = ["key", "source", "size", "t", "c", "source_size", "target", "whole", "p", "src", "node", "leaves", "cell"]
+        schema = ", ".join(f"{c} {kinds[c]}" for c in columns if c != "cell") + ", cell long, open boolean"
+        rows = rows.withColumn("cell", cell(F.col("leaves") > 1))
+        return cut_lineage(rows.select(*columns).groupBy("cell").applyInPandas(leaf, schema).drop("cell"))
 
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     large = rated.where(is_large).withColumn("rate", rate).withColumn("node", F.lit(-1).cast("long"))
-    large = rounded(large, _round_large(seed, most, carry))
+    large = rounded(large, _round_large(seed, most))
     spent = large.groupBy("src").agg(
-        F.sum("size").alias("large_size"), F.sum((F.col("whole") + F.col("p")) * F.col("size")).alias("large_taken")
+        F.sum(F.col("size") * F.col("c")).alias("large_size"), F.sum(F.col("whole") * F.col("size")).alias("large_taken")
     )
     left = targets.join(spent, "src", "left").select(
         "src",
-        (F.col("target") - F.coalesce("large_taken", F.lit(0.0))).alias("words"),
+        (F.col("target") - F.coalesce("large_taken", F.lit(0))).alias("words"),
         (F.col("source_size") - F.coalesce("large_size", F.lit(0))).alias("of"),
     ).select("src", F.when(F.col("of") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.col("words") / F.col("of")))).otherwise(0.0).alias("rate"))
-    small = rated.where(~is_large).join(near(left), "src").withColumn("node", F.pmod(F.xxhash64("key", "size"), F.lit(leaves)))
-    first = rounded(small, _round_leaf(seed, carry))
-    undecided = first.where("open").select("src", F.col("node").alias("leaf"), "size", "p", F.lit(True).alias("open"))
-    decided, level, nodes = None, 0, leaves
+    small = rated.where(~is_large).join(near(left), "src").withColumn("node", F.pmod(F.xxhash64("key", "size", "t"), F.col("leaves")))
+    first = rounded(small, _round_leaf(seed))
+    undecided = first.where("open").select("src", F.col("node").alias("leaf"), "size", "p", F.lit(True).alias("open"), "leaves")
+    most_leaves = targets.agg(F.max("leaves")).first()[0] or 1
+    decided, level, nodes = None, 0, most_leaves
     while True:
         level, nodes = level + 1, -(-nodes // FAN_IN)
-        grouped = undecided.where("open").withColumn("node", F.floor(F.col("leaf") / F.lit(FAN_IN**level)).cast("long"))
-        done = grouped.groupBy("src", "node").applyInPandas(
-            _round_node(level, seed, nodes == 1), "src string, leaf long, size long, p double, open boolean, node long"
-        ).drop("node")
+        fan = FAN_IN**level
+        grouped = undecided.where("open").withColumn("node", F.floor(F.col("leaf") / F.lit(fan)).cast("long")).withColumn(
+            "final", F.col("leaves") <= fan
+        ).withColumn("cell", cell(~F.col("final")))
+        done = grouped.groupBy("cell").applyInPandas(
+            _round_node(level, seed), "src string, leaf long, size long, p double, open boolean, leaves long, node long, final boolean, cell long"
+        ).drop("node", "final", "cell")
         done = cut_lineage(done)
         settled = done.where("NOT open").select("src", "leaf", F.col("p").alias("settled"))
         decided = settled if decided is None else decided.unionByName(settled)
@@ -218,28 +236,53 @@ def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
         F.col("open") & (F.col("src") == F.col("d_src")) & (F.col("node") == F.col("leaf")),
         "left",
     )
-    n_copies = F.col("whole") + F.round(F.coalesce("settled", "p")).cast("int")
-    return out.select(
-        F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target",
-        n_copies.alias("n_copies"), (n_copies * F.col("size")).cast("long").alias("taken"), *carry,
+    n_copies = F.col("whole") + F.round(F.coalesce("settled", "p")).cast("long")
+    return out.select("key", "source", "t", "c", "size", "source_size", "target", n_copies.alias("n_copies"))
+
+
+def _times(df: DataFrame, n: str) -> DataFrame:
+    """Each row ``n`` times, numbered from 0 in ``nth``; in two steps, so that no array is as long as a hot group."""
+    part = df.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / BUCKET))))
+    upto = F.least(F.lit(BUCKET).cast("long"), F.col(n) - F.col("part") * BUCKET) - 1
+    return part.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), upto))).withColumn(
+        "nth", F.col("part") * BUCKET + F.col("at")
+    ).drop("part", "at")
+
+
+def copies(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """Per row of ``docs``: key, source, size, source_size, target, n_copies, taken."""
+    rows = _times(group_copies(docs, key, source, text, **options), "c")
+    # row r of c gets what its share adds to the whole number of copies
+    n = F.expr("(nth + 1) * n_copies div c - nth * n_copies div c").cast("int")
+    return rows.select(
+        F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", n.alias("n_copies"),
+        (n * F.col("size")).cast("long").alias("taken"),
     )
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The mixed documents: each row as often as it is taken, with the columns of ``docs``.
 
-    Only keys, sources and sizes are rounded; the texts join their verdict by key and text hash afterwards. Rows that
-    repeat both share the mean of their copies, to the nearest whole number.
+    Only keys, sources and sizes are rounded; whole rows join their group's copies by key, source and text hash. A
+    group's copies are handed out over its rows in the order of their hashes, equal rows counted together, so that they
+    add up to what the group takes.
     """
-    key, text = options.get("key", "doc_id"), options.get("text", "text")
-    source = options.get("source", "source")
-    hashed = docs.select(named(key).alias("k"), named(source).alias("s"), named(text).alias("text"), F.xxhash64(named(text)).alias("t"))
-    options |= {"key": "k", "source": "s", "text": "text"}
-    verdict = copies(hashed, carry=("t",), **options).groupBy(F.col("k").alias("v_k"), F.col("t").alias("v_t")).agg(
-        F.round(F.avg("n_copies")).cast("int").alias("n")
+    verdict = group_copies(docs, key, source, text, **options).where("n_copies > 0").select(
+        F.struct("key", "source", "t").alias("v"), "c", "n_copies"
+    )
+    verdict = cut_lineage(verdict)
+    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), F.struct(
+        named(key).alias("key"), named(source).alias("source"), F.xxhash64(named(text)).alias("t")).alias("v"))
+    single = rows.join(verdict.where("c = 1"), "v").select("row", "n_copies")
+    # equal rows meet map-side; a group's unlike rows (other columns differ) are ranked by narrow columns
+    several = rows.join(verdict.where("c > 1"), "v").withColumn("h", F.xxhash64("row")).groupBy("v", "c", "n_copies", "h").agg(
+        F.first("row").alias("row"), F.count("*").alias("m")
+    )
+    upto = F.sum("m").over(Window.partitionBy("v").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    shared = several.withColumn("upto", upto).select(
+        "row", F.expr("upto * n_copies div c - (upto - m) * n_copies div c").cast("long").alias("n_copies")
     )
-    joined = keyed(docs, key, text).join(verdict.where("n > 0"), same_row())
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
+    return _times(single.unionByName(shared).where("n_copies > 0"), "n_copies").select("row.*")
 
 
 @query("op9_mixing")

@@ -5,8 +5,8 @@ documents of similarity 0.8 miss each other in all bands with a probability of 3
 same samples are folded into an odd sketch: sample i toggles one of ``BITS`` bits, so samples that two documents share
 cancel out in the XOR of their sketches, whose population count tells how many differ.
 
-1. Documents with equal sets (128-bit digest and size) become one class; its id is the smallest document id.
-2. Classes that share a band are tied to the smallest class there (never to each other), and the ties' components are
+1. Documents with equal sets (128-bit digest and size) become one class, which gets a number of its own.
+2. Classes that share a band are tied to the smallest number there (never to each other), and the ties' components are
    clusters: every link lies inside one.
 3. Clusters are cut into blocks of ``BLOCK`` classes, and each pair of blocks is one small group. A task compares all
    sketches of its pair at once, skips pairs that the sketch rules out by six standard deviations and pairs already
@@ -16,8 +16,10 @@ cancel out in the XOR of their sketches, whose population count tells how many d
 No group is collected whole: bands, digests and minima are combined map-side, a large cluster is many pairs of blocks.
 
 Defined cases: null and empty texts, and texts without a word, have an empty set and link with nothing; a text of fewer
-than ``n`` words is one shingle; rows that share a document id are one document with all their sets; a null id links
-nothing, has a null component and is kept; ties go to the smallest id; an empty table gives an empty result.
+than ``n`` words is one shingle; in ``near_components``, rows that share a document id are one document with all their
+sets, which ties these sets together, and a row without an id links nothing, has a null component and is kept; ids may
+be of any type that has an order; the smallest id names a component; an empty table gives an empty result.
+``drop_near_copies`` judges texts, see there.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fairground.llm import tokens
 from fairground.llm.components import components
 from fairground.llm.registry import query
-from fairground.llm.rows import keyed
+from fairground.llm.rows import keyed, named, same_row
 from fairground.session import cut_lineage
 
 SAMPLES, ROWS = 96, 4  # 24 bands
@@ -90,7 +92,7 @@ def _signatures(n: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, texts), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
                      pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    names=["id", "n", "d1", "d2", "bands", "sketch"],
+                    names=["row", "n", "d1", "d2", "bands", "sketch"],
                 )
 
     return run
@@ -159,14 +161,25 @@ def _confirm(n: int, percent: int):
     return cell
 
 
-def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: key, n_shingles, component_id, kept. Links: similarity of at least ``percent`` / 100."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = cut_lineage(rows.mapInArrow(_signatures(n), "id long, n long, d1 long, d2 long, bands array<long>, sketch binary"))
-    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("d1", "d2", "n").agg(
-        F.min("id").alias("class"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+def _signed(docs: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as ``id, t`` (a hash of the text), ``text``, and their sets' signatures, stored."""
+    rows = docs.select(named(key).alias("id"), F.xxhash64(named(text)).alias("t"), F.coalesce(named(text), F.lit("")).alias("text"))
+    schema = f"row struct<id: {dict(rows.dtypes)['id']}, t: long>, n long, d1 long, d2 long, bands array<long>, sketch binary"
+    made = rows.select(F.struct("id", "t").alias("row"), "text").mapInArrow(_signatures(n), schema)
+    return rows, cut_lineage(made.select("row.*", "n", "d1", "d2", "bands", "sketch"))
+
+
+def _first(row: Column) -> Column:
+    """The order in which documents give a group its name: by id, null last, then by text hash."""
+    return F.struct(row.getField("id").isNull().alias("nameless"), row.getField("id").alias("id"), row.getField("t").alias("t"))
+
+
+def _linked(rows: DataFrame, signed: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets (``d1, d2, n, class, first``) and the links between classes (``a, b``), both stored."""
+    classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(
+        F.min(_first(F.struct("id", "t"))).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
-    classes = cut_lineage(classes)
+    classes = cut_lineage(cut_lineage(classes).withColumn("class", F.monotonically_increasing_id()))
     members = classes.select("class", F.explode("bands").alias("band"))
     least = members.groupBy("band").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most")
     ties = members.join(least, "band").where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
@@ -176,22 +189,38 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     placed = clusters.join(sizes, "component").select(
         F.col("id").alias("class"), "component", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int").alias("block")
     )
-    placed = cut_lineage(placed.join(classes.select("class", "d1", "d2", "n", "sketch"), "class"))
-    # a class's text: that of the document that gave it its id
-    mine = placed.select(F.col("class").alias("id"), "component", "blocks", "block", "d1", "d2", "n", "sketch")
-    held = rows.join(mine, "id")
+    placed = cut_lineage(placed.join(classes.select("class", "first", "n", "sketch"), "class"))
+    # a class's text: that of its first document, once
+    mine = placed.select("class", "component", "blocks", "block", "n", "sketch", F.col("first.id").alias("f_id"), F.col("first.t").alias("f_t"))
+    held = rows.join(mine, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("t") == F.col("f_t"))).dropDuplicates(["class"])
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"), (F.col("block") > o).cast("int").alias("side")))
-    cells = held.select("id", "component", "n", "sketch", "text", F.explode(pair).alias("p")).select(
+    cells = held.select(F.col("class").alias("id"), "component", "n", "sketch", "text", F.explode(pair).alias("p")).select(
         "id", "component", "n", "sketch", "text", "p.i", "p.j", "p.side"
     )
-    links = cells.groupBy("component", "i", "j").applyInPandas(_confirm(n, percent), "a long, b long")
-    found = components(links).select(F.col("id").alias("class"), F.col("component").alias("found"))
-    named = classes.select("d1", "d2", "n", "class").join(found, "class", "left").select(
-        "d1", "d2", "n", F.coalesce("found", "class").alias("component_id")
-    )
-    out = signed.select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    links = cut_lineage(cells.groupBy("component", "i", "j").applyInPandas(_confirm(n, percent), "a long, b long"))
+    return classes.select("d1", "d2", "n", "class", "first"), links
+
+
+def _grouped(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes with the ``first`` document of their component."""
+    found = components(links).select(F.col("id").alias("class"), "component")
+    known = classes.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named_by = known.groupBy("component").agg(F.min("first").alias("of"))
+    return known.join(named_by, "component").select("d1", "d2", "n", "of")
+
+
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs``: key, n_shingles, component_id, kept. Links: similarity of at least ``percent`` / 100."""
+    rows, signed = _signed(docs, key, text, n)
+    classes, links = _linked(rows, signed.where("id IS NOT NULL"), n, percent)
+    # an id with several texts is one document: it ties their classes
+    own = signed.where("n > 0 AND id IS NOT NULL").select("id", "d1", "d2", "n").join(classes.drop("first"), ["d1", "d2", "n"])
+    several = own.groupBy("id").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most")
+    same = own.join(several, "id").where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b"))
+    found = _grouped(classes, links.unionByName(same))
+    out = signed.select("id", "n", "d1", "d2").join(found, ["d1", "d2", "n"], "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("of.id", "id"))
     return out.select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
@@ -199,11 +228,19 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component (that with the smallest id), once, with the columns of ``docs``; null ids stay."""
-    gone = near_components(docs, key, text, n, percent).where("NOT kept").select(F.col(key).alias("gone")).distinct()
-    rows = keyed(docs, key, text)
-    left = rows.where("k IS NOT NULL").join(gone, F.col("k") == F.col("gone"), "left_anti").dropDuplicates(["k"])
-    return left.select("row.*").unionByName(rows.where("k IS NULL").select("row.*"))
+    """One row of each component of near copies, whole: the first by id, null last, then by a hash of its text.
+
+    Texts are judged, not ids: unlike texts under one id all stay, equal texts without an id are copies. Rows without a
+    word are nobody's copies; of repeated ones with an id, one stays.
+    """
+    rows, signed = _signed(docs, key, text, n)
+    classes, links = _linked(rows, signed, n, percent)
+    judged = signed.where("n > 0").select("id", "t", "d1", "d2", "n").join(_grouped(classes, links), ["d1", "d2", "n"])
+    gone = judged.where(~(F.col("id").eqNullSafe(F.col("of.id")) & (F.col("t") == F.col("of.t"))))
+    left = keyed(docs, key, text).join(gone.select(F.col("id").alias("v_k"), F.col("t").alias("v_t")).distinct(), same_row(), "left_anti")
+    worded = F.coalesce(F.col("row").getField(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    single = left.where(F.col("k").isNotNull() | worded).dropDuplicates(["k", "t"])
+    return single.select("row.*").unionByName(left.where(F.col("k").isNull() & ~worded).select("row.*"))
 
 
 WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"

@@ -90,7 +90,8 @@ def test_near_dedup(docs):
     assert (got[4]["n_shingles"], got[5]["n_shingles"], got[7]["n_shingles"], got[1]["n_shingles"]) == (0, 0, 1, 19)
     assert got[None]["component_id"] is None and got[None]["kept"]
     kept = near_dedup.drop_near_copies(docs)
-    assert sorted(r[0] or 0 for r in kept.select("doc_id").collect()) == [0, 0, 1, 4, 5, 6, 7, 8]
+    # the two equal texts without an id are copies of each other: one document of each group stays
+    assert sorted(r[0] or 0 for r in kept.select("doc_id").collect()) == [0, 1, 4, 5, 6, 7, 8]
     assert kept.columns == docs.columns
     assert near_dedup.near_components(docs.limit(0)).count() == 0
 
@@ -197,3 +198,59 @@ def test_stages(spark, docs, items, tmp_path, name, stage):
         out = stage(spark, table, str(tmp_path))
         assert out.columns[: len(docs.columns) - 2] == [c for c in docs.columns if c not in ("slot", "shard")] or out.columns == docs.columns
         out.write.format("noop").mode("overwrite").save()
+
+
+def test_near_copies_are_judged_by_text(spark):
+    x, y, z = BASE, "entirely other words about rivers and stones that nobody else wrote down before", "a third text which has nothing in common with any of those above it"
+    rows = [(3, x), (5, x), (5, y), (9, z), (None, z + " today"), (None, "free " + y[::-1]), (None, "free " + y[::-1]), (7, None), (7, None), (None, ""), (None, "")]
+    kept = near_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), n=2)
+    assert by_id(kept, "text") == sorted(
+        [(3, x), (5, y), (9, z), (None, "free " + y[::-1]), (7, None), (None, ""), (None, "")], key=repr
+    )
+    # as documents, both texts of 5 are one
+    parts = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), n=2)
+    assert {r["component_id"] for r in parts.collect() if r["doc_id"] == 5} == {3}
+    # ids may be text
+    named = near_dedup.near_components(spark.createDataFrame([("b", x), ("a", x + " today"), ("c", y)], "doc_id string, text string"))
+    assert by_id(named, "component_id", "kept") == [("a", "a", True), ("b", "a", False), ("c", "c", True)]
+
+
+@pytest.mark.parametrize("rate", [0.4, 0.67, 1.3])
+def test_equal_rows_meet_their_target(spark, rate):
+    """4,000 equal rows without an id, and unlike rows under one id, beside a source that takes the rest."""
+    many = [(None, "four words in each", "a", i % 3) for i in range(4000)]
+    other = round(16_000 * (3 - rate) / rate / 2) * 2 if rate < 1 else 16_000
+    rows = spark.createDataFrame(many, "doc_id long, text string, source string, extra int")
+    sizes = {"a": 16_000, "b": other}
+    target = min(3 * 16_000, sum(sizes.values()) / 3)
+    more = spark.range(other // 10).selectExpr("id AS doc_id", "'ten words are in this one here and some more' AS text", "'b' AS source", "0 AS extra")
+    mixed = mixing.mix(rows.unionByName(more)).where("source = 'a'")
+    assert abs(mixed.count() * 4 - target) <= 4
+    taken = {r["extra"]: r["count"] for r in mixed.groupBy("extra").count().collect()}
+    assert max(taken.values()) - min(taken.values()) <= 4
+    per_row = mixing.copies(rows.unionByName(more)).where("source = 'a'")
+    low, high, total, n = per_row.agg(F.min("n_copies"), F.max("n_copies"), F.sum("taken"), F.count("*")).first()
+    assert high - low <= 1 and n == 4000 and total == mixed.count() * 4
+
+
+def test_many_small_sources_share_groups(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    leaf = mixing._round_leaf
+
+    def counted(seed):
+        run = leaf(seed)
+
+        def one(pdf):
+            calls.add(1)
+            return run(pdf)
+
+        return one
+
+    monkeypatch.setattr(mixing, "_round_leaf", counted)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('s', id % 1500) AS source", "repeat('w ', int(id % 7)) AS text")
+    out = mixing.copies(docs).collect()
+    assert len(out) == 3000 and calls.value < 20
+    taken = {}
+    for r in out:
+        taken.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
+    assert all(abs(t - n) <= 7 for t, n in taken.values())
