@@ -73,11 +73,11 @@ def v01_recall(spark, sf):
 
 # The same searches on a stored index of cells.
 
-_CELLS, _TOPIC_PROBES, _PROBES = 64, 48, 40
+_CELLS, _FINE, _TOPIC_PROBES, _PROBES = 16, 64, 48, 40
 
 
-def _indexed(spark, sf):
-    return vector_index.build_index(vectors(spark, sf), scratch_folder(spark, "index"), _CELLS)
+def _indexed(spark, sf, cells=_CELLS):
+    return vector_index.build_index(vectors(spark, sf), scratch_folder(spark, "index"), cells)
 
 
 @query("v01_index_exact", with_sql(_TOPICS, _top(100)) + "SELECT query_id, id, round(score, 6) AS score, rank FROM top")
@@ -99,7 +99,7 @@ SELECT count(DISTINCT label) AS queries, count(DISTINCT label) * 10 AS wanted, t
 def v01_index_recall(spark, sf):
     """Whether three of four cells hold at least 0.9 of all topics' ten nearest. Means lie between the cells."""
     topics = topic_queries(spark, sf)
-    found = vector_index.search(spark, _indexed(spark, sf), topics, 10, _TOPIC_PROBES)
+    found = vector_index.search(spark, _indexed(spark, sf, _FINE), topics, 10, _TOPIC_PROBES)
     return _found_most(vector_index.recall(found, vector.vector_top_k(vectors(spark, sf), topics, 10)))
 
 
@@ -107,8 +107,8 @@ def v01_index_recall(spark, sf):
 def v01_index_neighbours(spark, sf):
     """Every vector as a query: whether five of eight cells hold at least 0.9 of all ten nearest."""
     everyone = vectors(spark, sf).withColumnRenamed("id", "query_id")
-    index = _indexed(spark, sf)
-    found, exact = (vector_index.search(spark, index, everyone, 10, n) for n in (_PROBES, _CELLS))
+    index = _indexed(spark, sf, _FINE)
+    found, exact = (vector_index.search(spark, index, everyone, 10, n) for n in (_PROBES, _FINE))
     return _found_most(vector_index.recall(found, exact))
 
 
