@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("statistics", "dashboards", "anomalies", "catalogue", "linking", "retrieval", "fields", "streams")
+MODULES = ("statistics", "dashboards", "anomalies", "catalogue", "linking", "retrieval", "fields", "streams", "growing")
 
 
 def load_all() -> None:
