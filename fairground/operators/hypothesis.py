@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fairground.functions import labels
 from fairground.functions.pvalues import f_p_value, normal_quantile, normal_tail, t_p_value
 from fairground.operators.normalize import priced
-from fairground.operators.ranks import row_numbers
+from fairground.operators.ranks import counts_before
 
 ALPHA = 0.05
+RANKS = 4096  # of equal prices, in one piece
 
 
 def _group_moments(df: DataFrame) -> DataFrame:
@@ -98,11 +99,16 @@ def shapiro(df: DataFrame, by: str = "category", max_n: int = 5000, alpha: float
     """Shapiro-Wilk W and p per group (Royston 1995 approximation), all groups in parallel.
 
     W is given for every group of 3 values or more; its p-value is defined up to ``max_n`` values and null beyond, with
-    a note. Values are numbered by distributed buckets, so no task sorts a whole group.
+    a note. Equal prices are collapsed to one row with their number before they are ordered by distributed buckets, and
+    their ranks are dealt out again in pieces of ``RANKS``, so no task sorts a whole group or holds all of a hot price.
     """
     rows = priced(df).select(by, F.col("price").cast("double").alias("x"))
-    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    ranked = row_numbers(rows, "x", [by], "i").join(sizes.filter(F.col("n") >= 3), by)
+    counted = rows.groupBy(by, "x").agg(F.count(F.lit(1)).alias("c"))
+    sizes = counted.groupBy(by).agg(F.sum("c").alias("n"))
+    placed = counts_before(counted, "x", "c", [by]).join(sizes.filter(F.col("n") >= 3), by)
+    pieces = placed.withColumn("piece", F.explode(F.expr(f"sequence(0L, (c - 1) div {RANKS})"))).repartition(by, "x", "piece")
+    ranks = F.expr(f"sequence(before + piece * {RANKS} + 1, before + least(c, (piece + 1) * {RANKS}))")
+    ranked = pieces.select(by, "n", "x", F.explode(ranks).alias("i"))
     scored = ranked.withColumn("m", normal_quantile((F.col("i") - 0.375) / (F.col("n") + 0.25)))
 
     n = F.col("n")

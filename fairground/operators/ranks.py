@@ -109,3 +109,20 @@ def row_numbers(df: DataFrame, order: str, by: Sequence[str] = (), name: str = "
     joined = rows.alias("r").join(offsets.alias("o"), _same("r", "o", keys))
     local = f"row_number() OVER (PARTITION BY {', '.join(_quoted('r.', keys))} ORDER BY r.`{order}`)"
     return joined.selectExpr(*_quoted("r.", df.columns), f"o._before + {local} AS `{name}`")
+
+
+def counts_before(df: DataFrame, order: str, weight: str, by: Sequence[str] = (), name: str = "before") -> DataFrame:
+    """For rows with values unique in their ``by`` group: the sum of ``weight`` over the smaller values of the group.
+
+    As ``row_numbers``, for values that were collapsed with their number first, so that a frequent value is one row.
+    """
+    keys = [*by, "_b"]
+    rows = _with_bucket(df, order, _cut_points(df, order))
+    group = f"PARTITION BY {', '.join(_quoted('', by))}" if by else ""
+    offsets = rows.groupBy(*keys).agg(F.expr(f"sum(`{weight}`) AS _bn")).selectExpr(
+        *_quoted("", keys),
+        f"coalesce(sum(_bn) OVER ({group} ORDER BY _b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before",
+    )
+    joined = rows.alias("r").join(offsets.alias("o"), _same("r", "o", keys))
+    local = f"sum(r.`{weight}`) OVER (PARTITION BY {', '.join(_quoted('r.', keys))} ORDER BY r.`{order}` ROWS UNBOUNDED PRECEDING)"
+    return joined.selectExpr(*_quoted("r.", df.columns), f"o._before + {local} - r.`{weight}` AS `{name}`")

@@ -228,6 +228,40 @@ def h01(spark, sf):
     return hypothesis.anova(normal_listings(spark, sf))
 
 
+# p-values by numeric integration of the density, apart from the continued fractions and series they are computed with
+
+
+def _simpson(density: str, start: str, width: int, source: str, steps: int = 200_000) -> str:
+    """SQL: the integral of ``density`` (of x) over ``width`` from ``start``."""
+    h = f"({width} / {steps}.0)"
+    return f"""(SELECT sum(({density}) * CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {h} / 3
+      FROM (SELECT i, {start} + i * {h} AS x, {source}.* FROM range({steps + 1}) r(i), {source}))"""
+
+
+_F_DENSITY = ("exp(0.5 * (a * ln(a * x) + b * ln(b) - (a + b) * ln(a * x + b)) - ln(x) "
+              "- (lgamma(a / 2) + lgamma(b / 2) - lgamma((a + b) / 2)))")
+_T_DENSITY = "exp(lgamma((v + 1) / 2) - lgamma(v / 2) - 0.5 * ln(v * pi()) - (v + 1) / 2 * ln(1 + x * x / v))"
+
+
+@query("h01_anova_p_value", _GROUPS + f"""
+, t AS (SELECT count(*) AS k, sum(n) AS total, sum(ss) AS within,
+               sum(n * power(mean - (SELECT avg(price) FROM priced), 2)) AS between FROM g),
+f AS (SELECT (between / (k - 1)) / (within / (total - k)) AS f, (k - 1)::DOUBLE AS a, (total - k)::DOUBLE AS b FROM t),
+p AS (SELECT {_simpson(_F_DENSITY, 'f', 100, 'f')} AS p)
+SELECT round(p, 6) AS p_value, p < 0.05 AS significant FROM p""")
+def h01_p(spark, sf):
+    return rounded(hypothesis.anova(normal_listings(spark, sf)).select("p_value", "significant"), p_value=6)
+
+
+@query("h02_ttest_p_value", _GROUPS + f"""
+, a AS (SELECT * FROM g ORDER BY mean, category LIMIT 1), b AS (SELECT * FROM g ORDER BY mean DESC, category DESC LIMIT 1),
+t AS (SELECT abs(a.mean - b.mean) / sqrt((a.ss + b.ss) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)) AS t, (a.n + b.n - 2)::DOUBLE AS v FROM a, b),
+p AS (SELECT 2 * {_simpson(_T_DENSITY, 't', 60, 't')} AS p)
+SELECT round(p, 6) AS p_value, p < 0.05 AS significant FROM p""")
+def h02_p(spark, sf):
+    return rounded(hypothesis.ttest_extremes(normal_listings(spark, sf)).select("p_value", "significant"), p_value=6)
+
+
 @query("h02_ttest_statistic", _GROUPS + """
 , a AS (SELECT * FROM g ORDER BY mean, category LIMIT 1), b AS (SELECT * FROM g ORDER BY mean DESC, category DESC LIMIT 1)
 SELECT a.category AS cheapest_category, b.category AS most_expensive_category,
@@ -276,6 +310,20 @@ def h03_statistic(spark, sf):
     return rounded(hypothesis.ks_normal(normal_activity(spark, sf)).select("statistic"), statistic=5)
 
 
+@query("h03_ks_p_value", NORMAL_ACTIVITY + """
+, m AS (SELECT avg(price) AS mu, stddev_samp(price) AS sd, count(*) AS n FROM priced),
+z AS (SELECT (price - mu) / sd AS z, row_number() OVER (ORDER BY price) AS i, n FROM priced, m),
+t AS (SELECT z, i, n, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z),
+c AS (SELECT i, n, CASE WHEN z < 0 THEN q ELSE 1 - q END AS cdf FROM (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530
+      + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS q FROM t)),
+d AS (SELECT max(greatest(i / n - cdf, cdf - (i - 1) / n)) AS d, max(n) AS n FROM c),
+p AS (SELECT greatest(0, least(1, 2 * (SELECT sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * n * d * d)) FROM range(1, 101) r(k)))) AS p FROM d)
+SELECT round(p, 4) AS p_value, p > 0.05 AS is_normal FROM p""")
+def h03_p(spark, sf):
+    """Against the series of the limit distribution."""
+    return rounded(hypothesis.ks_normal(normal_activity(spark, sf)).select("p_value", "is_normal"), p_value=4)
+
+
 @query("h04_shapiro_statistic", NORMAL_LISTINGS + f"""
 , s AS (SELECT venue, price AS x, count(*) OVER (PARTITION BY venue) AS n, row_number() OVER (PARTITION BY venue ORDER BY price) AS i FROM priced),
 m AS (SELECT *, {_quantile_sql("((i - 0.375) / (n + 0.25))")} AS m FROM s WHERE n > 5),

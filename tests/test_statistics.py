@@ -1,5 +1,6 @@
 """Descriptive statistics, tests and detectors on small frames, including the degenerate ones."""
 
+import functools
 import math
 import random
 import statistics
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fairground.operators import anomaly, hypothesis, rollups, stats
 from fairground.operators.normalize import accepted, collapse_nulls, normalize_events, rejected, validate_items, EVENT_DEFAULTS
-from fairground.operators.ranks import quantiles, row_numbers
+from fairground.operators.ranks import counts_before, quantiles, row_numbers
 from fairground.operators.relations import exact_duplicates
 
 SCHEMA = "uuid string, title string, description string, price double, category string, venue string, date string, url string"
@@ -149,6 +150,44 @@ def test_shapiro(spark):
     assert {r.category for r in big.collect() if r.note and r.note.startswith("Skipped")} == {"normal"}
 
 
+def _shapiro_w(values):
+    """W from its definition, all values in one list."""
+    x, n = sorted(values), len(values)
+    m = [statistics.NormalDist().inv_cdf((i + 1 - 0.375) / (n + 0.25)) for i in range(n)]
+    mm, u = sum(v * v for v in m), n**-0.5
+    poly = lambda cs: functools.reduce(lambda acc, c: acc * u + c, cs)
+    a_n = poly((-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0.0)) + m[-1] / mm**0.5
+    a_n1 = poly((-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0)) + m[-2] / mm**0.5
+    phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * a_n**2 - 2 * a_n1**2)
+    a = [-a_n, -a_n1, *[v / phi**0.5 for v in m[2:-2]], a_n1, a_n]
+    mean = statistics.fmean(x)
+    return sum(p * q for p, q in zip(a, x)) ** 2 / sum((v - mean) ** 2 for v in x)
+
+
+@pytest.mark.parametrize("piece", [7, 4096])
+def test_shapiro_with_a_hot_price(spark, monkeypatch, piece):
+    monkeypatch.setattr(hypothesis, "RANKS", piece)
+    rng = random.Random(1)
+    groups = {"hot": [250.0] * 400 + [rng.lognormvariate(6, 1) for _ in range(800)], "lowest": [1.0] * 50 + [2.0, 3.0, 9.0],
+              "highest": [9.0] * 50 + [2.0, 3.0], "distinct": [rng.gauss(500, 50) for _ in range(300)]}
+    rows = [{"p": v, "c": c} for c, values in groups.items() for v in values] + [{"p": 5.0, "c": "equal"}] * 40
+    got = {r.category: r for r in hypothesis.shapiro(normalize_events(frame(spark, rows))).collect()}
+    for c, values in groups.items():
+        assert got[c].n == len(values) and got[c].statistic == pytest.approx(_shapiro_w(values), abs=1e-9), c
+    assert got["equal"].statistic == 1.0 and got["equal"].n == 40  # no spread: nothing speaks against a normal
+
+
+def test_counts_before_equal_row_numbers(spark):
+    rng = random.Random(9)
+    rows = [(g, float(v), rng.randint(1, 5)) for g in "ab" for v in rng.sample(range(10_000), 700)]
+    got = {(r.g, r.v): r.before for r in counts_before(spark.createDataFrame(rows, "g string, v double, w int"), "v", "w", ["g"]).collect()}
+    for g in "ab":
+        total = 0
+        for _, v, w in sorted(r for r in rows if r[0] == g):
+            assert got[g, v] == total
+            total += w
+
+
 def test_ks(spark):
     values = [float(v * v) for v in range(1, 40)]
     r = hypothesis.ks_normal(prices(spark, values)).first()
