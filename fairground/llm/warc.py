@@ -57,9 +57,13 @@ def with_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html")
     return rows.join(repeated, "digest", "left")
 
 
-def write_archives(pages: DataFrame, folder: str, key: str = "page_id", payload: str = "html", url: str = "url") -> None:
-    """Write one WARC record per page, and continuation records for what exceeds a segment."""
-    rows = with_revisits(pages.select(F.col(key).alias("page_id"), F.col(payload).alias("html"), F.col(url).alias("url")))
+def write_archives(pages: DataFrame, folder: str, key: str = "page_id", payload: str = "html", url: str = "url", date: Column | None = None) -> None:
+    """Write one WARC record per page, and continuation records for what exceeds a segment. ``date``: when the pages
+    were captured, a timestamp (the time of writing where it isn't given, or null)."""
+    utc = F.to_utc_timestamp(F.current_timestamp() if date is None else F.coalesce(date, F.current_timestamp()), F.current_timezone())
+    stamp = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = with_revisits(pages.select(F.col(key).alias("page_id"), F.col(payload).alias("html"), F.col(url).alias("url"), stamp.alias("date")))
+    captured = ("WARC-Date", F.col("date"))
     is_copy = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     target = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     record = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(">"))
@@ -71,18 +75,18 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", payload:
     part = F.expr(f"substring(body, (segment - 1) * {SEGMENT} + 1, {SEGMENT})")
     many = F.col("n_segments") > 1
     copy = _header("revisit", [
-        ("WARC-Record-ID", record), ("WARC-Target-URI", target), ("WARC-Payload-Digest", digest),
+        ("WARC-Record-ID", record), captured, ("WARC-Target-URI", target), ("WARC-Payload-Digest", digest),
         ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         ("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first_id").cast("string"), F.lit(">"))),
         ("X-Payload-Length", F.col("size")),
     ], F.lit(0))
     first = _header("response", [
-        ("WARC-Record-ID", record), ("WARC-Target-URI", target), ("WARC-Payload-Digest", digest),
+        ("WARC-Record-ID", record), captured, ("WARC-Target-URI", target), ("WARC-Payload-Digest", digest),
         ("X-Payload-Length", F.col("size")), ("WARC-Segment-Number", F.when(many, F.lit(1))),
     ], F.octet_length("part"))
     later = _header("continuation", [
         ("WARC-Record-ID", F.concat(F.lit("<urn:page-segment:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(":"), F.col("segment").cast("string"), F.lit(">"))),
-        ("WARC-Segment-Origin-ID", record), ("WARC-Segment-Number", F.col("segment")),
+        captured, ("WARC-Segment-Origin-ID", record), ("WARC-Segment-Number", F.col("segment")),
         ("WARC-Segment-Total-Length", F.when(F.col("segment") == F.col("n_segments"), F.col("size"))),
     ], F.octet_length("part"))
     header = F.when(is_copy, copy).when(F.col("segment") == 1, first).otherwise(later)

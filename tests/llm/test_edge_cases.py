@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -187,6 +189,11 @@ def test_warc(spark, tmp_path):
                      (7, "response", None, len(big.encode())), (8, "response", None, 2)]
     parts = chunks.where("page_id = 7").orderBy("chunk_no").collect()
     assert max(len(r["data"]) for r in parts) <= warc.CHUNK and b"".join(r["data"] for r in parts) == big.encode()
+    heads = [r.value for r in spark.read.option("lineSep", "\r\n").text(folder).collect() if r.value.startswith("WARC-")]
+    dates = [h for h in heads if re.fullmatch(r"WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h)]
+    assert len(dates) == sum(h.startswith("WARC-Type: ") for h in heads) > 0  # every record has one
+    warc.write_archives(pages.limit(3), str(tmp_path / "dated"), date=F.lit("2020-02-03 04:05:06").cast("timestamp"))
+    assert spark.read.text(str(tmp_path / "dated")).where("value LIKE 'WARC-Date: 2020-02-03T04:05:06Z%'").count() == 3
     warc.write_archives(pages.limit(0), str(tmp_path / "none"))
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
 
