@@ -1,7 +1,10 @@
 """Personal data by weak supervision.
 
 Base spans (e-mail, IPv4 address, card and phone number) follow fixed patterns and always count. Looser patterns give
-further candidates. Three labelers vote for, against or not at all on every candidate and base span: one checks the
+further candidates of these kinds, and of three more: account numbers, United States social security numbers, and
+secrets (keys, tokens, passwords). A secret's span is its value: a private key block, a signed web token, a value given
+to a name like ``password``, or a run of 16 or more of the characters that encodings use, digits and letters among them.
+Nothing in a secret's characters tells it from a checksum, so there the context labeler votes against what has no cue. Three labelers vote for, against or not at all on every candidate and base span: one checks the
 shape (check digits, ranges, lengths), one looks parts up in gazetteers, one reads the words around it. Votes are
 counted by pattern over the whole corpus; expectation-maximisation on the counts estimates each labeler's reliability
 per kind, and a logistic classifier on votes, kind, length and separators is fitted to the resulting probabilities. It
@@ -28,7 +31,7 @@ from fairground.llm.registry import query
 from fairground.llm.rows import keyed, named, same_row
 from fairground.session import cut_lineage
 
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 ACCEPT = 0.9
 REACH = 28  # characters of context on the left
@@ -44,16 +47,27 @@ _LOOSE = {
     "phone": re.compile(r"(?<![\w.+-])(?:\(0?[0-9]{2,4}\) ?|00?[1-9][0-9]{0,3}[ ./-])[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![\w-]|\.[0-9])"),
     "card": re.compile(r"(?<![\w.-])[0-9]{4}(?:[ ./][0-9]{4}){3}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
-}
+    "ssn": re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
+}
+# every repetition is possessive or bounded, so that a text without spaces costs what it is long
+_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]*+-----END [A-Z ]{0,40}PRIVATE KEY-----")
+_WEB_TOKEN = re.compile(r"(?<![\w-])eyJ[\w-]++\.[\w-]++\.[\w-]++")
+_GIVEN = re.compile(r"(?<![a-z0-9])(?:[a-z0-9]{1,20}[_-]){0,3}(?:token|secret|password|passwd|pwd|passphrase|(?:api|access|private)[_-]?key)[\"']? {0,3}[:=] {0,3}[\"']?([^\s\"',;]{8,256})", re.I)
+_RUN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}")
+_UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 _CUES = {
     "email": ("mail", "contact", "write", "kontakt", "correo", "courriel", "adresse"),
     "ip": ("ip", "address", "host", "server", "adresse", "direcc"),
     "card": ("card", "visa", "master", "amex", "credit", "karte", "tarjeta", "carte", "pay"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "whatsapp", "ruf", "handy", "llam", "appel"),
     "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
+    "ssn": ("ssn", "social", "security", "tax id", "taxpayer"),
+    "secret": ("token", "secret", "passw", "pwd", "passphrase", "api", "key=", "key:", "key =", "_key", " key ", "private key", "auth", "bearer", "credential"),
 }
+_DIGESTS = ("sha", "md5", "hash", "checksum", "digest", "commit", "revision", "etag", "uuid", "integrity", "fingerprint")
 _AGAINST = ("version", "isbn", "issn", "order", "invoice", "page", "figure", "section", "doi", "serial", "id ", "no. ", "rfc")
 _TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io co me tv de fr es it uk us ca eu ch at be nl pl pt se no fi dk cz ru jp cn in br mx ar au nz".split())
+_KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "rk_live_", "xoxb-", "xoxp-", "eyJ", "-----BEGIN")
 _IBAN_COUNTRIES = frozenset("AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IT LI LT LU LV MT NL NO PL PT RO SE SI SK TR".split())
 
 
@@ -116,6 +130,14 @@ def _shape(kind: str, s: str) -> int:
         return 1 if 13 <= len(digits) <= 19 and _luhn(digits) else -1
     if kind == "phone":
         return (1 if 9 <= len(digits) <= 15 else -1) if s[0] in "+(0" and len(set(digits)) > 2 else -1
+    if kind == "ssn":
+        return -1 if s[:3] in ("000", "666") or s[0] == "9" or s[4:6] == "00" or s[7:] == "0000" else 1
+    if kind == "secret":
+        if s.startswith("-----BEGIN"):
+            return 1
+        part = s[:64]
+        mixed = any(c.isdigit() for c in part) and any(c.isalpha() for c in part)
+        return (1 if len(s) >= 20 else 0) if mixed and 2 * len(set(part)) >= min(len(part), 20) else -1
     plain = s.replace(" ", "")
     number = int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4]))
     return 1 if number % 97 == 1 else -1
@@ -132,20 +154,27 @@ def _listed(kind: str, s: str) -> int:
         return 1 if issued else 0
     if kind == "phone":
         return 1 if s.startswith(("+", "00")) else 0
+    if kind == "ssn":
+        return 0
+    if kind == "secret":
+        return 1 if s.startswith(_KEY_PREFIXES) else -1 if _UUID.fullmatch(s) or s.count("/") > 2 else 0
     return 1 if s[:2] in _IBAN_COUNTRIES else -1
 
 
 def _context(kind: str, left: str) -> int:
     left = left.lower()
+    if kind == "secret" and any(c in left for c in _DIGESTS):
+        return -1
     if any(c in left for c in _CUES[kind]):
         return 1
-    return -1 if any(c in left for c in _AGAINST) else 0
+    return -1 if kind in ("ssn", "secret") or any(c in left for c in _AGAINST) else 0
 
 
 def feature_code(kind: int, text: str, start: int, end: int) -> int:
     """Kind, three votes, length and number of separators as one small number."""
     s, name = text[start:end], KINDS[kind]
-    votes = _shape(name, s) + 1, _listed(name, s) + 1, _context(name, text[max(0, start - REACH) : start]) + 1
+    left = text[max(0, start - REACH) : start] + (s[:REACH] if s.startswith("-----BEGIN") else "")  # a block names itself
+    votes = _shape(name, s) + 1, _listed(name, s) + 1, _context(name, left) + 1
     size = min(7, len(s) // 6)
     separators = min(3, sum(c in " ()-./" for c in s[:64]))
     return ((((kind * 3 + votes[0]) * 3 + votes[1]) * 3 + votes[2]) * 8 + size) * 4 + separators
@@ -160,6 +189,21 @@ def _decode(codes: np.ndarray) -> tuple[np.ndarray, ...]:
     return kind, a, b, c, size, separators
 
 
+def secrets(text: str) -> list[tuple[int, int]]:
+    """Where keys, tokens and passwords may be; spans can overlap."""
+    out = []
+    if "-----BEGIN" in text:
+        out += [m.span() for m in _KEY_BLOCK.finditer(text)]
+    if "eyJ" in text:
+        out += [m.span() for m in _WEB_TOKEN.finditer(text)]
+    if "=" in text or ":" in text:
+        out += [m.span(1) for m in _GIVEN.finditer(text)]
+    for m in _RUN.finditer(text):
+        if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()):
+            out.append(m.span())
+    return out
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Loose matches that don't meet a base span of any kind, or an earlier candidate."""
     taken = sorted((s, e) for _, s, e in base)
@@ -168,6 +212,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         if name == "iban" and not text.isascii() and not re.search("[A-Z]{2}[0-9]{2}", text):
             continue
         out += [(KINDS.index(name), m.start(), m.end()) for m in pattern.finditer(text)]
+    out += [(KINDS.index("secret"), s, e) for s, e in secrets(text)]
     out.sort(key=lambda x: (x[1], -x[2], x[0]))
     kept, last, b = [], 0, 0
     for k, s, e in out:
@@ -242,7 +287,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text",
     span = "array<struct<kind:int,start:int,end:int,code:int>>"
     found = cut_lineage(rows.mapInArrow(_find, f"key {dict(rows.dtypes)['key']}, base {span}, loose {span}"))
     counts = found.select(F.explode(F.concat("base", "loose")).alias("s")).groupBy("s.code").agg(F.count("*").alias("n"))
-    seen = counts.toPandas().sort_values("code")  # one row per feature code: at most 5 * 27 * 32
+    seen = counts.toPandas().sort_values("code")  # one row per feature code: at most 7 * 27 * 32
     codes = seen["code"].to_numpy(dtype=np.int64)
     accepted: list[int] = []
     if len(codes):
