@@ -11,9 +11,12 @@ from fairground.operators import normalize
 from fairground.plans.registry import query
 from fairground.schemas import EVENTS
 from fairground.session import scratch_folder
-from fairground.sources import buckets, versions
+from fairground.sources import buckets, paged, pages, versions
 from fairground.sources.tables import read_table
-from fairground.streaming import ingest, keyed_ingest, keystate, progress
+from fairground.streaming import counters, ingest, keyed_ingest, keystate, progress
+
+
+ITEM_STEP, PRICE_STEP, PAGE_STEP = 50_000, 10_000, 1_000  # rows a trigger takes
 
 
 def as_of():
@@ -61,9 +64,33 @@ SELECT count(*) AS seen, count(*) FILTER (title IS NULL) AS dropped,
        count(*) FILTER (title IS NOT NULL AND price > 100000) AS unpriced FROM i""")
 def x06(spark, sf):
     checked = normalize.validate_items(items(read_table(spark, sf, "lineitem")), "crawl")
-    return checked.agg(
-        F.count(F.lit(1)).alias("seen"), F.count_if(F.col("reject_reason").isNotNull()).alias("dropped"),
-        F.count_if(F.col("reject_reason").isNull() & F.col("price").isNull()).alias("unpriced"),
+    return checked.agg(*counters.item_counts())
+
+
+@query("x06_trigger_counters", _KEYED + f"""
+SELECT count(*) AS seen, count(*) FILTER (title IS NULL) AS dropped,
+       count(*) FILTER (title IS NOT NULL AND price > 100000) AS unpriced, true AS bounded,
+       ceil(count(*) / {ITEM_STEP})::BIGINT AS triggers FROM i""")
+def x06_triggers(spark, sf):
+    """The same counters, observed while landed items are validated in bounded steps and those dropped are stored."""
+    out = scratch_folder(spark, "counters")
+    landed = items(read_table(spark, sf, "lineitem"))
+    landed.write.parquet(f"{out}/in/batch=0")
+    stream = paged.stream_paged(spark, f"{out}/in", ITEM_STEP, landed.schema)
+    checked = normalize.validate_items(stream, "crawl").observe("items", *counters.item_counts())
+    listener = counters.TriggerCounters(spark, f"{out}/counters", "items")
+    spark.streams.addListener(listener)
+    try:
+        writer = checked.where("reject_reason IS NOT NULL").writeStream.format("parquet").option("path", f"{out}/dropped")
+        run = writer.option("checkpointLocation", f"{out}/checkpoint").trigger(processingTime="0 seconds").start()
+        counters.run_steps(run)
+        listener.wait(run)
+    finally:
+        spark.streams.removeListener(listener)
+    dropped = spark.read.schema(checked.schema).parquet(f"{out}/dropped").agg(F.count(F.lit(1))).scalar()
+    return counters.read_counters(spark, f"{out}/counters").agg(
+        F.sum("seen").alias("seen"), F.when(F.sum("dropped") == dropped, F.sum("dropped")).alias("dropped"),
+        F.sum("unpriced").alias("unpriced"), (F.max("seen") <= ITEM_STEP).alias("bounded"), F.count(F.lit(1)).alias("triggers"),
     )
 
 
@@ -159,6 +186,54 @@ def x07(spark, sf):
     return _stored(spark, out)
 
 
+@query("x07_bounded_reprice", _STORED + """
+SELECT uuid, title, venue, date, CASE WHEN l_linenumber = 1 THEN CASE WHEN l_extendedprice <= 100000 THEN l_extendedprice END
+       ELSE price END AS price FROM s""")
+def x07_bounded(spark, sf):
+    """Prices found for first lines, applied by a stream at a bounded rate."""
+    landed, _ = _landed(spark, sf)
+    out = scratch_folder(spark, "bounded")
+    ingest.store_batch(landed, 0, out, as_of())
+    found = items(read_table(spark, sf, "lineitem").where("l_linenumber = 1")).select(
+        "uuid", (F.col("price").cast("double") / 2).cast("string").alias("price"),
+        F.lit(None).cast("string").alias("category_prices"), "scraped_at",
+    )
+    found.write.parquet(f"{out}/in/batch=0")
+    steps = paged.stream_paged(spark, f"{out}/in", PRICE_STEP, found.schema)
+    counters.run_steps(progress.reprice_stream(steps, out, f"{out}/checkpoint", F.lit("2050-06-01").cast("timestamp"), "0 seconds"))
+    return _stored(spark, out)
+
+
+_TITLES = """SELECT page_id, url, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, len(regexp_extract_all(html, '<li><a href=')) AS n_links FROM pages"""
+
+
+def _archive(spark, sf, name):
+    """The pages as two landings of an archive, written one by one."""
+    table, out = read_table(spark, sf, "pages"), scratch_folder(spark, name)
+    for i, part in enumerate(["page_id % 2 = 0", "page_id % 2 = 1 OR page_id IS NULL"]):
+        table.where(part).write.parquet(f"{out}/in/batch={i}")
+        yield out
+
+
+@query("s04_archive", _TITLES)
+def s04_archive(spark, sf):
+    """Page archives read as a table, then extracted."""
+    *_, out = _archive(spark, sf, "archive")
+    read = paged.read_paged(spark, f"{out}/in", paged.PAGE)
+    return pages.article_pages(read).select("page_id", "url", "lang", F.size("links").alias("n_links"))
+
+
+@query("s04_archive_stream", _TITLES)
+def s04_archive_stream(spark, sf):
+    """Page archives as a stream of bounded steps; stopped, and restarted from its offset after another landing."""
+    for out in _archive(spark, sf, "archive-stream"):
+        rows = pages.article_pages(paged.stream_paged(spark, f"{out}/in", PAGE_STEP, paged.PAGE))
+        writer = rows.select("page_id", "url", "lang", F.size("links").alias("n_links")).writeStream.format("parquet")
+        writer = writer.option("path", f"{out}/items").option("checkpointLocation", f"{out}/checkpoint")
+        counters.run_steps(writer.trigger(processingTime="0 seconds").start())
+    return spark.read.parquet(f"{out}/items")
+
+
 # Duplicates by keyed state: the events stream as items, keyed by type and user (and day), landed in two halves.
 
 _TTL = timedelta(days=3)

@@ -52,7 +52,9 @@ def reprice_batch(batch: DataFrame, batch_id: int, out: str, stamp: Column) -> N
     versions.write_batch(sinks.patch(touched, latest, ["price", "category_prices", "updated_at"]), f"{out}/events", number)
 
 
-def reprice_stream(found: DataFrame, out: str, checkpoint: str, stamp: Column) -> StreamingQuery:
-    """Landed price results applied batch by batch."""
+def reprice_stream(found: DataFrame, out: str, checkpoint: str, stamp: Column, every: str | None = None) -> StreamingQuery:
+    """Landed price results applied batch by batch: all that has landed, or a step ``every`` so often. The rows of a
+    step are bounded by the source (``stream_paged``), which makes the rate."""
     writer = found.writeStream.option("checkpointLocation", checkpoint)
-    return writer.foreachBatch(lambda batch, i: reprice_batch(batch, i, out, stamp)).trigger(availableNow=True).start()
+    writer = writer.foreachBatch(lambda batch, i: reprice_batch(batch, i, out, stamp))
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
