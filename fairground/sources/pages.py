@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping, Sequence
-from html.parser import HTMLParser
+from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -56,111 +57,159 @@ def _is(node: dict, tests: list[tuple]) -> bool:
     return True
 
 
-def _matches(path: list[dict], steps: list, at: int) -> bool:
-    """Does the element at the end of ``path`` match steps[0..at]?"""
-    if not _is(path[-1], steps[at][1]):
+def _matches(node: dict, stack: list[dict], depth: int, steps: list, at: int) -> bool:
+    """Does ``node``, whose ancestors are stack[1:depth], match steps[0..at]?"""
+    if not _is(node, steps[at][1]):
         return False
     if at == 0:
         return True
-    link, above = steps[at][0], path[:-1]
+    link = steps[at][0]
     if link == "~":
-        earlier = path[-1]["siblings"][: path[-1]["index"]]
-        return any(_matches([*above, sibling], steps, at - 1) for sibling in earlier)
-    ends = [len(above)] if link == ">" else range(len(above), 0, -1)
-    return any(end and _matches(above[:end], steps, at - 1) for end in ends)
+        return any(_matches(s, stack, depth, steps, at - 1) for s in node["siblings"][: node["index"]])
+    for d in range(depth - 1, max(depth - 2, 0) if link == ">" else 0, -1):
+        if _matches(stack[d], stack, d, steps, at - 1):
+            return True
+    return False
 
 
-class _Collector(HTMLParser):
+class _Rules:
+    """Compiled rules under the tag, class or id their last step asks for (None: neither), so that an element is
+    tried against few of them."""
+
+    def __init__(self, rules: Mapping[str, tuple[str, str]]):
+        self.names, self.under = list(rules), {}
+        for name, (selector, what) in rules.items():
+            steps = _steps(selector)
+            asks = {kind: value for kind, value, _, _ in reversed(steps[-1][1])}
+            at = "#" + asks["id"] if "id" in asks else "." + asks["cls"] if "cls" in asks else asks.get("tag")
+            self.under.setdefault(at, []).append((name, steps, what))
+        self.loose = None in self.under
+        # elements stay in memory with their siblings only where a rule asks for those
+        self.siblings = any(link == "~" for rs in self.under.values() for _, steps, _ in rs for link, _ in steps)
+
+    def candidates(self, node: dict) -> list:
+        under = self.under
+        out = [*under.get(node["tag"], ()), *under.get(None, ())]
+        for name in node["classes"]:
+            out += under.get("." + name, ())
+        if "id" in node["attrs"]:
+            out += under.get("#" + node["attrs"]["id"], ())
+        return out
+
+
+# One token of a page: comment or declaration, end tag, start tag, or a tag that the page ends in. Possessive, so that
+# no input makes it go back.
+_NAME = r"[a-zA-Z][^\s/>]*+"
+_ATTR = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)?+)?+"""
+_TOKEN = re.compile(rf"<!--|<[!?][^>]*+>?|</({_NAME})[^>]*+>|</[^>a-zA-Z][^>]*+>|<({_NAME})((?:[\s/]++|{_ATTR})*+)>|(<[a-zA-Z]|</[^>])")
+_ATTRS = re.compile(r"""([^\s/>][^\s/>=]*+)(?:(\s*+=\s*+)(?:"([^"]*+)"|'([^']*+)'|((?!["'])[^\s>]++))?+)?+""")
+_COMMENT_END = re.compile(r"--!?>|(?<=<!--)-?>")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "title", "textarea")}
+
+
+def _attributes(source: str) -> dict[str, str]:
+    """Names in small letters, values with their character references decoded; the last of equal names counts."""
+    out = {}
+    for name, _, double, single, bare in _ATTRS.findall(source):
+        value = double or single or bare
+        out[name.lower()] = unescape(value) if "&" in value else value
+    return out
+
+
+class _Collector:
     """Walk the tags once; per rule keep (pos, end, value) of every match, in document order."""
 
-    def __init__(self, rules: dict[str | None, list[tuple[str, list, str]]]):
-        super().__init__(convert_charrefs=True)
-        self.rules, self.found = rules, {name: [] for rules_of in rules.values() for name, _, _ in rules_of}
+    def __init__(self, rules: _Rules):
+        self.rules, self.found = rules, {name: [] for name in rules.names}
         self.stack = [{"tag": "", "children": []}]
         self.open = []  # (depth, hit, what) of the elements now open, innermost last
         self.pos = 0
 
-    def handle_starttag(self, tag, attrs):
-        while self.stack[-1]["tag"] in SELF_CLOSING.get(tag, ()):
-            self._close()
-        self.pos += 1
-        attrs = {k: v or "" for k, v in attrs}
-        siblings = self.stack[-1]["children"]
-        node = {"tag": tag, "classes": attrs["class"].split() if "class" in attrs else (), "attrs": attrs,
-                "siblings": siblings, "index": len(siblings), "children": []}
-        siblings.append(node)
-        if tag in BLOCK and self.open:
-            self.handle_data("\n")
-        candidates = self._candidates(node)
-        if candidates:
-            path = [*self.stack[1:], node]
-            for name, steps, what in candidates:
-                if _matches(path, steps, len(steps) - 1):
-                    hit = {"pos": self.pos, "end": self.pos, "value": attrs.get(what[1:]) if what[0] == "@" else ""}
-                    self.found[name].append(hit)
-                    self.open.append((len(self.stack), hit, what))
-        self.stack.append(node)
-        if tag in VOID:
+    def walk(self, html: str) -> dict[str, list[dict]]:
+        at, size = 0, len(html)
+        while at < size:
+            token = _TOKEN.search(html, at)
+            if token is None:
+                break
+            if self.open and token.start() > at:
+                self._text(html[at : token.start()])
+            at = token.end()
+            end, tag, attrs, cut_off = token.groups()
+            if tag:
+                at = self._start(tag.lower(), attrs, html, at)
+            elif end:
+                self._end(end.lower())
+            elif cut_off:
+                at = size
+            elif token[0] == "<!--":
+                close = _COMMENT_END.search(html, at)
+                at = close.end() if close else size
+        if at < size:
+            self._text(html[at:])
+        while len(self.stack) > 1:
             self._close()
+        for hits in self.found.values():
+            for hit in hits:
+                hit["value"] = " ".join(hit["value"].split()) if hit["value"] is not None else None
+        return self.found
 
-    def _candidates(self, node) -> list:
+    def _start(self, tag: str, attrs: str, html: str, at: int) -> int:
+        """Open an element; returns where to go on (behind the text of one whose text is no markup)."""
+        stack, closing = self.stack, SELF_CLOSING.get(tag)
+        while closing and stack[-1]["tag"] in closing:
+            self._close()
+        self.pos += 1
+        named = _attributes(attrs) if attrs and not attrs.isspace() else {}
+        node = {"tag": tag, "classes": named["class"].split() if "class" in named else (), "attrs": named}
         rules = self.rules
-        out = [*rules.get(node["tag"], ()), *rules.get(None, ())]
-        for name in node["classes"]:
-            out += rules.get("." + name, ())
-        if "id" in node["attrs"]:
-            out += rules.get("#" + node["attrs"]["id"], ())
-        return out
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.stack[-1]["tag"] == tag:
+        if rules.siblings:
+            siblings = stack[-1]["children"]
+            node |= {"siblings": siblings, "index": len(siblings), "children": []}
+            siblings.append(node)
+        if self.open and tag in BLOCK:
+            self._text("\n")
+        for name, steps, what in rules.candidates(node) if named or rules.loose or tag in rules.under else ():
+            if _matches(node, stack, len(stack), steps, len(steps) - 1):
+                hit = {"pos": self.pos, "end": self.pos, "value": named.get(what[1:]) if what[0] == "@" else ""}
+                self.found[name].append(hit)
+                self.open.append((len(stack), hit, what))
+        stack.append(node)
+        if tag in VOID or attrs.endswith("/"):
             self._close()
-
-    def handle_endtag(self, tag):
-        if any(node["tag"] == tag for node in self.stack):
+        elif tag in _RAW_END:
+            end = _RAW_END[tag].search(html, at)
+            end = end.start() if end else len(html)
+            self._text(html[at:end])
+            return end
+        return at
+
+    def _end(self, tag: str) -> None:
+        if self.stack[-1]["tag"] == tag or any(node["tag"] == tag for node in self.stack):
             while self.stack[-1]["tag"] != tag:
                 self._close()
             self._close()
 
-    def handle_data(self, data):
+    def _text(self, data: str) -> None:
         if self.open and self.stack[-1]["tag"] not in ("script", "style"):
             top = len(self.stack) - 1
+            data = unescape(data) if "&" in data else data
             for depth, hit, what in self.open:
                 if what == "text" or (what == "own" and depth == top):
                     hit["value"] += data
 
-    def _close(self):
+    def _close(self) -> None:
         self.stack.pop()
         while self.open and self.open[-1][0] == len(self.stack):
             self.open.pop()[1]["end"] = self.pos
 
-    def finish(self):
-        self.close()
-        while len(self.stack) > 1:
-            self._close()
-        for hits in self.found.values():
-            for hit in hits:
-                hit["value"] = " ".join(hit["value"].split()) if hit["value"] is not None else None
-        return self.found
-
-
-def _collect(rules: dict, html: str | None) -> dict[str, list[dict]]:
-    collector = _Collector(rules)
-    collector.feed(html or "")
-    return collector.finish()
 
-
-def _by_last_step(rules: Mapping[str, tuple[str, str]]) -> dict[str | None, list[tuple[str, list, str]]]:
-    """Compiled rules under the tag, class or id their last step asks for (None: neither), so that an element is
-    tried against few of them."""
-    out: dict[str | None, list] = {}
-    for name, (selector, what) in rules.items():
-        steps = _steps(selector)
-        asks = {kind: value for kind, value, _, _ in reversed(steps[-1][1])}
-        at = "#" + asks["id"] if "id" in asks else "." + asks["cls"] if "cls" in asks else asks.get("tag")
-        out.setdefault(at, []).append((name, steps, what))
-    return out
+def _hits(found: list[list[dict]]) -> pa.Array:
+    """array<struct<pos, end, value>> of one rule over the pages of a batch."""
+    flat = [hit for hits in found for hit in hits]
+    columns = [pa.array([hit[f] for hit in flat], t) for f, t in (("pos", pa.int32()), ("end", pa.int32()), ("value", pa.string()))]
+    return pa.ListArray.from_arrays(
+        pa.array([0, *accumulate(map(len, found))], pa.int32()), pa.StructArray.from_arrays(columns, ["pos", "end", "value"])
+    )
 
 
 def extract_fields(
@@ -173,16 +222,15 @@ def extract_fields(
     the element's place in the page: element b lies inside a when a.pos < b.pos <= a.end. ``partitions`` spreads
     pages that arrive in fewer tasks than there are cores; a large page table needs none.
     """
-    compiled = _by_last_step(rules)
+    compiled = _Rules(rules)
     kind = dict(pages.dtypes)[key]
     columns = ", ".join(f"{name} array<struct<pos: int, end: int, value: string>>" for name in rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = pa.list_(pa.struct([("pos", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
         for batch in batches:
-            found = [_collect(compiled, html) for html in batch.column("html").to_pylist()]
+            found = [_Collector(compiled).walk(html or "") for html in batch.column("html").to_pylist()]
             arrays = [batch.column(key), batch.column("url")]
-            arrays += [pa.array([f[name] for f in found], hits) for name in rules]
+            arrays += [_hits([f[name] for f in found]) for name in rules]
             yield pa.RecordBatch.from_arrays(arrays, [key, "url", *rules])
 
     pages = pages.select(key, "url", "html")
